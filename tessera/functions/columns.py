@@ -15,9 +15,13 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse(c: Column) -> Column:
@@ -63,3 +67,13 @@ def stable_fraction(text: Column) -> Column:
 
 def rounded(c: Column, digits: int) -> Column:
     return F.round(c.cast("double"), digits)
+
+
+def computed_once(df, **cols):
+    """Add costly columns so that later filters do not repeat the work.
+
+    A filter on a projected column is pushed below the projection and evaluates it a
+    second time. Behind a generator the value exists once and filters stay above it.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return df.select(*[c for c in df.columns if c not in cols], made)

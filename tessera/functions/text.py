@@ -11,12 +11,20 @@ from tessera.functions.columns import collapse, let, no_strings, strip, words
 
 # ---------------------------------------------------------------- scrubbing
 def scrub(text: Column, urls=True, emails=True, handles=True, phones=True) -> Column:
-    """Mask addresses, handles and phone numbers; each mask can be switched off."""
-    for on, pattern, mask in ((urls, V.URL, " [url] "), (emails, V.EMAIL, " [email] "),
-                              (handles, V.HANDLE, " [user] "), (phones, V.PHONE, " [phone] ")):
+    """Mask addresses, handles and phone numbers; each mask can be switched off.
+
+    A plain substring test guards each pattern, so texts without a candidate skip the expression.
+    """
+    low = F.lower(text)
+    at = F.contains(text, F.lit("@"))
+    masks = ((urls, F.contains(low, F.lit("http")) | F.contains(low, F.lit("www.")), V.URL, " [url] "),
+             (emails, at, V.EMAIL, " [email] "), (handles, at, V.HANDLE, " [user] "),
+             (phones, text.rlike(r"\p{Nd}{4}"), V.PHONE, " [phone] "))
+    for on, possible, pattern, mask in masks:
         if on:
-            text = F.regexp_replace(text, pattern, mask)
-    return strip(F.regexp_replace(text, r"[ \t]+", " "))
+            text = F.when(possible, F.regexp_replace(text, pattern, mask)).otherwise(text)
+    ragged = F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\t"))
+    return strip(F.when(ragged, F.regexp_replace(text, r"[ \t]+", " ")).otherwise(text))
 
 
 def _mask_matches(text: Column, pattern: str, keep, mask: str) -> Column:
@@ -43,7 +51,9 @@ def normalize_quotes(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(normalize_quotes(text)), F.lit(V.TOKEN), F.lit(0))
+    """Lower-case word tokens; inner apostrophes and hyphens belong to the word, curly ones too."""
+    plain = F.when(text.rlike("[’‘–]"), F.translate(text, "’‘–", "''-")).otherwise(text)
+    return F.regexp_extract_all(F.lower(plain), F.lit(V.TOKEN), F.lit(0))
 
 
 def retrieval_tokens(text: Column) -> Column:
@@ -126,7 +136,7 @@ def duration_seconds(c: Column) -> Column:
 # ---------------------------------------------------------------- requests
 def request_chunks(text: Column, patterns=None, max_chars: int = 600) -> Column:
     """Each sentence that asks for something, with the sentence after it."""
-    pattern = "(?i)" + "|".join(patterns or V.REQUEST_PATTERNS)
+    pattern = "(?iU)" + "|".join(patterns or V.REQUEST_PATTERNS)
 
     def pick(s):
         hits = F.transform(s, lambda x, i: F.when(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as V
 from tessera.functions import text as X
-from tessera.functions.columns import in_turn, stable_fraction
+from tessera.functions.columns import computed_once, in_turn, stable_fraction
 from tessera.operators.ordering import first_per_group, ordered_rank, running_before, top_per_group
 
 SIDES = ("seeker", "church")
@@ -19,9 +19,8 @@ def label_posts(posts: DataFrame, min_tokens: int = 5, scrub: dict | None = None
     side = F.lower(F.trim(F.coalesce("side", F.lit(""))))
     body = F.trim(F.coalesce("text", F.lit("")))
     valid = side.isin(*SIDES) & (body != "")
-    d = (posts.withColumn("side", side)
-         .withColumn("text", F.when(valid, X.scrub(body, **(scrub or {}))))
-         .withColumn("toks", X.tokens(F.col("text"))))
+    d = computed_once(posts.withColumn("side", side), text=F.when(valid, X.scrub(body, **(scrub or {}))))
+    d = computed_once(d, toks=X.tokens(F.col("text")))
     return (d.withColumn("fate", in_turn([(F.col("text").isNull(), "bad_row"),
                                           (F.size("toks") < min_tokens, "short")], "kept"))
             .withColumn("hash", F.when(F.col("fate") == "kept", F.sha1(F.array_join("toks", " "))))

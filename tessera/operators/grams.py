@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.session import stage
 
 
 def totals(docs: DataFrame, max_n: int = 3) -> DataFrame:
@@ -101,13 +102,14 @@ def with_npmi(counts: DataFrame, all_counts: DataFrame, order_total: DataFrame,
 
 
 def candidates(docs: DataFrame, seeds: DataFrame | None = None, max_n: int = 3, min_count: int = 5,
-               min_npmi: float = 0.25, min_sources: int = 0, by_source: DataFrame | None = None) -> DataFrame:
+               min_npmi: float = 0.25, min_sources: int = 0, counts: DataFrame | None = None) -> DataFrame:
     """Candidate terms: frequent, content-bearing, spread over sources, cohesive. Seeds pass, even when absent.
 
-    `seeds` has one column `term`.
+    `seeds` has one column `term`. `counts` is `gram_counts` output; it is read several times, so it should be a
+    stage table (made here when not given).
     """
-    pairs = by_source if by_source is not None else source_grams(docs, max_n, content_only=seeds is None)
-    counts = gram_counts(pairs)
+    if counts is None:
+        counts = stage(gram_counts(source_grams(docs, max_n, content_only=seeds is None)), "counts")
     if seeds is None:
         kept = counts.withColumn("seed", F.lit(False))
     else:

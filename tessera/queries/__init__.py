@@ -1 +1,10 @@
+"""Registered queries over the given tables."""
 
+import importlib
+
+_MODULES = ("mining", "fitting")
+
+
+def load() -> None:
+    for m in _MODULES:
+        importlib.import_module(f"tessera.queries.{m}")

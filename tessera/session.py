@@ -19,7 +19,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.parquet.filterPushdown", "true"))
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "20g")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "20g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -55,4 +55,4 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def is_small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> bool:
     """Whether the planner's size figure for a table read from files is below a limit."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
+    return int(str(size)) <= limit_bytes
