@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as V
 from tessera.functions import rules as R
 from tessera.functions import text as X
-from tessera.functions.columns import in_turn, let
+from tessera.functions.columns import computed_once, in_turn, let
 from tessera.functions.fuzzy import token_sort_ratio
 from tessera.operators.matching import size_boost
 from tessera.operators.ordering import first_per_group, top_per_group
@@ -83,7 +83,8 @@ def near_pairs(left: DataFrame, right: DataFrame, min_ratio: float = 85.0) -> Da
                 L.alias("_L"), i.alias("i"), F.substring(F.col("_s"), x + 1, n).alias("piece")))).otherwise(
                 F.array().cast("array<struct<_L:int,i:int,piece:string>>"))
         return F.flatten(F.transform(F.sequence(F.lit(0), k - 1), at))
-    ak = a.filter(lo <= hi).select("a", F.inline(F.array_distinct(F.flatten(F.transform(F.sequence(lo, F.greatest(lo, hi)), probes)))))
+    a = computed_once(a, _lo=lo, _hi=hi).filter("_lo <= _hi")
+    ak = a.select("a", F.inline(F.array_distinct(F.flatten(F.transform(F.sequence("_lo", F.greatest("_lo", "_hi")), probes)))))
     return ak.join(bk, ["_L", "i", "piece"]).select("a", "b").distinct()
 
 
@@ -183,10 +184,10 @@ def labelled_site_guess(answers: DataFrame, pages: DataFrame, groups: DataFrame)
                             F.least(conf, F.lit(0.7))).alias("confidence"), "quote_ok")
 
 
-def article_matches(names: DataFrame, hits: DataFrame, min_score: float = 0.25) -> DataFrame:
+def article_matches(hits: DataFrame, min_score: float = 0.25) -> DataFrame:
     """Best article per name: shared name words, less a little for each search rank. `hits`: (name, rank, title)."""
     d = hits.withColumn("score", F.round(R.name_overlap(R.clean_group_name(F.col("name")), F.col("title")) - 0.05 * F.col("rank"), 9))
-    best = first_per_group(d.select("name", "rank", "title", "score"), ["name"], [-F.col("score"), F.col("rank")]).filter(F.col("score") >= min_score)
+    best = first_per_group(d.select("name", "rank", "title", "score"), ["name"], [-F.col("score"), F.col("rank"), F.col("title")]).filter(F.col("score") >= min_score)
     return best.select("name", "title", "score", R.same_name(F.col("title"), F.col("name")).alias("same_name"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions.columns import in_turn
 from tessera.operators.ordering import first_per_group
+from tessera.session import stage
 
 
 def with_zscore(df: DataFrame, value: Column, name: str, over: DataFrame | None = None) -> DataFrame:
@@ -56,7 +57,9 @@ def shortlist(judged: DataFrame, phrases: DataFrame, generic: DataFrame, ref_fre
     ok = judged.filter("excluded is null").join(
         phrases.select(F.col("phrase").alias("term"), F.col("count").alias("asked")), "term", "left")
     demand = F.log1p((F.coalesce("asked", F.lit(0)) + F.col("seeker")).cast("double"))
-    d = with_zscore(with_zscore(ok, demand, "zd"), F.coalesce("z_english", F.lit(0.0)), "zk")
+    # two moments and a top-k read this, so it is written once
+    ok = stage(ok.select("term", "seed", demand.alias("demand"), F.coalesce("z_english", F.lit(0.0)).alias("z")), "eligible")
+    d = with_zscore(with_zscore(ok, F.col("demand"), "zd"), F.col("z"), "zk")
     scored = d.select("term", "seed", F.round(F.col("zd") + F.col("zk") + F.col("seed").cast("double"), 9).alias("score"))
     asked = (phrases.filter("count >= 2").select(F.col("phrase").alias("term"))
              .join(generic.select("term"), "term", "left_anti").join(subsumed.select("term"), "term", "left_anti")

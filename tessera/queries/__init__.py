@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("mining", "fitting")
+_MODULES = ("mining", "fitting", "knowing", "web", "records")
 
 
 def load() -> None:
