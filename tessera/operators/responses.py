@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as V
 from tessera.functions import rules as R
 from tessera.functions import text as X
-from tessera.functions.columns import in_turn
+from tessera.functions.columns import computed_once, in_turn
 from tessera.operators.ordering import first_per_group
 
 
@@ -126,7 +126,8 @@ def draft_errors(known_features: DataFrame, drafts: DataFrame, max_features: int
     `drafts`: (term, relevance, term_types, senses array<struct<gloss, features array<struct<feature,value>>>>,
     neutral_options, disambiguation_question). The vocabulary is a fixed small set, given as one array.
     """
-    known = known_features.agg(F.collect_set("feature")).scalar()
+    drafts = computed_once(drafts, _known=known_features.agg(F.collect_set("feature")).scalar())
+    known = F.col("_known")
     bad_ids = F.flatten(F.transform("senses", lambda s: F.filter(F.transform(s["features"], lambda f: f["feature"]),
                                                                lambda f: ~F.array_contains(known, f) & ~f.startswith("proposed."))))
     many = F.exists("senses", lambda s: F.size(s["features"]) > max_features)
@@ -136,7 +137,7 @@ def draft_errors(known_features: DataFrame, drafts: DataFrame, max_features: int
         F.when(many, "too many features"), F.when(has("polysemous") & (F.size("senses") < 2), "one sense only"),
         F.when(has("contested") & ~F.size("neutral_options").between(2, 4), "needs 2-4 neutral options"),
         F.when(has("polysemous", "contested", "evaluative") & (F.trim(F.coalesce("disambiguation_question", F.lit(""))) == ""), "question required")))
-    return drafts.withColumn("errors", F.when(F.col("relevance") == "not_relevant", F.array().cast("array<string>")).otherwise(errors))
+    return drafts.withColumn("errors", F.when(F.col("relevance") == "not_relevant", F.array().cast("array<string>")).otherwise(errors)).drop("_known")
 
 
 def route_drafts(ranked: DataFrame, checked: DataFrame, low_evidence: int = 5) -> DataFrame:

@@ -108,11 +108,11 @@ def call_costs(spark, sf):
     return metrics.call_costs(calls(spark, sf), prices).withColumn("cost", rounded(F.col("cost"), 9))
 
 
-cte("guesses", """SELECT o_totalprice::BIGINT % 3 <> 0 AS ok, (o_orderkey % 11) / 10 AS confidence, CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE 'name' END AS method, o_orderpriority AS kind FROM orders""")
+cte("guesses", """SELECT floor(o_totalprice)::BIGINT % 3 <> 0 AS ok, (o_orderkey % 11) / 10 AS confidence, CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE 'name' END AS method, o_orderpriority AS kind FROM orders""")
 
 
 def guesses(spark, sf):
-    return table(spark, sf, "orders").select((F.round("o_totalprice").cast("long") % 3 != 0).alias("ok"), ((F.col("o_orderkey") % 11) / 10).alias("confidence"),
+    return table(spark, sf, "orders").select((F.floor("o_totalprice") % 3 != 0).alias("ok"), ((F.col("o_orderkey") % 11) / 10).alias("confidence"),
                                              F.when(F.col("o_orderstatus") == "P", "unknown").otherwise("name").alias("method"), F.col("o_orderpriority").alias("kind"))
 
 
@@ -151,14 +151,14 @@ def job_table(spark, sf):
 
 
 cte("job_table", """SELECT o_orderkey AS job_id, o_custkey % 200 AS session_id, o_orderkey % 37 AS church_id, CASE WHEN o_orderkey % 2 = 0 THEN 'medium' ELSE 'deep' END AS kind, o_orderkey % 5 <> 0 AS visible,
- o_orderkey % 3 AS generation, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'error' END AS status, o_orderdate AS at,
+ o_orderkey % 3 AS generation, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'error' END AS status, o_orderdate AS started,
  CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate - INTERVAL 3 DAY END AS verified_at, o_orderkey % 50 AS done, o_orderkey % 7 * 10 AS total, CASE WHEN o_orderkey % 6 = 0 THEN 4 ELSE 5 END AS version FROM orders""")
 NOW = "2000-06-01 00:00:00"
 
 
 @query("latest_jobs", """
 SELECT session_id, church_id, kind, job_id, status, CASE WHEN status = 'complete' THEN 100 WHEN total > 0 THEN round(100 * done / total)::INT ELSE -1 END AS pct FROM (
- SELECT * FROM job_table WHERE visible AND generation = session_id % 3) QUALIFY row_number() OVER (PARTITION BY session_id, church_id, kind ORDER BY at DESC, job_id DESC) = 1""", ("job_table",))
+ SELECT * FROM job_table WHERE visible AND generation = session_id % 3) QUALIFY row_number() OVER (PARTITION BY session_id, church_id, kind ORDER BY started DESC, job_id DESC) = 1""", ("job_table",))
 def latest_jobs(spark, sf):
     j = job_table(spark, sf)
     state = j.select("session_id").distinct().withColumn("generation", F.col("session_id") % 3)
@@ -167,20 +167,20 @@ def latest_jobs(spark, sf):
 
 
 @query("retention_latest", f"""
-SELECT church_id, kind, job_id, coalesce(verified_at, at) >= TIMESTAMP '{NOW}' - CASE kind WHEN 'medium' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AND (kind <> 'medium' OR version = 5) AS reusable FROM (
- SELECT * FROM job_table WHERE status = 'complete') QUALIFY row_number() OVER (PARTITION BY church_id, kind ORDER BY at DESC, job_id DESC) = 1""", ("job_table",))
+SELECT church_id, kind, job_id, coalesce(verified_at, started) >= TIMESTAMP '{NOW}' - CASE kind WHEN 'medium' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AND (kind <> 'medium' OR version = 5) AS reusable FROM (
+ SELECT * FROM job_table WHERE status = 'complete') QUALIFY row_number() OVER (PARTITION BY church_id, kind ORDER BY started DESC, job_id DESC) = 1""", ("job_table",))
 def retention_latest(spark, sf):
     return jobs.reusable_jobs(job_table(spark, sf), F.lit(NOW).cast("timestamp")).select("church_id", "kind", "job_id", "reusable")
 
 
 @query("job_expiry", f"""
-SELECT kind, status, CASE WHEN status = 'complete' AND coalesce(verified_at, at) < TIMESTAMP '{NOW}' - CASE kind WHEN 'medium' THEN INTERVAL 90 DAY ELSE INTERVAL 365 DAY END THEN 'expired'
+SELECT kind, status, CASE WHEN status = 'complete' AND coalesce(verified_at, started) < TIMESTAMP '{NOW}' - CASE kind WHEN 'medium' THEN INTERVAL 90 DAY ELSE INTERVAL 365 DAY END THEN 'expired'
  WHEN status IN ('pending', 'running') THEN 'error' ELSE status END AS new_status, count(*) AS n FROM job_table GROUP BY ALL""", ("job_table",))
 def job_expiry(spark, sf):
     return jobs.expire_jobs(job_table(spark, sf), F.lit(NOW).cast("timestamp")).groupBy("kind", "status", "new_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("retention_purge", f"""SELECT kind AS scope, count(*) AS n FROM job_table WHERE at >= TIMESTAMP '{NOW}' - CASE kind WHEN 'medium' THEN INTERVAL 90 DAY ELSE INTERVAL 365 DAY END GROUP BY kind""", ("job_table",))
+@query("retention_purge", f"""SELECT kind AS scope, count(*) AS n FROM job_table WHERE started >= TIMESTAMP '{NOW}' - CASE kind WHEN 'medium' THEN INTERVAL 90 DAY ELSE INTERVAL 365 DAY END GROUP BY kind""", ("job_table",))
 def retention_purge(spark, sf):
     d = job_table(spark, sf).select(F.col("kind").alias("scope"), F.col("started_at").alias("checked_at"))
     return jobs.purge(d, F.lit(NOW).cast("timestamp")).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
@@ -188,14 +188,14 @@ def retention_purge(spark, sf):
 
 @query("message_numbers", "SELECT user_id AS session_id, event_id AS message_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events")
 def message_numbers(spark, sf):
-    m = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), "ts")
+    m = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
     return jobs.number_messages(m, F.floor(F.unix_seconds("ts") / 86400)).select("session_id", "message_id", "n")
 
 
 @query("messages_after", """SELECT session_id, message_id FROM (SELECT user_id AS session_id, event_id AS message_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n > session_id % 50""")
 def messages_after(spark, sf):
     from tessera.operators import profiles
-    m = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), "ts")
+    m = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
     seen = m.select("session_id").distinct().withColumn("since", F.col("session_id") % 50)
     return profiles.messages_after(jobs.number_messages(m, F.floor(F.unix_seconds("ts") / 86400)), seen).select("session_id", "message_id")
 
@@ -313,7 +313,7 @@ def extract_checks(spark, sf):
 
 
 @query("complete_batches", """
-SELECT o_orderkey AS group_id, 3 AS asked, coalesce(good = 3 AND got = 3, FALSE) AS complete FROM orders LEFT JOIN (
+SELECT o_orderkey AS group_id, 3::BIGINT AS asked, coalesce(good = 3 AND got = 3, FALSE) AS complete FROM orders LEFT JOIN (
  SELECT l_orderkey, count(*) FILTER (l_linenumber <= 3 AND c = 1) AS good, count(*) AS got FROM (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY 1) ON l_orderkey = o_orderkey""")
 def complete_batches(spark, sf):
     w = table(spark, sf, "orders").select(F.col("o_orderkey").alias("group_id"), F.lit(0).alias("batch"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("field_id"))

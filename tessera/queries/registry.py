@@ -30,7 +30,10 @@ def with_ctes(body: str, *needs: str) -> str:
     for n in needs:
         visit(n)
     head = ",\n".join(f"{n} AS (\n{_CTES[n][1].strip()}\n)" for n in order)
-    return (f"WITH {head}\n" if head else "") + body.strip()
+    body = body.strip()
+    if head and body.startswith("WITH "):
+        return f"WITH {head},\n{body[5:]}"
+    return (f"WITH {head}\n" if head else "") + body
 
 
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
