@@ -57,7 +57,7 @@ class _PageReader(HTMLParser):
         if self.link is not None and not hidden:
             self.link[1].append(data)
         if not self.stack:
-            self.text.append(data)
+            self.text.append(data + " ")
 
 
 def _read(html: str):

@@ -193,10 +193,10 @@ LEFT JOIN group_priors b ON b.group_id = g.group_id AND b.feature = p.feature WH
 
 
 @query("group_ranking", """
-SELECT session_id, group_id, score, excluded, row_number() OVER (PARTITION BY session_id ORDER BY excluded, score DESC, group_id) AS row_no FROM (
+SELECT session_id, group_id, score, excluded, row_number() OVER (PARTITION BY session_id ORDER BY excluded, score DESC, adh DESC, group_id) AS row_no FROM (
  SELECT session_id, group_id, coalesce(bool_or(identity AND has_avoid AND m < 0), FALSE) OR coalesce(bool_or(identity AND has_want AND weight = 'dealbreaker' AND off_want), FALSE) AS excluded,
   round(round(greatest(0, least(100, coalesce(50 + 50 * sum(CASE WHEN m = 0 THEN CASE WHEN weight = 'dealbreaker' THEN -0.1 * w ELSE 0 END ELSE w * s * m END) FILTER (NOT skip) / sum(w) FILTER (NOT skip), 50.0))), 1)
-    + least(5.0, log10(max(adherents) + 1) / 1.6) / 5, 1) AS score
+    + least(5.0, log10(max(adherents) + 1) / 1.6) / 5, 1) AS score, max(adherents) AS adh
  FROM (SELECT *, identity AND has_avoid AND NOT has_want AND m >= 0 AS skip FROM group_rated) GROUP BY ALL) QUALIFY row_no <= 8""", ("group_rated",))
 def group_ranking(spark, sf):
     pri = E.best_evidence(T.evidence(spark, sf)).filter("value <> 'unknown'").select(F.col("church_id").alias("group_id"), "feature", "value", F.lit("").alias("note"))
