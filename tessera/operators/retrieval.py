@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as V
 from tessera.functions import rules as R
 from tessera.functions import text as X
-from tessera.functions.columns import lookup
-from tessera.operators.ordering import ordered_rank, running_before, top_per_group
+from tessera.functions.columns import computed_once, lookup
+from tessera.operators.ordering import ordered_rank, top_per_group
+from tessera.session import stage
 
 
 def chunk_documents(docs: DataFrame, words: int = 220, overlap: int = 40, min_chars: int = 80) -> DataFrame:
@@ -19,43 +20,47 @@ def chunk_documents(docs: DataFrame, words: int = 220, overlap: int = 40, min_ch
                        F.posexplode(X.word_windows(F.col("text"), words, overlap, min_chars)).alias("chunk_no", "text"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(group_id, url, chunk_no, source_type, len, term, tf): counted inside the row, no shuffle."""
-    toks = X.retrieval_tokens(F.concat_ws(" ", "text", "title"))
-    d = chunks.withColumn("_t", toks).withColumn("len", F.size("_t").cast("long"))
-    return d.select("group_id", "url", "chunk_no", "source_type", "len", F.inline(X.term_counts(F.col("_t")))).withColumnRenamed("gram", "term")
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """Chunk keys with token count and per-term counts (`tf` array): made inside the row, no shuffle."""
+    d = computed_once(chunks.select("group_id", "url", "chunk_no", "source_type", "text", "title"),
+                      _t=X.retrieval_tokens(F.concat_ws(" ", "text", "title")))
+    return d.select("group_id", "url", "chunk_no", "source_type", F.size("_t").cast("long").alias("len"), X.term_counts(F.col("_t")).alias("tf"))
 
 
-def collection_stats(chunks: DataFrame) -> DataFrame:
+def postings(toks: DataFrame) -> DataFrame:
+    """(group_id, url, chunk_no, source_type, len, term, tf) from `tokenised`."""
+    return toks.select("group_id", "url", "chunk_no", "source_type", "len", F.inline("tf")).withColumnRenamed("gram", "term")
+
+
+def collection_stats(toks: DataFrame) -> DataFrame:
     """Per group: number of chunks and their mean length."""
-    toks = X.retrieval_tokens(F.concat_ws(" ", "text", "title"))
-    return chunks.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size(toks)).alias("avg_len"))
+    return toks.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("group_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.4, b: float = 0.75, post: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.4, b: float = 0.75) -> DataFrame:
     """Top `k` chunks of a group for each query of the group, trusted sources ahead on near ties.
 
     `queries`: (group_id, query_id, query), or without group_id to ask every group the same
-    queries. Only postings of query terms are scored. Repeated query words count again.
+    queries. Only postings of query terms are scored; each gets its weight before it
+    meets the queries. Repeated query words count again. Chunks are tokenised once,
+    into a stage table that statistics, frequencies and scores all read.
     """
-    post = post if post is not None else postings(chunks)
-    q = queries.withColumn("_q", X.term_counts(X.retrieval_tokens(F.col("query"))))
+    toks = stage(tokenised(chunks), "chunk_terms")
+    q = computed_once(queries, _q=X.term_counts(X.retrieval_tokens(F.col("query"))))
     q = q.select(*[c for c in queries.columns if c != "query"], F.inline("_q")).withColumnsRenamed({"gram": "term", "tf": "qtf"})
-    shared = "group_id" not in queries.columns
-    terms = q.select("term").distinct() if shared else q.select("group_id", "term").distinct()
-    on = ["term"] if shared else ["group_id", "term"]
-    used = post.join(terms, on, "left_semi")
-    d = (used.join(document_frequency(used), ["group_id", "term"]).join(collection_stats(chunks), "group_id"))
+    on = ["group_id", "term"] if "group_id" in queries.columns else ["term"]
+    used = postings(toks).join(q.select(*on).distinct(), on, "left_semi")
+    d = used.join(document_frequency(used), ["group_id", "term"]).join(collection_stats(toks), "group_id")
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    d = d.withColumn("part", part).select("group_id", "url", "chunk_no", "source_type", "term", "part")
-    s = d.join(q, on).groupBy("group_id", "query_id", "url", "chunk_no", "source_type").agg(F.sum(F.col("part") * F.col("qtf")).alias("raw"))
     trust = 1 - 0.1 * F.coalesce(lookup(F.col("source_type"), V.SOURCE_RANK), F.lit(1))
-    s = s.withColumn("score", F.round(F.col("raw") * trust, 9)).filter("score > 0")
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * trust
+    d = d.select("group_id", "url", "chunk_no", "source_type", "term", part.alias("part"))
+    s = d.join(q, on).groupBy("group_id", "query_id", "url", "chunk_no", "source_type").agg(
+        F.round(F.sum(F.col("part") * F.col("qtf")), 9).alias("score")).filter("score > 0")
     return top_per_group(s, ["group_id", "query_id"], [F.desc("score"), F.desc("url"), F.desc("chunk_no")], k, "rank").select(
         "group_id", "query_id", "rank", "url", "chunk_no", "source_type", "score")
 
@@ -81,15 +86,16 @@ def question_passages(docs: DataFrame, questions: DataFrame, max_chars: int = 18
     """Passages for each question about an entity: most shared words first, up to a total of `max_chars`, the last one cut to fit.
 
     `docs`: (church_id, url, title, kind, text); `questions`: (church_id, question_id, question). Every passage
-    of the entity is a candidate, as words may be shared by none.
+    of the entity is a candidate, as words may be shared by none; texts are fetched for the chosen ones only.
     """
     d = docs.select("church_id", "url", X.question_terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("kind", F.lit("")))).alias("_head"),
                     F.inline(X.char_windows(F.col("text"), step, width)))
-    d = d.withColumn("_body", X.question_terms(F.col("text")))
-    q = questions.withColumn("_q", X.question_terms(F.col("question")))
-    j = q.join(d, "church_id")
-    shared = F.size(F.array_intersect("_q", "_body")) + F.size(F.array_intersect("_q", "_head"))
-    j = j.select("church_id", "question_id", "url", "offset", "text", shared.alias("relevance"), F.length("text").alias("_len"))
+    d = stage(d.withColumn("_body", X.question_terms(F.col("text"))), "passages")
+    q = computed_once(questions, _q=X.question_terms(F.col("question")))
+    slim = d.select("church_id", "url", "offset", F.length("text").alias("_len"), "_body", "_head")
+    # the question is the shorter side: it becomes the hash set, the passage is only scanned
+    shared = F.size(F.array_intersect("_body", "_q")) + F.size(F.array_intersect("_head", "_q"))
+    j = stage(q.join(slim, "church_id").select("church_id", "question_id", "url", "offset", shared.alias("relevance"), "_len"), "relevance")
     order = [F.desc("relevance"), F.col("offset"), F.col("url")]
     keys, least = ["church_id", "question_id"], 32
     # of passages with `least` characters or more only the first max_chars/least can fit: limited map-side, exactly
@@ -97,8 +103,8 @@ def question_passages(docs: DataFrame, questions: DataFrame, max_chars: int = 18
     pool = big.unionByName(j.filter(F.col("_len") < least))
     w = W.partitionBy(*keys).orderBy(*order)
     used = F.coalesce(F.sum("_len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = pool.withColumn("rn", F.row_number().over(w)).withColumn("_used", used)
-    return first.filter(F.col("_used") < max_chars).select(
+    picked = pool.withColumn("rn", F.row_number().over(w)).withColumn("_used", used).filter(F.col("_used") < max_chars)
+    return picked.join(d.select("church_id", "url", "offset", "text"), ["church_id", "url", "offset"]).select(
         "church_id", "question_id", F.col("rn").cast("long").alias("rn"), "url", "offset", "relevance",
         F.substring(F.col("text"), F.lit(1), (F.lit(max_chars) - F.col("_used")).cast("int")).alias("text"))
 

@@ -114,8 +114,8 @@ SELECT *, round(share, 2) AS known_share, CASE WHEN worship AND base_fit IN ('st
   SELECT c.session_id, c.church_id, c.name, c.distance_miles, p.w, coalesce(p.worship, FALSE) AS worship, coalesce(p.ban, FALSE) OR (c.denom_conf >= 0.8 AND coalesce(p.firm, FALSE)) AS excluded,
    coalesce(p.matched, '') AS matched, coalesce(p.unmatched, '') AS unmatched, coalesce(p.unknown, '') AS unknown,
    CASE WHEN coalesce(p.w, 0) = 0 THEN 1.0 ELSE coalesce(p.k, 0) / p.w END AS share,
-   round(greatest(0, least(100, CASE WHEN coalesce(p.w, 0) = 0 THEN 50.0 ELSE 50 + 50 * p.c / p.w END
-     - CASE WHEN c.distance_miles > 0.6 * c.max_miles THEN least(10.0, 10 * (c.distance_miles - 0.6 * c.max_miles) / (0.4 * c.max_miles)) ELSE 0 END)), 1) AS score
+   round(round(greatest(0, least(100, CASE WHEN coalesce(p.w, 0) = 0 THEN 50.0 ELSE 50 + 50 * p.c / p.w END
+     - CASE WHEN c.distance_miles > 0.6 * c.max_miles THEN least(10.0, 10 * (c.distance_miles - 0.6 * c.max_miles) / (0.4 * c.max_miles)) ELSE 0 END)), 9), 1) AS score
   FROM candidates_met c LEFT JOIN pair_sums p USING (session_id, church_id)))
 """, "candidates_met", "pair_sums")
 
@@ -180,6 +180,10 @@ def top_candidates(spark, sf):
 cte("group_priors", """
 SELECT church_id AS group_id, feature, value, '' AS note FROM best WHERE value <> 'unknown'
 """, "best")
+cte("nation_priors", """
+SELECT s_nationkey AS group_id, feature, value FROM evidence JOIN supplier ON s_suppkey = church_id QUALIFY row_number() OVER (PARTITION BY s_nationkey, feature ORDER BY
+  CASE tier WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'D' THEN 3 WHEN 'C' THEN 2 ELSE 1 END DESC, checked_at DESC, row_id, church_id) = 1
+""", "evidence")
 cte("group_rated", """
 SELECT p.session_id, g.group_id, p.feature, p.weight, p.w, g.adherents, len(p.avoid) > 0 AS has_avoid, len(p.want) > 0 AS has_want, p.feature IN ('identity.denomination', 'identity.tradition', 'identity.branch') AS identity,
   CASE WHEN b.value IS NULL THEN 0 WHEN f.free_form THEN CASE WHEN len([a FOR a IN p.avoid IF contains(b.value, a)]) > 0 THEN -1 WHEN len(p.want) > 0 THEN CASE WHEN len([a FOR a IN p.want IF contains(b.value, a)]) > 0 THEN 1 ELSE -1 END ELSE 0 END
@@ -187,21 +191,25 @@ SELECT p.session_id, g.group_id, p.feature, p.weight, p.w, g.adherents, len(p.av
    WHEN len(p.want) > 0 THEN CASE WHEN list_has_any([trim(x) FOR x IN string_split(b.value, ';')], p.want) THEN 1 ELSE -1 END WHEN len(p.avoid) > 0 THEN 1 ELSE 0 END AS m,
   CASE WHEN b.value IS NOT NULL AND len(p.want) > 0 AND NOT list_has_any([trim(x) FOR x IN string_split(b.value, ';')], p.want) THEN TRUE ELSE FALSE END AS off_want,
   CASE WHEN p.feature LIKE 'identity.%' THEN 1.0 ELSE 0.5 * 0.7 END AS s
-FROM preferences p JOIN features f ON f.feature = p.feature CROSS JOIN (SELECT s_suppkey AS group_id, greatest(s_acctbal, 0) AS adherents FROM supplier) g
-LEFT JOIN group_priors b ON b.group_id = g.group_id AND b.feature = p.feature WHERE p.w > 0 AND p.feature <> 'logistics.distance'
-""", "preferences", "features", "group_priors")
+FROM preferences p JOIN features f ON f.feature = p.feature CROSS JOIN (SELECT n_nationkey AS group_id, count(c_custkey) * 9100 AS adherents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) g
+LEFT JOIN (SELECT * FROM nation_priors WHERE value <> 'unknown') b ON b.group_id = g.group_id AND b.feature = p.feature WHERE p.w > 0 AND p.feature <> 'logistics.distance'
+""", "preferences", "features", "nation_priors")
 
 
 @query("group_ranking", """
 SELECT session_id, group_id, score, excluded, row_number() OVER (PARTITION BY session_id ORDER BY excluded, score DESC, adh DESC, group_id) AS row_no FROM (
  SELECT session_id, group_id, coalesce(bool_or(identity AND has_avoid AND m < 0), FALSE) OR coalesce(bool_or(identity AND has_want AND weight = 'dealbreaker' AND off_want), FALSE) AS excluded,
-  round(round(greatest(0, least(100, coalesce(50 + 50 * sum(CASE WHEN m = 0 THEN CASE WHEN weight = 'dealbreaker' THEN -0.1 * w ELSE 0 END ELSE w * s * m END) FILTER (NOT skip) / sum(w) FILTER (NOT skip), 50.0))), 1)
+  round(round(round(greatest(0, least(100, coalesce(50 + 50 * sum(CASE WHEN m = 0 THEN CASE WHEN weight = 'dealbreaker' THEN -0.1 * w ELSE 0 END ELSE w * s * m END) FILTER (NOT skip) / sum(w) FILTER (NOT skip), 50.0))), 9), 1)
     + least(5.0, log10(max(adherents) + 1) / 1.6) / 5, 1) AS score, max(adherents) AS adh
  FROM (SELECT *, identity AND has_avoid AND NOT has_want AND m >= 0 AS skip FROM group_rated) GROUP BY ALL) QUALIFY row_no <= 8""", ("group_rated",))
 def group_ranking(spark, sf):
-    pri = E.best_evidence(T.evidence(spark, sf)).filter("value <> 'unknown'").select(F.col("church_id").alias("group_id"), "feature", "value", F.lit("").alias("note"))
-    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("group_id"), F.col("s_name").alias("name"), F.greatest("s_acctbal", F.lit(0.0)).alias("adherents"),
-                                            F.lit(0.3).alias("variability"))
+    """Nations as the known groups: their priors are the best evidence of their suppliers, their size the number of customers."""
+    n = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("church_id"), F.col("s_nationkey").alias("group_id"))
+    pri = E.best_evidence(T.evidence(spark, sf).join(n, "church_id"), "group_id", ("row_id", "church_id")).filter("value <> 'unknown'").select(
+        "group_id", "feature", "value", F.lit("").alias("note"))
+    size = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.count(F.lit(1)) * 9100).alias("adherents"))
+    g = table(spark, sf, "nation").join(size, "n_nationkey", "left").select(F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("name"),
+                                                                            F.coalesce("adherents", F.lit(0)).alias("adherents"), F.lit(0.3).alias("variability"))
     d = matching.match_groups(T.preferences(spark, sf), T.features(spark, sf), pri, g)
     return d.select("session_id", "group_id", "score", "excluded", F.col("row_no").cast("long").alias("row_no"))
 

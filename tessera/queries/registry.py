@@ -10,8 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+TEXT_TABLES = ("documents", "pages", "conversations")      # costly row work: one split per core at least
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -46,4 +49,5 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df

@@ -56,3 +56,13 @@ def is_small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> bool:
     """Whether the planner's size figure for a table read from files is below a limit."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit_bytes
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one split per core before costly row work.
+
+    A small file with a single row group would otherwise be parsed by one task. Large
+    inputs have more splits than cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
