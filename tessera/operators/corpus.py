@@ -99,6 +99,11 @@ def pick_episodes(eps: DataFrame, quota: Column, block: Column, mode: str = "spr
     return d.filter(keep).drop("_n", "_newest", "_quota", "_recent", "_year", "_all", "_pos")
 
 
+def source_labels(sources: DataFrame, label: str) -> DataFrame:
+    """Enabled sources with the label they count under: the chosen column, else their tradition."""
+    return sources.filter(F.coalesce("enabled", F.lit(True))).withColumn("label", F.coalesce(F.nullif(label, F.lit("")), "tradition"))
+
+
 def source_quota(sources: DataFrame, label: str, total: int, least: int, most: int) -> DataFrame:
     """Episodes each source of a label may give: an even share of `total`, kept within bounds."""
     n = sources.groupBy(label).agg(F.count(F.lit(1)).alias("n_sources"))

@@ -134,8 +134,8 @@ def answer_facts(evidence: DataFrame, now: Column, limit: int = 40) -> DataFrame
 def viewed_whole(views: DataFrame, texts: DataFrame) -> DataFrame:
     """Whether viewed [start, end) ranges cover a text from its beginning, and where the first gap starts.
 
-    `views`: (url, start, end); `texts`: (url, total). Ranges are first merged per
-    coarse block, so one much-viewed page is reduced before its ranges are ordered.
+    `views`: (url, start, end); `texts`: (url, total). Ranges with one start are merged
+    first, map-side, so a much-viewed page has at most one row per start when ordered.
     """
     slim = views.groupBy("url", "start").agg(F.max("end").alias("end"))
     w = W.partitionBy("url").orderBy("start").rowsBetween(W.unboundedPreceding, -1)

@@ -586,3 +586,50 @@ def term_hints(spark, sf):
     t = b.select(F.explode("w").alias("term")).union(b.filter(F.size("w") >= 2).select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))))).distinct().withColumn("alias", F.col("term"))
     m = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "text")
     return lexicon.hints(m, t, 8, 2).select("message_id", F.col("rank").cast("long").alias("rank"), "term")
+
+
+# ---------------------------------------------------------------- small rules over whole tables
+@query("rule_steps", """
+SELECT o_orderkey, CASE WHEN x >= 100 THEN 0.9 WHEN x >= 88 THEN 0.8 WHEN x >= 85 THEN 0.6 WHEN x >= 70 THEN 0.3 ELSE 0.2 END AS confidence,
+ CASE WHEN k < 0.4 THEN 'unknown' WHEN x >= 70 THEN 'strong' WHEN x >= 58 THEN 'possible' WHEN x >= 45 THEN 'unlikely' ELSE 'poor' END AS fit,
+ CASE WHEN x < 20 THEN 'under_20' WHEN x <= 35 THEN '20_35' ELSE 'over_35' END AS length_bucket, CASE o_orderstatus WHEN 'F' THEN 0.15 WHEN 'O' THEN 0.5 ELSE 0.3 END AS variability,
+ o_orderstatus = 'P' AS is_unknown, 'Town ' || o_custkey AS city, CASE WHEN o_orderkey % 2 = 0 THEN 'https://a.org/' || o_orderkey ELSE '' END AS link, x AS points
+FROM (SELECT *, floor(o_totalprice)::BIGINT % 120 AS x, (o_orderkey % 10) / 10 AS k FROM orders)""")
+def rule_steps(spark, sf):
+    x, k = F.floor("o_totalprice") % 120, (F.col("o_orderkey") % 10) / 10
+    cell = F.when(F.col("o_orderstatus") == "F", "Low everywhere").when(F.col("o_orderstatus") == "O", "HIGH").otherwise(" N/A ")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", R.score_confidence(x).alias("confidence"), R.fit_label(x, k).alias("fit"), R.length_bucket(x).alias("length_bucket"), R.variability(cell).alias("variability"),
+        R.is_unknown_cell(cell).alias("is_unknown"), R.city_of(F.concat(F.lit("1 Main St, Town "), F.col("o_custkey").cast("string"), F.lit(", KS 67062"))).alias("city"),
+        U.safe_link(F.concat(F.when(F.col("o_orderkey") % 2 == 0, " https://a.org/").otherwise("javascript:"), F.col("o_orderkey").cast("string"))).alias("link"),
+        R.data_points(F.concat(F.lit("3 of "), x.cast("string"), F.lit(" seen"))).cast("long").alias("points"))
+
+
+@query("ladder_preferences", """
+SELECT c_custkey AS session_id, f AS feature, CASE WHEN mode IS NULL OR step IS NULL THEN '' WHEN pos <= step AND mode IN ('minimum', 'both') THEN CASE WHEN f = 'women.preach' THEN 'regularly,occasionally' ELSE 'yes' END
+ WHEN pos > step AND mode IN ('maximum', 'both') THEN CASE WHEN f = 'women.preach' THEN 'never' ELSE 'no' END ELSE '' END AS want
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 8 < 7 THEN c_custkey % 8 END AS step, CASE c_custkey % 4 WHEN 0 THEN 'minimum' WHEN 1 THEN 'maximum' WHEN 2 THEN 'both' END AS mode FROM customer),
+ (VALUES (1, 'women.deacon'), (2, 'women.teach_mixed_adults'), (3, 'women.preach'), (4, 'women.pastor_other'), (5, 'women.elder'), (6, 'women.senior_pastor')) v(pos, f)""")
+def ladder_preferences(spark, sf):
+    from tessera.operators import profiles
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), pick(list("abcdefg"), F.col("c_custkey") % 8).alias("rung"), pick(["minimum", "maximum", "both"], F.col("c_custkey") % 4).alias("mode"))
+    return profiles.ladder_preferences(a).select("session_id", "feature", F.array_join("want", ",").alias("want"))
+
+
+@query("link_rules", """
+SELECT o_orderkey, CASE k WHEN 0 THEN lpad(o_orderkey::VARCHAR, 11, 'a') WHEN 1 THEN lpad(o_orderkey::VARCHAR, 11, 'b') END AS video, CASE k WHEN 0 THEN 'page' WHEN 1 THEN 'youtube' WHEN 2 THEN 'rss' WHEN 3 THEN 'page' END AS feed, k = 4 AS blocked, k <> 5 AS public
+FROM (SELECT *, o_orderkey % 6 AS k FROM orders)""")
+def link_rules(spark, sf):
+    k, n = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    u = (F.when(k == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), F.lpad(n, 11, "a"))).when(k == 1, F.concat(F.lit("https://youtu.be/"), F.lpad(n, 11, "b"), F.lit("?t=3")))
+         .when(k == 2, F.concat(F.lit("https://a.org/"), n, F.lit("/feed"))).when(k == 3, F.concat(F.lit("https://a.org/sermons/"), n)).when(k == 4, F.concat(F.lit("https://a.org/give/"), n))
+         .otherwise(F.concat(F.lit("http://192.168.0.7/"), n)))
+    return table(spark, sf, "orders").select("o_orderkey", U.video_id(u).alias("video"), U.feed_kind(u, F.lit("")).alias("feed"), U.is_blocked(u).alias("blocked"), U.is_public(u).alias("public"))
+
+
+@query("topic_counts", """SELECT topic, count(*) AS n FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'definition settles another feature' ELSE 'fine' END AS topic FROM lineitem) GROUP BY topic""")
+def topic_counts(spark, sf):
+    """The topic-scope rule over every line item: even lines quote a definition for a feature it cannot settle."""
+    quote = F.when(F.col("l_linenumber") % 2 == 0, "a union of one man and one woman").otherwise("all members may serve")
+    r = R.topic_scope_reason(F.lit("lgbtq.inclusion"), F.lit("full"), quote)
+    return table(spark, sf, "lineitem").groupBy(F.coalesce(r, F.lit("fine")).alias("topic")).agg(F.count(F.lit(1)).alias("n"))

@@ -113,3 +113,21 @@ def test_knowledge_pipeline(spark):
     top = {r["query_id"]: r["url"] for r in out["hits"].filter("rank = 1").collect()}
     assert top == {"theology.baptism_recipients": "u1", "governance.polity": "u2"}
     assert "[1] (" in out["requests"].first()["text"]
+
+
+def test_recording_window_and_page_text(spark):
+    from tessera.functions import text as X
+    from tessera.operators import corpus
+    d = spark.createDataFrame([(None,), (100.0,), (1000.0,), (5000.0,)], "d double").select("d", corpus.window_start(F.col("d"), 60.0, 600.0).alias("s"))
+    assert {r["d"]: r["s"] for r in d.collect()} == {None: 60.0, 100.0: 0.0, 1000.0: 60.0, 5000.0: 2200.0}
+    t = spark.range(1).select(X.merge_page_text(F.lit("Main article body."), F.lit("Hero line\nmain ARTICLE body.\nHero line\nAll rights reserved\nmail me@x.org")).alias("t")).first()["t"]
+    assert t == "Hero line\nmail [email redacted]\nMain article body."
+    s = spark.createDataFrame([("a", "", "baptist", True), ("b", "sbc", "baptist", None), ("c", "x", "y", False)], "name string, denomination string, tradition string, enabled boolean")
+    assert {r["name"]: r["label"] for r in corpus.source_labels(s, "denomination").collect()} == {"a": "baptist", "b": "sbc"}
+
+
+def test_gap_questions(spark):
+    from tessera.operators import matching
+    d = spark.createDataFrame([("s", "c", f"f{i}", "Hope", f"Topic {i}", "important", i) for i in range(6)], "session_id string, church_id string, feature string, name string, label string, weight string, pos int")
+    got = [r["question"] for r in matching.gap_questions(d).orderBy("line").collect()]
+    assert len(got) == 4 and got[0] == "What does Hope say about topic 0?"
