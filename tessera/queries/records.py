@@ -134,9 +134,9 @@ JOB_STATUS = ["pending", "running", "complete", "error", "cancelled", "running",
 
 @query("job_states", f"""
 SELECT job_id, coalesce(arg_min(status, seq) FILTER (status IN ('complete', 'error', 'cancelled', 'expired')), arg_max(status, seq)) AS status FROM (
- SELECT l_orderkey AS job_id, l_partkey * 1000 + l_suppkey AS seq, {JOB_STATUS}[l_linenumber] AS status FROM lineitem) GROUP BY job_id""")
+ SELECT l_orderkey AS job_id, (l_partkey * 1000 + l_suppkey) * 10 + l_linenumber AS seq, {JOB_STATUS}[l_linenumber] AS status FROM lineitem) GROUP BY job_id""")
 def job_states(spark, sf):
-    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"), pick(JOB_STATUS, F.col("l_linenumber") - 1).alias("status"))
+    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("seq"), pick(JOB_STATUS, F.col("l_linenumber") - 1).alias("status"))
     return jobs.job_states(d)
 
 
@@ -504,9 +504,13 @@ def episode_latest(spark, sf):
 
 
 @query("episode_spread", """
-WITH y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d DESC, episode) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM (
-  SELECT * FROM (SELECT *, max(d) OVER (PARTITION BY source) AS newest FROM episodes) WHERE d >= newest - 365))
-SELECT y.source, y.episode FROM y JOIN (SELECT DISTINCT source, round_even(i * (n - 1) / 11, 0)::BIGINT AS p FROM (SELECT DISTINCT source, n FROM y), range(12) r(i)) g ON g.source = y.source AND g.p = y.p""", ("episodes",))
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d DESC, episode) - 1 AS r, count(*) OVER (PARTITION BY source) AS n_ok,
+   d >= max(d) OVER (PARTITION BY source) - 365 AS recent FROM episodes),
+ f AS (SELECT *, count(*) FILTER (recent) OVER (PARTITION BY source) AS y FROM e),
+ pool AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY r) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM f
+   WHERE n_ok <= 12 OR CASE WHEN y >= 12 THEN recent ELSE r < greatest(12, y) END),
+ grid AS (SELECT DISTINCT source, round_even(i * (n - 1) / 11, 0)::BIGINT AS p FROM (SELECT DISTINCT source, n FROM pool), range(12) r(i))
+SELECT source, episode FROM pool WHERE n_ok <= 12 OR (source, p) IN (SELECT (source, p) FROM grid)""", ("episodes",))
 def episode_spread(spark, sf):
     return corpus.pick_episodes(corpus.eligible_episodes(episodes(spark, sf)), F.lit(12), _day(), "spread").select("source", "episode")
 
