@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import secret_scan
+from tessera.llm import main_text, secret_scan
 from tessera.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
 @query("op2_secrets")
 def op2(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op3_main_text")
+def op3(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
