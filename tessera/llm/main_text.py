@@ -66,6 +66,34 @@ LABELLED = """
 28 0.0 31 0.0 26 0.0 0 0 1
 17 0.0 48 0.0 52 0.0 0 0 1
 90 0.2 6 0.0 3 0.5 0 0 1
+1 0.0 6 0.0 8 0.0 1 0 1
+1 0.0 6 0.0 1 1.0 1 0 1
+1 0.0 2 1.0 8 0.0 1 0 1
+1 0.0 2 1.0 1 1.0 1 0 1
+4 0.0 6 0.0 8 0.0 1 0 1
+4 0.0 6 0.0 1 1.0 1 0 1
+4 0.0 2 1.0 8 0.0 1 0 1
+4 0.0 2 1.0 1 1.0 1 0 1
+12 0.0 6 0.0 8 0.0 1 0 1
+12 0.0 6 0.0 1 1.0 1 0 1
+12 0.0 2 1.0 8 0.0 1 0 1
+12 0.0 2 1.0 1 1.0 1 0 1
+40 0.0 6 0.0 8 0.0 1 0 1
+40 0.0 6 0.0 1 1.0 1 0 1
+40 0.0 2 1.0 8 0.0 1 0 1
+40 0.0 2 1.0 1 1.0 1 0 1
+120 0.0 6 0.0 8 0.0 1 0 1
+120 0.0 6 0.0 1 1.0 1 0 1
+120 0.0 2 1.0 8 0.0 1 0 1
+120 0.0 2 1.0 1 1.0 1 0 1
+3 0.0 0 0.0 1 1.0 0 0 0
+1 0.0 1 1.0 3 1.0 0 0 0
+2 1.0 0 0.0 30 0.0 0 0 0
+5 1.0 20 0.0 5 1.0 0 0 0
+6 1.0 5 1.0 0 0.0 0 0 0
+2 0.0 3 1.0 0 0.0 0 0 0
+3 0.0 2 1.0 3 1.0 0 0 0
+2 0.0 1 1.0 1 0.0 0 0 0
 22 0.0 0 0.0 33 0.0 0 0 1
 40 0.0 1 1.0 30 0.0 0 0 1
 33 0.1 2 1.0 45 0.0 0 0 1
