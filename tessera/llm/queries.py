@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, main_text, secret_scan, token_mix
+from tessera.llm import chat_format, main_text, secret_scan, sim_hash, token_mix
 from tessera.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -39,3 +39,8 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     weights = token_mix.quality_weights(table(spark, sf_dir, "labels"))
     return token_mix.mix_words(table(spark, sf_dir, "documents"), weights)
+
+
+@query("op8_simhash")
+def op8(spark, sf_dir):
+    return sim_hash.near_duplicates(table(spark, sf_dir, "documents"))
