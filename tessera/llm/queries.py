@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, main_text, secret_scan, sim_hash, token_mix
+from pyspark.sql import functions as F
+
+from tessera.llm import chat_format, cover_search, main_text, secret_scan, sim_hash, token_mix
 from tessera.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -44,3 +46,8 @@ def op10(spark, sf_dir):
 @query("op8_simhash")
 def op8(spark, sf_dir):
     return sim_hash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_top_k")
+def op9(spark, sf_dir):
+    return cover_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
