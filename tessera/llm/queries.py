@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, cover_search, main_text, secret_scan, sim_hash, token_mix
+from tessera.llm import chat_format, cover_search, lang_id, main_text, secret_scan, sim_hash, token_mix
 from tessera.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -51,3 +51,8 @@ def op8(spark, sf_dir):
 @query("op9_top_k")
 def op9(spark, sf_dir):
     return cover_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op6_lang_id")
+def op6(spark, sf_dir):
+    return lang_id.identify(table(spark, sf_dir, "documents"))
