@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, cover_search, decontaminate, importance, lang_id, main_text, secret_scan, sim_hash, token_mix
+from tessera.llm import chat_format, cover_search, decontaminate, importance, lang_id, main_text, secret_scan, sim_hash, suffix_dedup, token_mix
 from tessera.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -66,3 +66,8 @@ def op5(spark, sf_dir):
 @query("op1_decontaminate")
 def op1(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
