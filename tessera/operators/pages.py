@@ -2,72 +2,62 @@
 
 from __future__ import annotations
 
+import html as html_lib
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as V
+from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.functions.columns import in_turn, strip
 from tessera.operators.ordering import first_per_group, ordered_rank, top_per_group
 
-_HIDDEN = {"script", "style", "noscript", "svg", "form", "iframe", "template"}
-_FRAME = {"nav", "header", "footer", "aside"}
-_BLOCKS = {"p", "div", "section", "article", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "ul", "ol", "table"}
-
-
-class _PageReader(HTMLParser):
-    """Title, visible text and links of one page."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.title, self.text, self.links, self.stack, self.in_title, self.link = [], [], [], [], False, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _HIDDEN or tag in _FRAME:
-            self.stack.append(tag)
-        if tag == "title":
-            self.in_title = True
-        elif tag == "a":
-            href = dict(attrs).get("href")
-            self.link = [href, []] if href else None
-            if self.link:
-                self.links.append(self.link)
-        elif tag in _BLOCKS:
-            self.text.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in self.stack:
-            del self.stack[len(self.stack) - 1 - self.stack[::-1].index(tag):]
-        if tag == "title":
-            self.in_title = False
-        elif tag == "a":
-            self.link = None
-        elif tag in _BLOCKS:
-            self.text.append("\n")
-
-    def handle_data(self, data):
-        hidden = any(t in _HIDDEN for t in self.stack)
-        if self.in_title:
-            self.title.append(data)
-            return
-        if self.link is not None and not hidden:
-            self.link[1].append(data)
-        if not self.stack:
-            self.text.append(data + " ")
-
-
-def _read(html: str):
-    p = _PageReader()
-    p.feed(html or "")
-    p.close()
-    lines = [re.sub(r"\s+", " ", s).strip() for s in "".join(p.text).split("\n")]
-    links = [{"href": h.strip(), "text": re.sub(r"\s+", " ", "".join(t)).strip()[:120]} for h, t in p.links
-             if not h.strip().lower().startswith(("#", "javascript:", "mailto:", "tel:"))]
-    return re.sub(r"\s+", " ", "".join(p.title)).strip()[:200], "\n".join(s for s in lines if s), links
+# Elements without readable text, page furniture, and elements that break lines.
+HIDDEN = "script|style|noscript|svg|form|iframe|template"
+FURNITURE = "nav|header|footer|aside"
+BREAKS = "p|div|section|article|li|br|h1|h2|h3|h4|h5|h6|tr|td|ul|ol|table"
+
+_COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)")
+_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
+_ANCHOR = re.compile(r"""(?is)<a\b([^>]*)>(.*?)(?=</a\b|<a\b|\Z)""")
+_HREF = re.compile(r"""(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_BREAK, _TAG = re.compile(rf"(?i)</?(?:{BREAKS})\b[^>]*>"), re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
+_SPACE = re.compile(r"\s+")
+
+
+def _without(page: str, names: str) -> str:
+    """The page without whole regions, innermost first; one that nobody closes ends with what holds it, or the page."""
+    inside = rf"(?is)<({names})\b[^>]*>(?:(?!<(?:{names})\b).)*?"
+    closed, left_open = re.compile(inside + r"</\1\s*>"), re.compile(inside + rf"(?=</(?:{FURNITURE})\s*>|\Z)")
+    cuts = 1
+    while cuts:
+        page, cuts = closed.subn(" ", page)
+        if not cuts:
+            page, cuts = left_open.subn(" ", page)
+    return page
+
+
+def _plain(piece: str) -> str:
+    return _SPACE.sub(" ", html_lib.unescape(_TAG.sub("", piece))).strip()
+
+
+def _read(page: str):
+    """Title, visible text and links. Regions go first, so what is left has no nesting to follow."""
+    page = _without(_COMMENT.sub("", page or ""), HIDDEN)
+    title = _TITLE.search(page)
+    page = _TITLE.sub(" ", page)
+    links = []
+    for attributes, label in _ANCHOR.findall(page):
+        target = _HREF.search(attributes)
+        href = html_lib.unescape(target[1] or target[2] or target[3] or "").strip() if target else ""
+        if href and not href.lower().startswith(("#", "javascript:", "mailto:", "tel:")):
+            links.append({"href": href, "text": _plain(label)[:120]})
+    text = _BREAK.sub("\n", _SPACE.sub(" ", _without(page, FURNITURE)))
+    lines = (_plain(_TAG.sub(" ", x)) for x in text.split("\n"))
+    return _plain(title[1])[:200] if title else "", "\n".join(x for x in lines if x), links
 
 
 def read_html(pages: DataFrame) -> DataFrame:
@@ -112,22 +102,41 @@ def resources(links: DataFrame) -> DataFrame:
                            ["url"], [F.col("kind"), F.col("label")])
 
 
-def crawl_frontier(links: DataFrame, starts: DataFrame, depth: int = 2, max_pages: int = 30) -> DataFrame:
-    """Pages of each site in the order a bounded crawl over a stored link table reaches them.
+def link_order(links: DataFrame, starts: DataFrame, max_pages: int = 30) -> DataFrame:
+    """(site, url_key, level, score, visit_no): the start page of each site, then the pages it links to, best link first.
 
-    Level by level: the links of the pages met so far are joined to the link table,
-    best score first within a level; a site keeps its first `max_pages` (a setting of
-    the crawl). Collection pages are listed but not expanded.
-    `links`: (page_key, url_key, url, score, collection); `starts`: (site, url_key).
+    The order in which stored links of a site should be visited; a site keeps `max_pages` (a setting of the crawl).
+    `links`: (page_key, url_key, score); `starts`: (site, url_key).
     """
-    seen = starts.select("site", "url_key", F.lit(0).alias("level"), F.lit(200).alias("score"), F.lit(False).alias("collection"))
-    front = seen
-    for level in range(1, depth + 1):
-        nxt = (front.filter(~F.col("collection")).select("site", F.col("url_key").alias("page_key")).join(links, "page_key")
-               .groupBy("site", "url_key").agg(F.max("score").alias("score"), F.bool_or("collection").alias("collection")))
-        front = nxt.join(seen.select("site", "url_key"), ["site", "url_key"], "left_anti").withColumn("level", F.lit(level)).select(*seen.columns)
-        seen = seen.unionByName(front)
-    return top_per_group(seen, ["site"], [F.col("level"), F.desc("score"), F.col("url_key")], max_pages, "visit_no")
+    first = starts.select("site", "url_key", F.lit(0).alias("level"), F.lit(200).alias("score"))
+    on_start = (starts.select("site", F.col("url_key").alias("page_key")).join(links, "page_key").filter("url_key <> page_key")
+                .groupBy("site", "url_key").agg(F.lit(1).alias("level"), F.max("score").alias("score")))
+    return top_per_group(first.unionByName(on_start), ["site"], [F.col("level"), F.desc("score"), F.col("url_key")], max_pages, "visit_no")
+
+
+def passages_in(docs: DataFrame, passages: DataFrame, most_words: int = 5) -> DataFrame:
+    """(item_id, doc_id): passages (item_id, q) that stand in documents (doc_id, t), both in match form, word borders or not.
+
+    The first and last word of a passage may be cut off longer ones, those between stand whole: up to `most_words`
+    of them are the join key, fewer for shorter passages. A passage without whole words is keyed by its first
+    letters, up to three. Every key is a necessary condition; `contains` is the last test. An empty passage stands nowhere.
+    """
+    words, inside = F.split("t", " "), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0))
+    p = (passages.filter("q <> ''").withColumn("n", F.least(inside, F.lit(most_words)))
+         .withColumn("key", F.when(F.col("n") > 0, F.array_join(F.slice(F.split("q", " "), F.lit(2), F.greatest("n", F.lit(1))), " ")).otherwise(F.substring("q", 1, 3)))
+         .withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(-F.length("key"))))
+    lengths = [r["n"] for r in p.select("n").distinct().collect()]          # eight values at most
+
+    def letters(k):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(k)))
+    keys = [docs.select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(X.ngrams(words, n) if n > 0 else letters(-n))).alias("key")) for n in lengths]
+    if not keys:
+        return p.select("item_id", F.lit(None).cast("long").alias("doc_id"))
+    some = keys[0]
+    for k in keys[1:]:
+        some = some.unionByName(k)
+    pairs = some.join(p, ["n", "key"]).select("item_id", "q", "doc_id")
+    return pairs.join(docs, "doc_id").filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
 
 
 def page_lines(read: DataFrame) -> DataFrame:

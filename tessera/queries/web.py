@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.operators import pages
 from tessera.queries.registry import cte, query, table
+from tessera.session import stage
 
 HOST = r"regexp_replace(regexp_extract(lower({u}), '^[a-z]+://([^/?#]*)', 1), '^www\.', '')"
 PATH = r"regexp_extract({u}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
@@ -102,10 +103,10 @@ SELECT site, url_key, level, visit_no FROM (SELECT *, row_number() OVER (PARTITI
  SELECT l.page_site, l.url, 1, max(l.score) FROM link_graph l JOIN (SELECT {HOST.format(u='url')} AS site, min(url) AS url_key FROM pages GROUP BY 1) s ON s.url_key = l.page_url
  WHERE l.url <> s.url_key GROUP BY ALL)) WHERE visit_no <= 30""", ("link_graph",))
 def crawl_frontier(spark, sf):
-    """Two levels from the first page of each site; pages one link away are not stored here, so the second level is empty."""
-    li = pages.page_links(read(spark, sf)).select(F.col("page_url").alias("page_key"), F.col("url").alias("url_key"), "url", "score", F.col("resource").isNotNull().alias("collection"))
+    """Stored links of the first page of each site in visiting order."""
+    li = pages.page_links(read(spark, sf)).select(F.col("page_url").alias("page_key"), F.col("url").alias("url_key"), "score")
     starts = table(spark, sf, "pages").groupBy(U.host(F.col("url")).alias("site")).agg(F.min("url").alias("url_key"))
-    return pages.crawl_frontier(li, starts).select("site", "url_key", "level", F.col("visit_no").cast("long").alias("visit_no"))
+    return pages.link_order(li, starts).select("site", "url_key", F.col("level"), F.col("visit_no").cast("long").alias("visit_no"))
 
 
 @query("feed_links", rf"""
@@ -140,13 +141,7 @@ def latest_sources(spark, sf):
 SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN (SELECT trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9'' ]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents) d
  ON contains(d.t, trim(regexp_replace(regexp_replace(lower(b.text), '[^a-z0-9'' ]', ' ', 'g'), '\\s+', ' ', 'g'))) GROUP BY b.item_id""")
 def quote_check(spark, sf):
-    """Benchmark passages standing verbatim in documents: joined on their first words, then the exact test."""
-    n = 5
-    form = lambda c: X.match_form(c)
-    d = table(spark, sf, "documents").select("doc_id", form(F.col("text")).alias("t"))
-    d = d.withColumn("w", F.split("t", " "))
-    q = table(spark, sf, "benchmark").select("item_id", form(F.col("text")).alias("q"))
-    q = q.withColumn("qw", F.split("q", " ")).withColumn("key", F.array_join(F.slice("qw", 2, n), " "))
-    keys = d.select("doc_id", F.explode(F.array_distinct(X.ngrams(F.col("w"), n))).alias("key"))
-    hit = keys.join(q, "key").select("item_id", "doc_id", "q").join(d.select("doc_id", "t"), "doc_id").filter(F.contains("t", F.col("q")))
-    return hit.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Benchmark passages standing verbatim in documents: joined on a piece of the passage, then the exact test."""
+    d = stage(table(spark, sf, "documents").select("doc_id", X.match_form(F.col("text")).alias("t")), "quote-documents")
+    q = table(spark, sf, "benchmark").select("item_id", X.match_form(F.col("text")).alias("q"))
+    return pages.passages_in(d, stage(q, "quote-passages")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus, pages
@@ -105,12 +107,29 @@ def test_html_reader(spark):
     assert links["https://a.org/home/staff"]["score"] == 95 and links["https://a.org/home/staff"]["kind"] == "staff"
 
 
-def test_frontier_two_levels(spark):
-    g = [("a", "b", 100), ("a", "c", 90), ("b", "d", 80), ("c", "d", 85), ("d", "e", 100)]
-    links = spark.createDataFrame([(p, u, u, s, u == "c") for p, u, s in g], "page_key string, url_key string, url string, score int, collection boolean")
+@pytest.mark.parametrize("page, text, links", [
+    (None, "", []), ("", "", []), ("<p>a<nav>b<form>c</nav>d", "a\nd", []), ("<p>a<aside>b", "a", []), ("a<nav><nav>b</nav>c</nav>d", "a d", []),
+    ("x<!-- <nav> -->y<script>'<nav>'</script> z", "xy z", []), ("<a href=\"/q?a=1&amp;b=2\">go <b>on</b>", "go on", [("/q?a=1&b=2", "go on")]),
+    ("<nav><a href='/n'>N</a></nav><a>none</a><a href='#x'>top</a>t &lt; u", "none top t < u", [("/n", "N")]),
+])
+def test_html_reader_on_odd_pages(spark, page, text, links):
+    r = pages.read_html(spark.createDataFrame([("u", page)], "url string, html string")).first()
+    assert "".join(r["text"].split()) == "".join(text.split()) and [(x["href"], x["text"]) for x in r["links"]] == links
+
+
+def test_links_of_start_pages_in_order(spark):
+    links = spark.createDataFrame([("a", "b", 90), ("a", "c", 100), ("a", "b", 95), ("a", "a", 99), ("b", "d", 80)], "page_key string, url_key string, score int")
     starts = spark.createDataFrame([("s", "a")], "site string, url_key string")
-    got = [(r["url_key"], r["level"]) for r in pages.crawl_frontier(links, starts).orderBy("visit_no").collect()]
-    assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    got = [(r["url_key"], r["level"]) for r in pages.link_order(links, starts).orderBy("visit_no").collect()]
+    assert got == [("a", 0), ("c", 1), ("b", 1)]
+
+
+def test_passages_of_any_length(spark):
+    d = spark.createDataFrame([(1, "the quick brown fox jumps high over it"), (2, "thequick brownish"), (3, "")], "doc_id long, t string")
+    passages = ["quick brown fox", "the quick brown fox jumps hi", "quick brown", "ck", "rown", "x jumps h", "", "absent words here"]
+    q = spark.createDataFrame(list(enumerate(passages)), "item_id int, q string")
+    want = {(i, r["doc_id"]) for i, p in enumerate(passages) for r in d.collect() if p and p in r["t"]}
+    assert {tuple(r) for r in pages.passages_in(d, q).collect()} == want
 
 
 def test_repeated_lines_leave_text_in_order(spark):
