@@ -44,8 +44,8 @@ def source_id(url: Column) -> Column:
 
 
 def new_sources(proposals: DataFrame, known: DataFrame) -> DataFrame:
-    """Register rows for addresses not known yet, typed by the first proposal that cites them."""
-    d = proposals.filter(F.col("url").startswith("http")).groupBy("url").agg(F.min("source_type").alias("source_type"))
+    """Register rows for addresses not known yet, typed by the first proposal (smallest `seq`) that cites them."""
+    d = proposals.filter(F.col("url").startswith("http")).groupBy("url").agg(F.min_by("source_type", "seq").alias("source_type"))
     d = d.join(known.select("url"), "url", "left_anti")
     return d.select(source_id(F.col("url")).alias("id"), F.col("url").alias("title"), "url",
                     F.coalesce(lookup(F.col("source_type"), V.SOURCE_TYPE_LABEL), F.col("source_type")).alias("type"))
@@ -188,10 +188,10 @@ def needs_check(model: str, version: str) -> Column:
 
 
 def apply_review(proposals: DataFrame, sheet: DataFrame) -> DataFrame:
-    """Reviewed decisions onto proposals, by group, field, action and value."""
+    """Reviewed decisions onto proposals, by group, field, action and value. Of several rows the last (largest `row_no`) counts."""
     d = F.lower(F.trim("review_decision"))
     key = ["group_id", "field_id", "action", "new_value"]
-    s = sheet.withColumn("_d", d).filter(F.col("_d").isin("accept", "reject")).groupBy(*key).agg(F.max("_d").alias("_d"))
+    s = sheet.withColumn("_d", d).filter(F.col("_d").isin("accept", "reject")).groupBy(*key).agg(F.max_by("_d", "row_no").alias("_d"))
     j = proposals.join(s, key, "left")
     return j.withColumn("human_decision", F.coalesce("_d", F.col("human_decision"))).drop("_d")
 

@@ -151,7 +151,7 @@ def kb_group_status(spark, sf):
 
 @query("kb_new_sources", """
 SELECT 'dkb_' || substr(sha1(url), 1, 10) AS id, url AS title, url, CASE WHEN t IN ('official', 'register') THEN 'official_denomination' WHEN t = 'wikipedia' THEN 'encyclopedia'
- WHEN t = 'wikidata' THEN 'knowledge_graph' ELSE t END AS type FROM (SELECT url, min(source_type) AS t FROM proposals WHERE url LIKE 'http%' GROUP BY url)
+ WHEN t = 'wikidata' THEN 'knowledge_graph' ELSE t END AS type FROM (SELECT url, arg_min(source_type, seq) AS t FROM proposals WHERE url LIKE 'http%' GROUP BY url)
 WHERE url NOT IN (SELECT 'https://site1.example.org/p/' || p_partkey FROM part)""", ("proposals",))
 def kb_new_sources(spark, sf):
     known = table(spark, sf, "part").select(F.concat(F.lit("https://site1.example.org/p/"), F.col("p_partkey").cast("string")).alias("url"))
@@ -161,14 +161,13 @@ def kb_new_sources(spark, sf):
 @query("kb_review_applied", """
 SELECT group_id, human_decision, count(*) AS n FROM (
  SELECT p.group_id, coalesce(d.d, p.human_decision) AS human_decision FROM proposals p LEFT JOIN
-  (SELECT group_id, field_id, action, new_value, CASE WHEN max(l) >= 6 THEN 'accept' ELSE 'reject' END AS d FROM (SELECT *, (seq // 10000000) % 10 AS l FROM proposals) WHERE l IN (5, 6) GROUP BY ALL) d
+  (SELECT group_id, field_id, action, new_value, arg_max(CASE WHEN l = 6 THEN 'accept' ELSE 'reject' END, seq) AS d FROM (SELECT *, (seq // 10000000) % 10 AS l FROM proposals) WHERE l IN (5, 6) GROUP BY ALL) d
   USING (group_id, field_id, action, new_value)) GROUP BY ALL""", ("proposals",))
 def kb_review_applied(spark, sf):
     p = proposals(spark, sf)
     l = F.floor(F.col("seq") / 10_000_000) % 10
-    # the highest line number decides where a claim was reviewed twice
-    sheet = p.withColumn("l", l).filter("l in (5, 6)").groupBy("group_id", "field_id", "action", "new_value").agg(
-        F.when(F.max("l") >= 6, " Accept ").otherwise("reject").alias("review_decision"))
+    # the sheet has several rows for a claim; the last one decides
+    sheet = p.withColumn("l", l).filter("l in (5, 6)").select("group_id", "field_id", "action", "new_value", F.when(F.col("l") == 6, " Accept ").otherwise("reject").alias("review_decision"), F.col("seq").alias("row_no"))
     return K.apply_review(p, sheet).groupBy("group_id", "human_decision").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,12 +187,26 @@ def kb_source_urls(spark, sf):
     return K.source_urls(ev, src)
 
 
+def _spec_fields(spark, sf):
+    """The fields of the parts, and one field for every subtopic with search words, dealt to the parts' brands."""
+    words = spark.createDataFrame(list(enumerate(k for k, _ in V.FIELD_KEYWORDS)), "i int, subtopic string")
+    f = fields(spark, sf).withColumn("b", F.regexp_extract("description", r"(\d+)", 1).cast("int"))
+    more = f.join(words, F.col("i") % 25 + 1 == F.col("b")).select(F.concat("layer", F.lit("."), words["subtopic"]).alias("field_id"), "layer", words["subtopic"], F.concat(F.lit("About "), words["subtopic"]).alias("description"))
+    return fields(spark, sf).unionByName(more)
+
+
+_KEYWORDS = "(VALUES " + ", ".join(f"({i}, '{k}', '" + v.replace("'", "''") + "')" for i, (k, v) in enumerate(V.FIELD_KEYWORDS)) + ") k(i, subtopic, words)"
+_LISTED = lambda xs: ", ".join(f"'{x}'" for x in xs)
+
+
 @query("kb_field_specs", f"""
-SELECT field_id, field_id NOT IN ({", ".join(f"'{x}'" for x in V.FIELDS_NEVER_EXTRACTED)}) AND layer <> 'distinguishing_metadata' AS extract,
- layer = 'theology' AND field_id <> 'theology.afterlife' AS christian_only,
- CASE WHEN subtopic = 'primary_family' THEN 'tradition denomination family protestant catholic orthodox baptist methodist lutheran pentecostal' ELSE lower(description) END AS keywords FROM fields""", ("fields",))
+SELECT field_id, field_id NOT IN ({_LISTED(V.FIELDS_NEVER_EXTRACTED)}) AND (layer <> 'distinguishing_metadata' OR field_id IN ({_LISTED(V.METADATA_FIELDS_EXTRACTED)})) AS extract,
+ (layer = 'theology' AND field_id NOT IN ({_LISTED(V.THEOLOGY_FIELDS_FOR_ALL)})) OR field_id IN ({_LISTED(V.OTHER_RESTRICTED_FIELDS)}) AS christian_only, coalesce(k.words, lower(description)) AS keywords
+FROM (SELECT field_id, layer, subtopic, description FROM fields
+ UNION ALL SELECT layer || '.' || k.subtopic, layer, k.subtopic, 'About ' || k.subtopic FROM fields f JOIN {_KEYWORDS} ON k.i % 25 + 1 = regexp_extract(f.description, '(\\d+)', 1)::INT) f
+LEFT JOIN {_KEYWORDS} USING (subtopic)""", ("fields",))
 def kb_field_specs(spark, sf):
-    return K.field_specs(fields(spark, sf)).select("field_id", "extract", "christian_only", "keywords")
+    return K.field_specs(_spec_fields(spark, sf)).select("field_id", "extract", "christian_only", "keywords")
 
 
 @query("kb_examples", """
@@ -248,21 +261,25 @@ def kb_wide_output(spark, sf):
     return K.wide_output(cells(spark, sf), applied(spark, sf), FIELD_IDS)
 
 
-@query("kb_long_cells", "SELECT group_id, field_id, value FROM cells WHERE field_id IN (SELECT field_id FROM fields WHERE layer = 'governance')", ("cells", "fields"))
+@query("kb_long_cells", "SELECT group_id, field_id, coalesce(value, '') AS value FROM (SELECT DISTINCT group_id FROM cells) CROSS JOIN (SELECT DISTINCT field_id FROM fields) LEFT JOIN cells USING (group_id, field_id)", ("cells", "fields"))
 def kb_long_cells(spark, sf):
-    """A wide layer sheet whose headers are field descriptions, taken apart again."""
-    bs = [b for b in range(1, 26) if FIELD_IDS[b - 1].startswith("governance.")]
-    wide = cells(spark, sf).groupBy(F.col("group_id").alias("id")).pivot("field_id", [FIELD_IDS[b - 1] for b in bs]).agg(F.first("value"))
-    wide = wide.select("id", F.lit("x").alias("census_name"), *[F.col(f"`{FIELD_IDS[b - 1]}`").alias(f" DESCRIPTION {b}") for b in bs])
-    return K.long_cells(wide, fields(spark, sf), "governance")
+    """The wide sheets of all six layers, whose headers are field descriptions, taken apart again."""
+    c, f, out = cells(spark, sf), fields(spark, sf), None
+    for layer in LAYERS:
+        bs = [b for b in range(1, 26) if FIELD_IDS[b - 1].startswith(layer + ".")]
+        wide = c.groupBy(F.col("group_id").alias("id")).pivot("field_id", [FIELD_IDS[b - 1] for b in bs]).agg(F.first("value"))
+        wide = wide.select("id", F.lit("x").alias("census_name"), *[F.col(f"`{FIELD_IDS[b - 1]}`").alias(f" DESCRIPTION {b}") for b in bs])
+        part = K.long_cells(wide, f, layer)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("kb_claims_blocks", """
 SELECT group_id, batch, string_agg('[' || (pos + 1) || '] FIELD: ' || field_id || ' (' || field_id || ')' || chr(10) || '    VALUE: ' || new_value || chr(10) || '    QUOTE: "' || quote || '"', chr(10) ORDER BY pos) AS text,
  count(*) AS claims FROM (SELECT *, (rn // 8)::BIGINT AS batch, (rn % 8)::BIGINT AS pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY seq) - 1 AS rn FROM proposals WHERE action <> 'not_applicable' AND source_type <> 'wikidata' AND verdict IS NULL)) GROUP BY ALL""", ("proposals",))
+  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY seq) - 1 AS rn FROM proposals WHERE action <> 'not_applicable' AND source_type <> 'wikidata' AND (verdict IS NULL OR verify_model <> 'm1'))) GROUP BY ALL""", ("proposals",))
 def kb_claims_blocks(spark, sf):
-    todo = proposals(spark, sf).filter(K.needs_check("m1", "v1") & F.col("verdict").isNull())
+    todo = proposals(spark, sf).filter(K.needs_check("m1", "v1"))
     d = retrieval.in_batches(todo, ["group_id"], [F.col("seq")], 8, F.floor(F.col("seq") / 1e11)).withColumn("description", F.lit(None).cast("string"))
     return responses.claims_blocks(d)
 

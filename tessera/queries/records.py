@@ -31,7 +31,7 @@ LEFT JOIN (SELECT term FROM entries WHERE NOT a AND term NOT IN (SELECT term FRO
 """, "entries")
 cte("entries", f"""SELECT *, t IN ('contested', 'evaluative') OR (t = 'polysemous' AND drift >= 0.3) AS a FROM (
  SELECT p_partkey, p_name || ' ' || p_partkey AS term, {TYPES}[p_size % 10 + 1] AS t, (p_partkey % 10) / 10 AS drift, p_partkey * 7 % 101 AS demand FROM part)""")
-cte("votes", """SELECT p_partkey, l_suppkey % 3 AS reviewer, max(l_returnflag) AS rf, max(l_linestatus) AS ls, max(l_linenumber) AS ln FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45 GROUP BY ALL""")
+cte("votes", """SELECT p_partkey, l_suppkey % 3 AS reviewer, max(l_returnflag) AS rf, max(l_linestatus) AS ls, max(l_linenumber) AS ln FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 cte("outcomes", """
 SELECT term, tier, votes, need, has_error, CASE WHEN rejected THEN 'rejected' WHEN need IS NULL THEN 'open' WHEN votes < need THEN 'under_reviewed' WHEN neutral THEN 'vetted' ELSE 'open' END AS outcome FROM (
  SELECT t.term, t.tier, coalesce(v.n, 0) AS votes, CASE t.tier WHEN 'A' THEN 2 WHEN 'B' THEN 1 WHEN 'audit' THEN 1 END AS need, coalesce(v.err, FALSE) AS has_error, coalesce(v.rej, FALSE) AS rejected, coalesce(v.neu, FALSE) AS neutral
@@ -40,7 +40,7 @@ SELECT term, tier, votes, need, has_error, CASE WHEN rejected THEN 'rejected' WH
 
 
 def _votes(spark, sf):
-    d = table(spark, sf, "lineitem").filter("l_quantity >= 45").groupBy("l_partkey", (F.col("l_suppkey") % 3).alias("reviewer")).agg(
+    d = table(spark, sf, "lineitem").groupBy("l_partkey", (F.col("l_suppkey") % 3).alias("reviewer")).agg(
         F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"), F.max("l_linenumber").alias("ln"))
     e = entries(spark, sf).select("term", F.col("p_partkey").alias("l_partkey"))
     yn = lambda no: F.when(no, " No").otherwise("yes")
@@ -348,7 +348,7 @@ def draft_routes(spark, sf):
                                         F.array(F.lit("a")).alias("neutral_options"), F.lit("why?").alias("disambiguation_question"))
     known = spark.createDataFrame([("topic.1",)], "feature string")
     r = p.select(F.col("p_partkey").alias("term"), F.col("p_partkey").alias("rank"), F.col("p_size").alias("count"))
-    return responses.route_drafts(r, responses.draft_errors(known, d)).select("term", F.when(F.col("count") > 40, "failed").otherwise(F.col("route")).alias("route"), "low_evidence")
+    return responses.route_drafts(r, responses.draft_errors(known, d)).select("term", "route", "low_evidence")
 
 
 @query("fact_rows", """
