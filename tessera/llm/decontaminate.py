@@ -6,9 +6,11 @@ threshold means the same for all. Postings are kept in blocks with their largest
 impact. Every passage of every document (windows of two units, one unit apart, so
 that a whole unit always lies within one) is a query:
 
-1. Words in many units are set apart; a unit gets at most the share of its own
-   score that it holds in them. Passages whose other words cannot add up to the rest
-   are skipped, by a running sum over the document.
+1. Words in many units are set apart: a unit gets at most the share of its own score
+   that it holds in them. The other words, however often they come, add their
+   impacts by unit, for all passages of a batch at once; passages in which no unit
+   reaches the threshold by this bound are skipped, then those in which none does
+   when each word counts once.
 2. The rest run block-max WAND: the pivot comes from whole-list maxima, is confirmed
    by block maxima, else the search leaps to the next block border.
 3. Units above the threshold name their item. Its question (all but the last
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,7 @@ GRAM = 3
 LEAST_WORDS = 5
 COMMON_SHARE = 0.04
 PART_BYTES = 16 << 20
+GROUP_WORDS = 1 << 18
 
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _END = re.compile(r"[.!?]+\s|\n")
@@ -101,8 +105,18 @@ class Index:
         self.most = [max(s) for s in self.impacts]
         self.block_most = [[max(s[i:i + BLOCK]) for i in range(0, len(s), BLOCK)] for s in self.impacts]
         common = {w for w, c in df.items() if c > COMMON_SHARE * n and w in self.word}
-        self.common_share = max((sum(s for w, s in unit.items() if w in common) for unit in weights), default=0.0)
-        self.rare_most = np.array([0.0 if w in common else m for w, m in zip(postings, self.most, strict=True)] + [0.0])
+        self.common_share = np.zeros(len(weights))                     # by unit; 0 where it would do alone: there all words count as rare
+        rare: dict[bytes, list[tuple[int, float]]] = {w: [] for w in postings}
+        for u, unit in enumerate(weights):
+            share = sum(s for w, s in unit.items() if w in common)
+            self.common_share[u] = share if share < THRESHOLD else 0.0
+            for w, s in unit.items():
+                if w not in common or not self.common_share[u]:
+                    rare[w].append((u, s))
+        self.rare_len = np.array([len(p) for p in rare.values()] + [0], np.int64)
+        self.rare_from = np.cumsum(self.rare_len) - self.rare_len
+        self.rare_unit = np.array([u for p in rare.values() for u, _ in p], np.int64)
+        self.rare_impact = np.array([s for p in rare.values() for _, s in p])
 
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Units whose score for the distinct `terms` reaches the threshold, by block-max WAND."""
@@ -147,21 +161,62 @@ class Index:
                 for x in lists[:p + 1]:
                     _seek(x, pivot)
 
-    def search(self, text: str | None) -> list[tuple[int | None, float, float, float]]:
-        """(item_id, score, question and answer coverage) of the items that a document holds."""
-        words = words_of(text)
-        if not words or not self.word:
-            return []
-        get, none = self.word.get, len(self.word)
-        ids = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(self.rare_most[ids])])
-        starts = np.arange(0, max(len(words) - UNIT, 1), UNIT)
-        ends = np.minimum(starts + 2 * UNIT, len(words))
+    def search(self, texts: list[str | None]) -> list[list[tuple[int | None, float, float, float]]]:
+        """For each document (item_id, score, question and answer coverage) of the items that it holds."""
+        out, group, size = [], [], 0
+        for t in texts:
+            words = words_of(t)
+            group.append(words)
+            size += len(words)
+            if size > GROUP_WORDS:
+                out += self._search(group)
+                group, size = [], 0
+        return out + self._search(group)
+
+    def _search(self, texts: list[list[bytes]]) -> list[list[tuple[int | None, float, float, float]]]:
+        if not self.word:
+            return [[] for _ in texts]
+        none, lens = len(self.word), np.array([len(w) for w in texts], np.int64)
+        ids = np.fromiter(map(self.word.get, chain.from_iterable(texts), repeat(none)), np.int64, int(lens.sum()))
+        runs = np.maximum(-(-lens // UNIT), 1)                         # a passage is a run of UNIT words and the next one of its document
+        first_run, first_word = np.cumsum(runs) - runs, np.cumsum(lens) - lens
+        at = np.flatnonzero(self.rare_len[ids])
+        doc = np.searchsorted(first_word, at, side="right") - 1
+        run = first_run[doc] + (at - first_word[doc]) // UNIT
+        n = self.rare_len[ids[at]]
+        entry = np.repeat(self.rare_from[ids[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        run, unit, impact = np.repeat(run, n), self.rare_unit[entry], self.rare_impact[entry]
+        doc = np.repeat(doc, n)
+        final = first_run[doc] + runs[doc] - 1
+        one, two = (run < final) | (runs[doc] == 1), run > first_run[doc]       # the passages that a word lies in: that of its run and the one before
+        key = np.concatenate([run[one], run[two] - 1]) * len(self.common_share) + np.concatenate([unit[one], unit[two]])
+        order = np.argsort(key, kind="stable")
+        key, new = key[order], np.flatnonzero(np.diff(key[order], prepend=-1))
+        reach = np.add.reduceat(np.concatenate([impact[one], impact[two]])[order], new) if len(new) else np.zeros(0)
+        likely = reach + self.common_share[key[new] % len(self.common_share)] >= THRESHOLD - 1e-9
+        out = [[] for _ in texts]
+        found = np.unique(key[new][likely] // len(self.common_share))
+        doc = np.searchsorted(first_run, found, side="right") - 1
+        for d in np.unique(doc).tolist():
+            out[d] = self._verified(texts[d], ids[first_word[d]:first_word[d] + lens[d]], ((found[doc == d] - first_run[d]) * UNIT).tolist())
+        return out
+
+    def _reachable(self, terms: np.ndarray) -> bool:
+        """Whether distinct words can bring a unit to the threshold."""
+        n = self.rare_len[terms]
+        entry = np.repeat(self.rare_from[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        unit, of = np.unique(self.rare_unit[entry], return_inverse=True)
+        return bool((np.bincount(of, self.rare_impact[entry], len(unit)) + self.common_share[unit] >= THRESHOLD - 1e-9).any())
+
+    def _verified(self, words: list[bytes], ids: np.ndarray, starts: list[int]) -> list[tuple[int | None, float, float, float]]:
+        none = len(self.word)
         held: dict[int, tuple[float, set]] = {}
-        for s in np.flatnonzero(sums[ends] - sums[starts] >= THRESHOLD - self.common_share - 1e-9):
-            a, b = int(starts[s]), int(ends[s])
-            terms = set(ids[a:b].tolist()) - {none}
-            for unit, score in self.above(sorted(terms), THRESHOLD - 1e-9):
+        for a in starts:
+            b = min(a + 2 * UNIT, len(words))
+            terms = np.unique(ids[a:b])
+            if not self._reachable(terms):
+                continue
+            for unit, score in self.above(terms[terms != none].tolist(), THRESHOLD - 1e-9):
                 at = self.unit_item[unit]
                 best, spans = held.get(at, (0.0, set()))
                 held[at] = max(best, score), spans | {(a, b)}
@@ -226,7 +281,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared):
             for b in batches:
-                rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), as_text(b.column(1)), strict=True) for x in shared.value.search(t)]
+                found = shared.value.search(as_text(b.column(1)))
+                rows = [(i, *x) for i, f in zip(b.column(0).to_pylist(), found, strict=True) for x in f]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 item = pa.array(cols[1]) if any(x is not None for x in cols[1]) else pa.array(cols[1], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), item, *(pa.array(c, pa.float64()) for c in cols[2:])],
@@ -247,6 +303,6 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared):
             for b in batches:
-                yield b.filter(pa.array([not shared.value.search(t) for t in as_text(b.column(at))], pa.bool_()))
+                yield b.filter(pa.array([not f for f in shared.value.search(as_text(b.column(at)))], pa.bool_()))
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -62,9 +62,10 @@ def test_changed_passages_are_found_and_others_left_alone():
         w = t.upper().split()
         w[3], w[17] = "changed", "words,"
         at = rng.randrange(2900)
-        assert [x[0] for x in index.search(" ".join(filler[:at] + w + filler[at:]))] == [i]
-    assert index.search(" ".join(filler)) == [] and index.search(None) == [] and index.search("") == []
-    assert index.search(" ".join(items[0][1].split()[:30])) == []          # the question alone
+        assert [x[0] for x in index.search([" ".join(filler[:at] + w + filler[at:])])[0]] == [i]
+    assert index.search([" ".join(filler), None, "", " ".join(items[0][1].split()[:30])]) == [[], [], [], []]          # the last is a question alone
+    for n in (63, 64, 65, 127, 128, 129, 200):
+        assert [x[0] for x in index.search(["", " ".join(filler[:n]) + " " + items[5][1], "x"])[1]] == [5]
 
 
 def test_parts_change_nothing(spark, sf, monkeypatch):
