@@ -156,10 +156,23 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         parts.append(chunk)
         linked.append(chunk if links else " ")
 
-    def close_to(i):
+    def close(name):
         nonlocal links
-        links -= open_names[i:].count("a")
-        del open_names[i:], flags[i + 1:]
+        while True:
+            flags.pop()
+            gone = open_names.pop()
+            links -= gone == "a"
+            if gone == name:
+                return
+
+    def inline_up_to(*names):
+        """The first of `names` that is open with nothing but inline elements opened since."""
+        for x in reversed(open_names):
+            if x in names:
+                return x
+            if x not in INLINE:
+                return None
+        return None
 
     at, n = 0, len(page)
     while at < n:
@@ -174,16 +187,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if not name:
             continue
         if m[1] or m[4]:
-            if name in open_names:
-                i = len(open_names) - 1 - open_names[::-1].index(name)
-                if name in INLINE:
-                    if all(x in INLINE for x in open_names[i:]):
-                        close_to(i)
-                else:
-                    flush()
-                    close_to(i)
-            elif name not in INLINE:
+            if name in INLINE:
+                if inline_up_to(name):
+                    close(name)
+            else:
                 flush()
+                if name in open_names:
+                    close(name)
             continue
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
@@ -193,11 +203,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         if name not in INLINE:
             flush()
-            for x in ("p", *((name,) if name in ("li", "dt", "dd", "tr", "td", "th", "option") else ())):
-                if x in open_names:
-                    i = len(open_names) - 1 - open_names[::-1].index(x)
-                    if all(y in INLINE or y == x or y == "p" for y in open_names[i:]):
-                        close_to(i)
+            while x := inline_up_to("p", *((name,) if name in ("li", "dt", "dd", "tr", "td", "th", "option") else ())):
+                close(x)
         elif name in ("br", "img", "wbr"):
             if name == "br":
                 text(" ")
