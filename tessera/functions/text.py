@@ -82,6 +82,25 @@ def ngrams(toks: Column, n: int) -> Column:
         lambda i: F.concat_ws(" ", *[F.get(toks, i + k) for k in range(n)]))).otherwise(no_strings())
 
 
+def run_lengths(df, tokens_col: Column) -> list[int]:
+    """The different lengths of the token arrays of a term table, longest last: few, as a rule, whatever the table's size."""
+    return sorted(r[0] for r in df.select(F.size(tokens_col)).distinct().collect() if r[0] and r[0] > 0)
+
+
+def runs_of(toks: Column, lengths: list[int]) -> Column:
+    """Distinct token runs of the given lengths."""
+    return F.array_distinct(F.concat(no_strings(), *[ngrams(toks, n) for n in lengths]))
+
+
+def shorter_runs(toks: Column) -> Column:
+    """Distinct token runs that are shorter than the whole, of every length."""
+    n = F.size(toks)
+
+    def of_length(k):
+        return F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(toks, i, k), " "))
+    return F.when(n > 1, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), of_length)))).otherwise(no_strings())
+
+
 def is_content(gram: Column) -> Column:
     """A term does not open or close on a stop word, is not all digits, and a single word has 3+ letters."""
     first, last = F.substring_index(gram, " ", 1), F.substring_index(gram, " ", -1)

@@ -33,28 +33,28 @@ def phrase_demand(attrs: DataFrame) -> DataFrame:
         F.min_by("category", F.struct(-F.col("n"), F.col("first"))).alias("category"))
 
 
-def covered_phrases(phrases: DataFrame, terms: DataFrame, max_n: int = 3) -> DataFrame:
+def covered_phrases(phrases: DataFrame, terms: DataFrame) -> DataFrame:
     """Distinct phrases that contain a term or are contained in one, token-wise.
 
     Two equi-joins on token runs instead of a containment test over all pairs.
-    `phrases`: (phrase); `terms`: (term) with all aliases as rows. Longest run on either side: `max_n` tokens.
+    `phrases`: (phrase); `terms`: (term) with all aliases as rows. Runs of every length count.
     """
     p = phrases.select("phrase", F.array_join(X.tokens(F.col("phrase")), " ").alias("p")).filter("p <> ''").distinct()
     t = terms.select(F.array_join(X.tokens(F.col("term")), " ").alias("t")).filter("t <> ''").distinct()
-    runs = lambda c: F.array_append(sub_phrases(c, max_n), c)
+    runs = lambda c: F.array_append(sub_phrases(c), c)
     holds = p.select("phrase", F.explode(runs(F.col("p"))).alias("t")).join(t, "t", "left_semi").select("phrase")
     inside = p.join(t.select(F.explode(runs(F.col("t"))).alias("p")).distinct(), "p", "left_semi").select("phrase")
     return holds.union(inside).distinct()
 
 
-def coverage(attrs: DataFrame, terms: DataFrame, max_n: int = 3) -> DataFrame:
+def coverage(attrs: DataFrame, terms: DataFrame) -> DataFrame:
     """Hit rate by category and overall (category null), in one rollup."""
-    hit = covered_phrases(attrs.select("phrase").distinct(), terms, max_n).withColumn("hit", F.lit(1.0))
+    hit = covered_phrases(attrs.select("phrase").distinct(), terms).withColumn("hit", F.lit(1.0))
     d = attrs.join(hit, "phrase", "left")
     return d.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("coverage"))
 
 
-def top_uncovered(attrs: DataFrame, terms: DataFrame, n: int = 50, max_n: int = 3) -> DataFrame:
-    hit = covered_phrases(attrs.select("phrase").distinct(), terms, max_n)
+def top_uncovered(attrs: DataFrame, terms: DataFrame, n: int = 50) -> DataFrame:
+    hit = covered_phrases(attrs.select("phrase").distinct(), terms)
     return (attrs.join(hit, "phrase", "left_anti").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), "phrase").limit(n))

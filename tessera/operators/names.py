@@ -20,7 +20,7 @@ def _letter_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def alias_matches(names: DataFrame, aliases: DataFrame, max_words: int = 8) -> DataFrame:
+def alias_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, group_id, score) by exact name, abbreviation token, or alias standing as whole words inside the name.
 
     An alias of w words can only stand where its w letter-words stand in a row, so
@@ -31,8 +31,10 @@ def alias_matches(names: DataFrame, aliases: DataFrame, max_words: int = 8) -> D
     a = a.withColumn("_abbr", (F.length("_bare") <= 6) & (F.upper("_bare") == F.col("_bare")) & (F.lower("_bare") != F.col("_bare")))
     n = names.select("name").distinct().filter("name <> ''")
 
+    lengths = X.run_lengths(a.filter("not _abbr"), _letter_words(F.col("alias")))
+
     def runs(c):
-        return let(_letter_words(c), lambda w: F.array_distinct(F.concat(*[X.ngrams(w, k) for k in range(1, max_words + 1)])))
+        return let(_letter_words(c), lambda w: X.runs_of(w, lengths))
     exact = n.withColumn("_low", F.lower("name")).join(a.filter("not _abbr").withColumn("_low", F.lower("alias")), "_low").select(
         "name", "group_id", F.lit(100.0).alias("score"))
     inside = (n.select("name", F.explode(runs(F.col("name"))).alias("_run"))
@@ -41,9 +43,14 @@ def alias_matches(names: DataFrame, aliases: DataFrame, max_words: int = 8) -> D
     inside = inside.filter(F.regexp_like(F.lower("name"), whole) & (F.lower("name") != F.lower("alias"))).select(
         "name", "group_id", (88 + F.least(F.lit(10.0), F.length("alias") / 3)).alias("score"))
     tokens = F.array_union(F.regexp_extract_all("name", F.lit("[A-Za-z&]+"), F.lit(0)), F.array(F.col("name")))
-    bracketed = F.regexp_extract_all("name", F.lit(r"(\([A-Za-z&]*\))"), F.lit(1))
-    abbr = n.select("name", F.explode(F.array_union(tokens, bracketed)).alias("alias")).join(a.filter("_abbr").select("alias", "group_id"), "alias").select(
+    abbr = n.select("name", F.explode(tokens).alias("alias")).join(a.filter("_abbr").select("alias", "group_id"), "alias").select(
         "name", "group_id", F.lit(100.0).alias("score"))
+    # an abbreviation with a bracket may stand anywhere: joined on what follows the bracket, up to its end
+    opened = F.regexp_extract_all("name", F.lit(r"\(([A-Za-z&]*)"), F.lit(1))
+    starts = F.flatten(F.transform(opened, lambda c: F.transform(F.sequence(F.lit(0), F.least(F.length(c), F.lit(6))), lambda i: F.substring(c, F.lit(1), i))))
+    inner = a.filter("_abbr and instr(alias, '(') > 0").select("alias", "group_id", F.regexp_extract("alias", r"\(([A-Za-z&]*)", 1).alias("_in"))
+    abbr = abbr.unionByName(n.select("name", F.explode(F.array_distinct(starts)).alias("_in")).join(inner, "_in").filter(F.contains("name", F.col("alias"))).select(
+        "name", "group_id", F.lit(100.0).alias("score")))
     return exact.unionByName(inside).unionByName(abbr).groupBy("name", "group_id").agg(F.max("score").alias("score"))
 
 

@@ -50,8 +50,7 @@ def clean_proposed_ops(ops: DataFrame) -> DataFrame:
              & ~said.contains("mainline") & ~said.contains("evangelical"))
     authority = (F.col("key") == "theology.scripture") & ev.contains("biblical authority") & ~ev.rlike("inerran|without error")
     d = d.withColumn("vals", in_turn([
-        (broad, one("mainline_protestant", "evangelical_protestant", "black_protestant", "pentecostal_charismatic",
-                    "restorationist", "anabaptist")),
+        (broad, one(*V.PROTESTANT_BRANCHES)),
         (authority, one("inerrant", "infallible", "inspired_authoritative"))], F.col("vals")))
     hymns = (F.col("key") == "worship.style") & (F.col("vals") == one("traditional_hymns"))
     lead = ((F.col("key") == "women.senior_pastor") & (F.col("stance") == "avoid") & (F.col("vals") == one("no"))
@@ -62,6 +61,21 @@ def clean_proposed_ops(ops: DataFrame) -> DataFrame:
                     F.when(lead, "want").otherwise(F.col("stance")).alias("stance"))
 
 
+def exclusive_branch_ops(ops: DataFrame) -> DataFrame:
+    """Messages that insist on one branch: their branch rows become one wanted and one avoided list.
+
+    `ops`: cleaned rows with t (message), key, vals, op, stance, strength, src, ev, text. Messages without rows have none here.
+    """
+    strict = F.coalesce(F.col("text").rlike(V.EXCLUSIVE_BRANCH), F.lit(False))
+    kept = ops.filter(~(strict & (F.col("key") == "identity.branch")))
+    lists = F.explode(F.array(*[F.struct(F.array(*[F.lit(b) for b in branches]).alias("_v"), F.lit(stance).alias("_s"))
+                                for branches, stance in ((V.PROTESTANT_BRANCHES, "want"), (V.OTHER_BRANCHES, "avoid"))])).alias("_n")
+    made = ops.filter(strict).groupBy("t").agg(F.min("text").alias("text")).select("*", lists)
+    made = made.select("t", "text", F.lit("revise").alias("op"), F.lit("identity.branch").alias("key"), F.col("_n._v").alias("vals"), F.col("_n._s").alias("stance"),
+                       F.lit(0.9).alias("strength"), F.lit("stated").alias("src"), F.substring("text", 1, 200).alias("ev"))
+    return kept.unionByName(made, allowMissingColumns=True)
+
+
 def ladder_preferences(answers: DataFrame) -> DataFrame:
     """One preference per role feature from (session_id, rung, mode)."""
     spark = answers.sparkSession

@@ -19,17 +19,15 @@ def with_zscore(df: DataFrame, value: Column, name: str, over: DataFrame | None
     return df.withColumn(name, F.when(m["sd"] > 1e-12, (v - m["mean"]) / m["sd"]).otherwise(0.0))
 
 
-def sub_phrases(term: Column, max_n: int = 3) -> Column:
+def sub_phrases(term: Column) -> Column:
     """Distinct token runs of a term that are shorter than the term itself."""
-    toks = F.split(term, " ")
-    runs = F.concat(*[F.filter(X.ngrams(toks, n), lambda g: F.size(toks) > n) for n in range(1, max_n)])
-    return F.array_distinct(runs)
+    return X.shorter_runs(F.split(term, " "))
 
 
-def subsumed_terms(cands: DataFrame, ratio: float = 0.8, max_n: int = 3) -> DataFrame:
+def subsumed_terms(cands: DataFrame, ratio: float = 0.8) -> DataFrame:
     """(term, longer): the longer candidate that accounts for at least `ratio` of a term's uses."""
     longer = cands.select(F.col("term").alias("longer"), F.col("count").alias("longer_count"),
-                          F.explode(sub_phrases(F.col("term"), max_n)).alias("term"))
+                          F.explode(sub_phrases(F.col("term"))).alias("term"))
     pairs = longer.join(cands.filter("count > 0").select("term", "count"), "term").filter(
         F.col("longer_count") >= ratio * F.col("count"))
     return first_per_group(pairs.select("term", "longer", "longer_count"), ["term"],

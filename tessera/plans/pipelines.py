@@ -33,10 +33,10 @@ def mine_terms(posts: DataFrame, seeds: DataFrame, reference: DataFrame, generic
     marks = stage(keyness.markers(cands, ref, tz, generic, c["max_ref_freq"], c["min_sources"], c["max_source_share"]), "markers")
     requests = demand.mine_requests(docs.filter(~F.col("holdout")), patterns)
     phrases = stage(demand.phrase_demand(demand.attributes(requests)), "phrases")
-    sub = stage(shortlist.subsumed_terms(cands, c["subsume_ratio"], c["max_n"]), "subsumed")
+    sub = stage(shortlist.subsumed_terms(cands, c["subsume_ratio"]), "subsumed")
     judged = shortlist.exclusions(cands, generic, ref, sub, c["max_ref_freq"], c["max_source_share"])
     short = stage(shortlist.shortlist(judged, phrases, generic, reference, sub, c["shortlist"], c["max_ref_freq"]), "shortlist")
-    hits = stage(contexts.phrase_hits(docs, short, c["max_n"], c["snippet"], c["window"]), "hits")
+    hits = stage(contexts.phrase_hits(docs, short, c["snippet"], c["window"]), "hits")
     occ = stage(contexts.occurrences(hits, short), "occurrences")
     sample = stage(contexts.context_sample(hits, c["per_term"], c["per_term"]), "contexts")
     ground = stage(contexts.grounding(occ, contexts.cooccurrence(hits, observables), contexts.observable_totals(docs, observables), docs, c["window"]), "grounding")

@@ -101,7 +101,7 @@ def docs(spark, sf) -> DataFrame:
 
 def staged_docs(spark, sf) -> DataFrame:
     """Clean documents as a stage table: text work is done once, later steps read tokens."""
-    return stage(docs(spark, sf).select("id", "side", "tradition", "source", "ord", "text", "toks", "holdout"), "docs")
+    return stage(docs(spark, sf).select("id", "hash", "side", "tradition", "source", "ord", "text", "toks", "holdout"), "docs")
 
 
 # ---------------------------------------------------------------- small word tables, from the texts of other tables
@@ -306,7 +306,11 @@ class Mining:
 
     @property
     def by_source(self):
-        return self._once("by_source", lambda: stage(grams.source_grams(self.docs, 3, content_only=True), "by_source"))
+        return self._once("by_source", lambda: stage(grams.source_grams(self.docs, 3, content_only=self._content_seeds()), "by_source"))
+
+    def _content_seeds(self) -> bool:
+        """Whether no seed opens or ends on a stop word, so that such grams need not be counted."""
+        return seeds(self.spark, self.sf).filter(~X.is_content(F.array_join(X.tokens(F.col("term")), " "))).isEmpty()
 
     @property
     def counts(self):

@@ -58,18 +58,18 @@ def gram_order_totals(spark, sf):
 
 
 @query("gram_counts", """
-SELECT gram, count, seeker, church, doc_freq, n_sources, round(top_source_share, 6) AS top_source_share FROM gram_totals WHERE count >= 2""", ("gram_totals",))
+SELECT gram, count, seeker, church, doc_freq, n_sources, round(top_source_share, 6) AS top_source_share FROM gram_totals""", ("gram_totals",))
 def gram_counts(spark, sf):
     g = grams.gram_counts(grams.source_grams(D.staged_docs(spark, sf)))
-    return g.filter("count >= 2").withColumn("top_source_share", rounded(F.col("top_source_share"), 6))
+    return g.withColumn("top_source_share", rounded(F.col("top_source_share"), 6))
 
 
 @query("term_sources", """
-SELECT gram, tradition, count, n_sources, round(top_share, 6) AS top_share FROM gram_traditions WHERE count >= 2""", ("gram_traditions",))
+SELECT gram, tradition, count, n_sources, round(top_share, 6) AS top_share FROM gram_traditions""", ("gram_traditions",))
 def term_sources(spark, sf):
     d = D.staged_docs(spark, sf)
     t = grams.tradition_counts(grams.source_grams(d), grams.source_traditions(d))
-    return t.filter("count >= 2").withColumn("top_share", rounded(F.col("top_share"), 6))
+    return t.withColumn("top_share", rounded(F.col("top_share"), 6))
 
 
 @query("candidates_npmi", """

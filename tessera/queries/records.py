@@ -589,7 +589,7 @@ def term_hints(spark, sf):
     b = table(spark, sf, "benchmark").select(w.alias("w"))
     t = b.select(F.explode("w").alias("term")).union(b.filter(F.size("w") >= 2).select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))))).distinct().withColumn("alias", F.col("term"))
     m = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "text")
-    return lexicon.hints(m, t, 8, 2).select("message_id", F.col("rank").cast("long").alias("rank"), "term")
+    return lexicon.hints(m, t, 8).select("message_id", F.col("rank").cast("long").alias("rank"), "term")
 
 
 # ---------------------------------------------------------------- small rules over whole tables

@@ -193,3 +193,11 @@ def test_radius_join_equals_all_distances(spark):
     from tessera.functions import geo
     full = c.join(p, how="cross").filter(geo.miles(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng")) <= F.col("radius_mi"))
     assert got == {(x["cid"], x["pid"]) for x in full.collect()} and got
+
+
+def test_insisting_on_one_branch_replaces_branch_rows(spark):
+    rows = [("m1", "identity.branch", ["catholic"], "assert", "avoid", 0.5, "stated", "e", "It must be Protestant, please"), ("m1", "worship.style", ["contemporary"], "assert", "want", 0.5, "stated", "e", "It must be Protestant, please"),
+            ("m2", "identity.branch", ["catholic"], "assert", "want", 0.5, "stated", "e", "Protestant or Catholic")]
+    d = spark.createDataFrame(rows, "t string, key string, vals array<string>, op string, stance string, strength double, src string, ev string, text string")
+    got = sorted((r["t"], r["key"], r["stance"], len(r["vals"]), r["strength"]) for r in profiles.exclusive_branch_ops(d).collect())
+    assert got == [("m1", "identity.branch", "avoid", 3, 0.9), ("m1", "identity.branch", "want", 6, 0.9), ("m1", "worship.style", "want", 1, 0.5), ("m2", "identity.branch", "want", 1, 0.5)]

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import contexts, corpus, demand, grams, keyness, lexicon, review, shortlist, signals
@@ -62,6 +63,23 @@ def test_hits_agree_between_small_and_long_term_lists(spark, monkeypatch):
     assert a == b and len(a) == 11
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_terms_of_any_length_and_repeated_ids(spark, monkeypatch, small):
+    docs = make_docs(spark, [("church", "x", "a", f"they say once saved always saved number{i} and grace") for i in range(3)])
+    docs = docs.unionByName(docs.limit(1).withColumn("toks", F.array(*[F.lit(t) for t in "no such words in here".split()])).withColumn("hash", F.lit("other")))
+    terms = spark.createDataFrame([("once saved always saved",), ("always saved number1 and grace",), ("saved saved",)], "term string")
+    monkeypatch.setattr(contexts, "is_small", lambda d: small)
+    h = contexts.phrase_hits(docs, terms)
+    assert sorted((r["term"], r["pos"]) for r in h.collect()) == [("always saved number1 and grace", 4)] + [("once saved always saved", 2)] * 3
+    assert {r["term"]: r["docs"] for r in contexts.occurrences(h, terms).collect()} == {"once saved always saved": 3, "always saved number1 and grace": 1, "saved saved": 0}
+
+
+def test_long_phrases_contain_and_are_contained(spark):
+    ph = spark.createDataFrame([("a b c d e f",), ("c d e f g",), ("x",)], "phrase string")
+    t = spark.createDataFrame([("b c d e",), ("b c d e f g h",)], "term string")
+    assert {r["phrase"] for r in demand.covered_phrases(ph, t).collect()} == {"a b c d e f", "c d e f g"}
+
+
 def test_sample_is_balanced_capped_and_stable(spark):
     docs = make_docs(spark, [("church", t, "a", f"hymns word{i} and more {t}") for i in range(60) for t in (["x"] * (i < 50) + ["y"] * (i < 8))])
     h = contexts.phrase_hits(docs, spark.createDataFrame([("hymns",)], "term string"))
@@ -121,6 +139,19 @@ def test_migrated_entries_and_hints(spark):
     m = spark.createDataFrame([(1, "We love old hymns and Bible-believing people"), (2, "hymnshop")], "message_id int, text string")
     t = spark.createDataFrame([("hymns", "hymns"), ("bible-believing", "bible-believing"), ("old hymns", "old hymns")], "term string, alias string")
     assert [(r["message_id"], r["term"]) for r in lexicon.hints(m, t).orderBy("rank").collect()] == [(1, "bible-believing"), (1, "old hymns"), (1, "hymns")]
+    long = spark.createDataFrame([("x", "one two three four five six")], "term string, alias string")
+    m = spark.createDataFrame([(1, "so One two, three four five six."), (2, "say one two three four five six!")], "message_id int, text string")
+    assert [r["message_id"] for r in lexicon.hints(m, long).collect()] == [2]
+
+
+def test_glossary_comes_first_and_general_words_go(spark):
+    one = [{"gloss": "g", "features": [{"feature": "worship.style", "value": "contemporary"}]}]
+    e = spark.createDataFrame([("Grace", one, None), (" Hymns", one, None), ("drums", one, "not_relevant"), ("drum kit", one, "church_vocabulary"), ("  ", one, None)],
+                              "term string, senses array<struct<gloss:string,features:array<struct<feature:string,value:string>>>>, relevance string")
+    v = spark.createDataFrame([("worship.style", ["contemporary", "traditional_hymns"])], "feature string, values array<string>")
+    got = {(r["term"], r["value"]) for r in lexicon.all_entries(e, v).collect()}
+    assert ("hymns", "traditional_hymns") in got and ("hymns", "contemporary") not in got and ("drum kit", "contemporary") in got
+    assert not {t for t, _ in got} & {"grace", "drums", ""}
 
 
 def test_whole_pipeline_on_given_data(spark, sf):

@@ -111,3 +111,12 @@ def test_site_wording_and_labels(spark):
                                 "church_id int, url string, group_id string, label string, confidence double, independent boolean, quote string")
     got = {x["church_id"]: (x["group_id"], x["confidence"]) for x in names.labelled_site_guess(ans, pages, tables(spark)[1]).collect()}
     assert got == {2: ("lcms", 0.9), 1: ("ag", 0.5)}
+
+
+def test_bracketed_abbreviations_and_long_aliases(spark):
+    long = "the united holy church of the living god and of all saints"
+    a = spark.createDataFrame([("PC(USA)", "pcusa"), (long, "long"), ("AG", "ag"), ("C(", "open")], "alias string, group_id string")
+    n = spark.createDataFrame([("First Presbyterian PC(USA)",), ("MyPC(USA)x",), (f"Old {long.upper()} Chapel",), ("AGAPE",), ("AG",), ("X C(Y)",)], "name string")
+    got = {(r["name"], r["group_id"]): r["score"] for r in names.alias_matches(n, a).collect()}
+    assert got == {("First Presbyterian PC(USA)", "pcusa"): 100.0, ("MyPC(USA)x", "pcusa"): 100.0, (f"Old {long.upper()} Chapel", "long"): 98.0, ("AG", "ag"): 100.0,
+                   ("X C(Y)", "open"): 100.0, **({("First Presbyterian PC(USA)", "open"): 100.0, ("MyPC(USA)x", "open"): 100.0})}
