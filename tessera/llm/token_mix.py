@@ -27,7 +27,7 @@ from tessera.session import stage
 SOURCE_WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
