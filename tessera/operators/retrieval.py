@@ -52,6 +52,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.4, b:
     toks = stage(tokenised(chunks), "chunk_terms")
     q = computed_once(queries, _q=X.term_counts(X.retrieval_tokens(F.col("query"))))
     q = q.select(*[c for c in queries.columns if c != "query"], F.inline("_q")).withColumnsRenamed({"gram": "term", "tf": "qtf"})
+    q = stage(q, "query_terms")          # its size is known then: Spark sends a small query set to the postings, and splits hot words of a large one
     on = ["group_id", "term"] if "group_id" in queries.columns else ["term"]
     used = postings(toks).join(q.select(*on).distinct(), on, "left_semi")
     d = used.join(document_frequency(used), ["group_id", "term"]).join(collection_stats(toks), "group_id")
@@ -85,26 +86,34 @@ def in_batches(rows: DataFrame, keys, order, size: int, block: Column) -> DataFr
 def question_passages(docs: DataFrame, questions: DataFrame, max_chars: int = 18000, step: int = 2200, width: int = 2800) -> DataFrame:
     """Passages for each question about an entity: most shared words first, up to a total of `max_chars`, the last one cut to fit.
 
-    `docs`: (church_id, url, title, kind, text); `questions`: (church_id, question_id, question). Every passage
-    of the entity is a candidate, as words may be shared by none; texts are fetched for the chosen ones only.
+    `docs`: (church_id, url, title, kind, text); `questions`: (church_id, question_id, question). Passages that share a
+    word are met through an inverted index of (entity, word). Those that share none only follow where the others leave
+    room; they come from one list per entity, which need not be longer than the room allows. Texts are fetched for the chosen ones only.
     """
     d = docs.select("church_id", "url", X.question_terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("kind", F.lit("")))).alias("_head"),
                     F.inline(X.char_windows(F.col("text"), step, width)))
     d = stage(d.withColumn("_body", X.question_terms(F.col("text"))), "passages")
-    q = computed_once(questions, _q=X.question_terms(F.col("question")))
-    slim = d.select("church_id", "url", "offset", F.length("text").alias("_len"), "_body", "_head")
-    # the question is the shorter side: it becomes the hash set, the passage is only scanned
-    shared = F.size(F.array_intersect("_body", "_q")) + F.size(F.array_intersect("_head", "_q"))
-    j = stage(q.join(slim, "church_id").select("church_id", "question_id", "url", "offset", shared.alias("relevance"), "_len"), "relevance")
+    q = stage(computed_once(questions, _q=X.question_terms(F.col("question"))).select("church_id", "question_id", "_q"), "questions")
+    keys, passage, least = ["church_id", "question_id"], ["church_id", "url", "offset"], 32
+    slim = d.select(*passage, F.length("text").alias("_len"), "_body", "_head")
+    words = slim.select(*passage, "_len", F.explode("_body").alias("term")).unionByName(slim.select(*passage, "_len", F.explode("_head").alias("term")))
+    met = words.join(q.select(*keys, F.explode("_q").alias("term")), ["church_id", "term"])
+    met = stage(met.groupBy(*keys, "url", "offset").agg(F.count(F.lit(1)).cast("int").alias("relevance"), F.max("_len").alias("_len")), "relevance")
     order = [F.desc("relevance"), F.col("offset"), F.col("url")]
-    keys, least = ["church_id", "question_id"], 32
-    # of passages with `least` characters or more only the first max_chars/least can fit: limited map-side, exactly
-    big = top_per_group(j.filter(F.col("_len") >= least), keys, order, -(-max_chars // least), "_n").drop("_n")
-    pool = big.unionByName(j.filter(F.col("_len") < least))
+
+    def first(rows, by, along):
+        # of passages with `least` characters or more only the first max_chars/least can fit, of shorter ones max_chars: limited map-side, exactly
+        big = top_per_group(rows.filter(F.col("_len") >= least), by, along, -(-max_chars // least), "_n")
+        return big.unionByName(top_per_group(rows.filter((F.col("_len") < least) & (F.col("_len") > 0)), by, along, max_chars, "_n")).drop("_n")
+    held = met.groupBy(*keys).agg(F.sum("_len").alias("_held"))
+    room = q.select(*keys).join(held, keys, "left").filter(F.coalesce("_held", F.lit(0)) < max_chars).select(*keys)
+    rest = room.join(first(slim.select(*passage, "_len"), ["church_id"], [F.col("offset"), F.col("url")]), "church_id")
+    rest = rest.join(met, [*keys, "url", "offset"], "left_anti").select(*keys, "url", "offset", F.lit(0).alias("relevance"), "_len")
+    pool = first(met.select(*keys, "url", "offset", "relevance", "_len"), keys, order).unionByName(rest)
     w = W.partitionBy(*keys).orderBy(*order)
     used = F.coalesce(F.sum("_len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     picked = pool.withColumn("rn", F.row_number().over(w)).withColumn("_used", used).filter(F.col("_used") < max_chars)
-    return picked.join(d.select("church_id", "url", "offset", "text"), ["church_id", "url", "offset"]).select(
+    return picked.join(d.select(*passage, "text"), passage).select(
         "church_id", "question_id", F.col("rn").cast("long").alias("rn"), "url", "offset", "relevance",
         F.substring(F.col("text"), F.lit(1), (F.lit(max_chars) - F.col("_used")).cast("int")).alias("text"))
 
