@@ -17,7 +17,7 @@ length and at the full length. Each drops the positions that are unique.
    Of equal names all but those of the smallest document repeat.
 
 Names travel packed, a row for each chunk of input and part of names; tasks sort
-a part with numpy. Hot strings: a chunk sends only its smallest document of equal
+a part with numpy. Answers travel packed to home parts, where they meet the texts. Hot strings: a chunk sends only its smallest document of equal
 contexts (or strings) and settles the others itself; anchors that a chunk itself finds in
 several documents with different contexts are dealt by context, with one mark per chunk at their name.
 A name has 64 bits and its part comes from an independent sum, so the number of
@@ -35,6 +35,7 @@ import hashlib
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ from tessera.session import stage
 LENGTH = 50
 PART_BYTES = 16 << 20
 CHUNK = 1_000_000
+PIECE = 512 << 10
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 _R = np.random.default_rng(11)
@@ -77,6 +79,15 @@ def names(b: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def longer(name: np.ndarray, at: np.ndarray, half: int, pieces_: int) -> np.ndarray:
+    """Names of `pieces_` half lengths in a row from `at` on: a pair, for the full length, of names at a position and at an offset."""
+    out = name[at]
+    for i in range(1, pieces_):
+        out = (out ^ out >> np.uint64(29)) * _M[0] + (name[at + i * half] ^ np.uint64(i)) * _M[1]
+    out = (out ^ out >> np.uint64(32)) * _M[4]
+    return out ^ out >> np.uint64(29)
+
+
 def part_of(b: np.ndarray, length: int, at: np.ndarray, parts: int) -> np.ndarray:
     """Part of the strings at `at`, from a sum over their bytes that is independent of the names."""
     s = np.concatenate([[np.uint64(0)], np.cumsum(_SUM[b])])
@@ -132,60 +143,41 @@ def anchors(j: Joined, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
 
 # ------------------------------------------------------------ packed entries
 
-def _split(pos: np.ndarray) -> tuple[bytes, bytes]:
-    return (pos & 0xFFFF).astype("<u2").tobytes(), (pos >> 16).astype("<u2").tobytes()
-
-
-def _joined(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
+SETTLED, OPEN, STRING = 1, 2, 3         # states of a place in replies
+_ROW = "part int, kind int, docs binary, rids binary, counts binary, low binary, high binary, names binary, contexts binary"
+_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
 
 
 def _packed(part, kind, doc, rid, pos, key=None, context=None):
-    """Rows of entries, one per part: documents as runs, places, names."""
-    order = np.lexsort((pos, rid, doc, part))
+    """Rows of entries, one per part: documents as runs, places, names. Entries of one document come in a row."""
+    order = np.argsort(part, kind="stable")
     part, doc, rid, pos = part[order], doc[order], rid[order], pos[order]
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        d, r, s = doc[a:b], rid[a:b], order[a:b]
-        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])]))
-        yield (int(part[a]), kind, d[new].astype("<i8").tobytes(), r[new].astype("<i8").tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), *_split(pos[a:b]),
-               None if key is None else key[s].tobytes(), None if context is None else context[s].tobytes())
-
-
-_ROW = "part int, kind int, docs binary, rids binary, counts binary, low binary, high binary, names binary, contexts binary"
-_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+        d, r, p, s = doc[a:b], rid[a:b], pos[a:b], order[a:b]
+        new = np.flatnonzero(_first(d, r))
+        yield (int(part[a]), kind, d[new].astype("<i8").tobytes(), r[new].astype("<i8").tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(),
+               (p & 0xFFFF).astype("<u2").tobytes(), (p >> 16).astype("<u2").tobytes(), None if key is None else key[s].tobytes(), None if context is None else context[s].tobytes())
 
 
 def _batch(rows):
-    cols = zip(*rows, strict=True)
+    cols = list(zip(*rows, strict=True)) or [()] * len(_TYPES)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=[x.split()[0] for x in _ROW.split(", ")])
 
 
 def _opened(rows, name_type):
     """Entries of packed rows: doc, rid, place, name, context."""
-    if not rows:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(name_type), z.astype(np.uint64)
-    counts = [np.frombuffer(r[4], "<u4") for r in rows]
-    spread = lambda k: np.concatenate([np.repeat(np.frombuffer(r[k], "<i8"), c) for r, c in zip(rows, counts, strict=True)])
-    join = lambda k, t: np.concatenate([np.frombuffer(r[k] or b"", t) for r in rows])
-    return spread(2), spread(3), np.concatenate([_joined(r[5], r[6]) for r in rows]), join(7, name_type), join(8, "<u8")
-
-
-def _replies(doc, rid, pos, state):
-    """One row per document: its places of state 1 (settled) and 2 (open)."""
-    order = np.lexsort((pos, state, rid, doc))
-    doc, rid, pos, state = doc[order], rid[order], pos[order].astype("<u4"), state[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    out = []
-    for s in (1, 2):
-        per = np.add.reduceat(state == s, new) if len(new) else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32) * 4
-        out.append(pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype("<i4").tobytes()), pa.py_buffer(pos[state == s].tobytes())]))
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(rid[new]), *out], names=["doc_id", "rid", "settled", "open"])
+    def join(k, kind):
+        return np.frombuffer(b"".join(r[k] or b"" for r in rows), kind)
+    counts = join(4, "<u4")
+    return np.repeat(join(2, "<i8"), counts), np.repeat(join(3, "<i8"), counts), join(5, "<u2").astype(np.int64) | join(6, "<u2").astype(np.int64) << 16, join(7, name_type), join(8, "<u8")
 
 
-_REPLY = "doc_id long, rid long, settled binary, open binary"
+def _replies(doc, rid, pos, state, parts):
+    """One row per home part of documents: their places and states."""
+    order = np.lexsort((pos, doc, rid))
+    doc, rid, pos, state = doc[order], rid[order], pos[order], state[order]
+    return _batch(list(_packed(_dealt(rid.view(np.uint64), parts), 0, doc, rid, pos, state.astype("u1"))))
 
 
 def _first(*columns):
@@ -201,6 +193,18 @@ def _of_group(values, new):
     return values[new][np.cumsum(new) - 1]
 
 
+def _ordered(first, *rest):
+    """Order by `first`, then by the others; they are looked at only where `first` is repeated."""
+    o = np.argsort(first, kind="stable")
+    same = first[o][1:] == first[o][:-1]
+    tied = np.zeros(len(o), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    few = o[tied]
+    o[tied] = few[np.lexsort((*reversed([c[few] for c in rest]), first[few]))]
+    return o
+
+
 class _Chunk:
     """Columns of entries gathered until there are enough to sort."""
 
@@ -219,130 +223,192 @@ class _Chunk:
 
 # ------------------------------------------------------------ half length
 
+def _anchor_rows(chunk, parts):
+    name, context, part, doc, rid, pos = chunk.take()
+    o = _ordered(name, context, doc)
+    of_name, of_class = _first(name[o]), _first(name[o], context[o])
+    smallest, at = _of_group(doc[o], of_class), np.flatnonzero(of_name)
+    many = (np.maximum.reduceat(smallest, at) != np.minimum.reduceat(smallest, at))[np.cumsum(of_name) - 1]
+    repeat = doc[o] > smallest
+    key = name.astype("<u4")
+    i = np.sort(o[repeat])
+    yield from _packed(_dealt(rid[i].view(np.uint64), parts), 9, doc[i], rid[i], pos[i])
+    for kind, keep, to in ((0, ~repeat & ~many, part), (1, ~repeat & many, _dealt(context, parts)), (2, of_name & many, part)):
+        i = np.sort(o[keep])
+        yield from _packed(to[i], kind, doc[i], rid[i], pos[i], key[i], context[i] if kind < 2 else None)
+
+
 def _send_anchors(parts: int, length: int):
     half = length // 2
-    around = length - half
-
-    def rows(chunk):
-        name, context, part, doc, rid, pos = chunk.take()
-        o = np.lexsort((doc, context, name))
-        name, context, part, doc, rid, pos = name[o], context[o], part[o], doc[o], rid[o], pos[o]
-        of_name, of_class = _first(name), _first(name, context)
-        smallest, at = _of_group(doc, of_class), np.flatnonzero(of_name)
-        repeat = doc > smallest
-        many = (np.maximum.reduceat(smallest, at) != np.minimum.reduceat(smallest, at))[np.cumsum(of_name) - 1]
-        key = name.astype("<u4")
-        yield from _packed(_dealt(rid[repeat].view(np.uint64), parts), 9, doc[repeat], rid[repeat], pos[repeat])
-        for kind, keep, to in ((0, ~repeat & ~many, part), (1, ~repeat & many, _dealt(context, parts)), (2, of_name & many, part)):
-            yield from _packed(to[keep], kind, doc[keep], rid[keep], pos[keep], key[keep], context[keep] if kind < 2 else None)
 
     def run(batches):
         chunk = _Chunk()
         for whole in batches:
-            for b in pieces(whole, "text", 4 << 20):
+            for b in pieces(whole, "text", PIECE):
                 j = Joined(as_bytes(b.column(2)), length)
                 at, name = anchors(j, length)
                 if len(at):
-                    context = names(j.bytes, half + 2 * around)[at - around]
                     who = j.owner(at)
-                    chunk.add(name[at], context, part_of(j.bytes, half, at, parts), b.column(0).to_numpy()[who], b.column(1).to_numpy()[who], at - j.starts[who])
+                    chunk.add(name[at], longer(name, at - half, half, 3), part_of(j.bytes, half, at, parts), b.column(0).to_numpy()[who], b.column(1).to_numpy()[who], at - j.starts[who])
                 if chunk.n >= CHUNK:
-                    yield _batch(list(rows(chunk)))
+                    yield _batch(list(_anchor_rows(chunk, parts)))
         if chunk.n:
-            yield _batch(list(rows(chunk)))
+            yield _batch(list(_anchor_rows(chunk, parts)))
     return run
 
 
-def _settle_anchors(rows):
+def _settle_anchors(rows, parts):
     """Settled and open anchors of one part."""
     out = []
     marks = np.unique(np.concatenate([np.frombuffer(r[7], "<u4") for r in rows if r[1] == 2] or [np.zeros(0, "<u4")]))
     for kind in (0, 1):
         doc, rid, pos, key, context = _opened([r for r in rows if r[1] == kind], "<u4")
-        o = np.lexsort((doc, context, key))
+        o = _ordered(key, context, doc)
         doc, rid, pos, key, context = doc[o], rid[o], pos[o], key[o], context[o]
         of_key, of_class = _first(key), _first(key, context)
         repeat = doc > _of_group(doc, of_class)
         if kind == 0 and len(doc):
             at = np.flatnonzero(of_key)
-            open_ = (np.add.reduceat(of_class, at) > 1) & (np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)) | np.isin(key[at], marks)
+            open_ = (np.add.reduceat(of_class, at, dtype=np.int64) > 1) & (np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)) | np.isin(key[at], marks)
             open_ = open_[np.cumsum(of_key) - 1]
         else:
             open_ = np.ones(len(doc), bool)
         keep = repeat | open_
-        out.append((doc[keep], rid[keep], pos[keep], np.where(repeat, 1, 2)[keep]))
-    doc, rid, pos, *_ = _opened([(*r[:7], None, None) for r in rows if r[1] == 9], "<u4")
-    out.append((doc, rid, pos, np.ones(len(doc), np.int64)))
-    return _replies(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        out.append((doc[keep], rid[keep], pos[keep], np.where(repeat, SETTLED, OPEN)[keep]))
+    doc, rid, pos, *_ = _opened([r for r in rows if r[1] == 9], "<u4")
+    out.append((doc, rid, pos, np.full(len(doc), SETTLED)))
+    return _replies(*(np.concatenate(c) for c in zip(*out, strict=True)), parts)
 
 
 # ------------------------------------------------------------ full length
 
-def _covered(places: list[bytes] | None, before: int, after: int, n: int) -> np.ndarray:
-    """Which of n places lie from `before` before to `after` after one of the packed places."""
-    at = np.frombuffer(b"".join(places or ()), "<u4").astype(np.int64)
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, np.clip(at - before, 0, n), 1)
-    np.add.at(change, np.clip(at + after + 1, 0, n), -1)
+def _covered(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
+    """Which of n places lie from `before` before to `after` after one of the places `at`."""
+    change = np.bincount(np.clip(at - before, 0, n), minlength=n + 1) - np.bincount(np.clip(at + after + 1, 0, n), minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _send_strings(parts: int, length: int):
-    around = length - length // 2
+class _Home:
+    """Replies for the documents of one home part."""
+
+    def __init__(self, rows):
+        doc, rid, self.pos, self.state, _ = _opened(rows, "u1")
+        o = np.argsort(rid, kind="stable")
+        self.doc, self.rid, self.pos, self.state = doc[o], rid[o], self.pos[o], self.state[o]
+
+    def of(self, doc, rid):
+        """Settled anchors, open anchors and repeated strings of a document."""
+        a, b = np.searchsorted(self.rid, [rid, rid + 1]) if rid < (1 << 63) - 1 else (np.searchsorted(self.rid, rid), len(self.rid))
+        own = self.doc[a:b] == doc if doc is not None else np.zeros(b - a, bool)
+        pos, state = self.pos[a:b][own], self.state[a:b][own]
+        return pos[state == SETTLED], pos[state == OPEN], pos[state == STRING]
+
+
+_MEETING = "part int, kind int, doc_id long, rid long, text string, docs binary, rids binary, counts binary, low binary, high binary, names binary"
+
+
+def _meet(docs: DataFrame, replies: DataFrame, parts: int) -> DataFrame:
+    """Documents and the replies for them in home parts, replies first. A part holds bounded text, however many copies a document has."""
+    none = {c: F.lit(None).cast(t) for c, t in (x.split() for x in _MEETING.split(", "))}
+    r = replies.select("part", F.lit(0).alias("kind"), *[none[c].alias(c) for c in ("doc_id", "rid", "text")], "docs", "rids", "counts", "low", "high", "names")
+    home = _home_of(F.col("rid"), parts)
+    d = docs.select(home.alias("part"), F.lit(1).alias("kind"), "doc_id", "rid", "text", *[none[c].alias(c) for c in ("docs", "rids", "counts", "low", "high", "names")])
+    return r.unionByName(d).repartition("part").sortWithinPartitions("part", "kind")
+
+
+def _home_of(rid, parts: int):
+    """Home part of a document, as `_dealt` gives it, by a small vectorised function."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("int")
+    def home(r: pd.Series) -> pd.Series:
+        return pd.Series(_dealt(r.to_numpy(np.int64).view(np.uint64), parts))
+    return home(rid)
+
+
+def _documents(batches, limit: int):
+    """Lists of (doc_id, rid, text, settled, open, strings), each with about `limit` bytes of text."""
+    at, rows, home, out, size = None, [], None, [], 0
+    for whole in batches:
+        for b in pieces(whole, "text", limit):
+            cols = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7, 8, 9, 10)]
+            for t, (part, kind, doc, rid, *packed) in zip(as_bytes(b.column(4)), zip(*cols, strict=True), strict=True):
+                if part != at:
+                    at, rows, home = part, [], None
+                if kind == 0:
+                    rows.append((part, kind, *packed, None))
+                    continue
+                if home is None:
+                    home, rows = _Home(rows), []
+                out.append((doc, rid, t, *home.of(doc, rid)))
+                size += len(t)
+                if size > limit:
+                    yield out
+                    out, size = [], 0
+    if out:
+        yield out
+
+
+def _string_rows(chunk, parts):
+    name, part, doc, rid, pos = chunk.take()
+    o = _ordered(name, doc)
+    repeat = np.zeros(len(o), bool)
+    repeat[o] = doc[o] > _of_group(doc[o], _first(name[o]))
+    i = np.flatnonzero(repeat)
+    yield from _packed(_dealt(rid[i].view(np.uint64), parts), 9, doc[i], rid[i], pos[i])
+    i = np.flatnonzero(~repeat)
+    yield from _packed(part[i], 0, doc[i], rid[i], pos[i], name[i].astype("<u8"))
+
 
-    def rows(chunk):
-        name, part, doc, rid, pos = chunk.take()
-        o = np.lexsort((doc, name))
-        name, part, doc, rid, pos = name[o], part[o], doc[o], rid[o], pos[o]
-        repeat = doc > _of_group(doc, _first(name))
-        yield from _packed(_dealt(rid[repeat].view(np.uint64), parts), 9, doc[repeat], rid[repeat], pos[repeat])
-        yield from _packed(part[~repeat], 0, doc[~repeat], rid[~repeat], pos[~repeat], name[~repeat].astype("<u8"))
+def _send_strings(parts: int, length: int):
+    half = length // 2
 
     def run(batches):
         chunk = _Chunk()
-        for whole in batches:
-            for b in pieces(whole, "text", 4 << 20):
-                texts = as_bytes(b.column(2))
-                j = Joined(texts, length)
-                wanted = np.zeros(len(j.bytes), bool)
-                for s, t, settled, open_ in zip(j.starts.tolist(), texts, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    n = max(len(t) - length + 1, 0)
-                    wanted[s:s + n] = _covered(open_, around, 0, n) & ~_covered(settled, around, 0, n)
-                at = np.flatnonzero(wanted)
-                if len(at):
-                    who = j.owner(at)
-                    chunk.add(names(j.bytes, length)[at], part_of(j.bytes, length, at, parts), b.column(0).to_numpy()[who], b.column(1).to_numpy()[who], at - j.starts[who])
-                if chunk.n >= CHUNK:
-                    yield _batch(list(rows(chunk)))
+        for docs in _documents(batches, PIECE):
+            docs = [d for d in docs if len(d[4])]
+            if not docs:
+                continue
+            j = Joined([d[2] for d in docs], length)
+            wanted = np.zeros(len(j.bytes), bool)
+            for s, (_, _, t, settled, open_, _) in zip(j.starts.tolist(), docs, strict=True):
+                n = len(t) - length + 1
+                wanted[s:s + n] = _covered(open_, length - half, 0, n) & ~_covered(settled, length - half, 0, n)
+            at = np.flatnonzero(wanted)
+            if len(at):
+                who = j.owner(at)
+                ids, rids = (np.array([d[k] for d in docs], np.int64)[who] for k in (0, 1))
+                chunk.add(longer(names(j.bytes, half), at, half, 2), part_of(j.bytes, length, at, parts), ids, rids, at - j.starts[who])
+            if chunk.n >= CHUNK:
+                yield _batch(list(_string_rows(chunk, parts)))
         if chunk.n:
-            yield _batch(list(rows(chunk)))
+            yield _batch(list(_string_rows(chunk, parts)))
     return run
 
 
-def _settle_strings(rows):
+def _settle_strings(rows, parts):
     doc, rid, pos, name, _ = _opened([r for r in rows if r[1] == 0], "<u8")
-    o = np.lexsort((doc, name))
-    repeat = doc[o] > _of_group(doc[o], _first(name[o]))
-    o = o[repeat]
-    d, r, p, *_ = _opened([(*x[:7], None, None) for x in rows if x[1] == 9], "<u8")
+    o = _ordered(name, doc)
+    o = o[doc[o] > _of_group(doc[o], _first(name[o]))]
+    d, r, p, *_ = _opened([x for x in rows if x[1] == 9], "<u8")
     doc, rid, pos = np.concatenate([doc[o], d]), np.concatenate([rid[o], r]), np.concatenate([pos[o], p])
-    return _replies(doc, rid, pos, np.ones(len(doc), np.int64))
+    return _replies(doc, rid, pos, np.full(len(doc), STRING), parts)
 
 
 # ------------------------------------------------------------ whole
 
-def _by_part(settle):
+def _by_part(settle, parts: int):
     def run(batches):
         at, held = None, []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[0] != at:
                     if held:
-                        yield settle(held)
+                        yield settle(held, parts)
                     at, held = row[0], []
                 held.append(row)
         if held:
-            yield settle(held)
+            yield settle(held, parts)
     return run
 
 
@@ -350,16 +416,16 @@ def _finish(length: int):
     around = length - length // 2
 
     def run(batches):
-        for b in batches:
+        for docs in _documents(batches, PIECE):
             out = []
-            for t, anchors_, strings in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for doc, _, t, settled, _, strings in docs:
                 n = len(t)
-                starts = _covered(anchors_, around, 0, max(n - length + 1, 0)) | _covered(strings, 0, 0, max(n - length + 1, 0))
-                gone = _covered([np.flatnonzero(starts).astype("<u4").tobytes()], 0, length - 1, n)
+                starts = _covered(settled, around, 0, max(n - length + 1, 0)) | _covered(strings, 0, 0, max(n - length + 1, 0))
+                gone = _covered(np.flatnonzero(starts), 0, length - 1, n)
                 kept = t if not gone.any() else np.frombuffer(t, np.uint8)[~gone].tobytes()
-                out.append((n, int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
+                out.append((doc, n, int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     return run
 
@@ -379,30 +445,17 @@ def _shuffles_removed(spark):
             spark.conf.set(key, old)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Settled anchors, and repeated strings besides, as rows of packed places per (doc_id, rid)."""
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("rid"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("rid"), "text")
+    own = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // PART_BYTES))
 
     def settled(sent, settle, name):
-        return stage(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_by_part(settle), _REPLY), name)
+        return stage(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_by_part(settle, parts), _ROW), name)
     with _shuffles_removed(spark):
-        first = settled(own.mapInArrow(_send_anchors(parts, length), _ROW), _settle_anchors, "repeat-anchors")
-        places = first.groupBy(F.col("doc_id").alias("_d"), F.col("rid").alias("_r")).agg(F.collect_list("settled").alias("settled"), F.collect_list(F.when(F.octet_length("open") > 0, F.col("open"))).alias("open"))
-        places = places.filter(F.size("open") > 0)
-        opened = own.join(places, (F.col("doc_id") == F.col("_d")) & (F.col("rid") == F.col("_r"))).select("doc_id", "rid", "text", "settled", "open")
-        second = settled(opened.mapInArrow(_send_strings(parts, length), _ROW), _settle_strings, "repeat-strings")
-    return first.select("doc_id", "rid", "settled"), second.select("doc_id", "rid", "settled")
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    anchors_, strings = repeats(docs, length)
-    empty = F.lit(None).cast("binary")
-    both = (anchors_.select("doc_id", "rid", F.col("settled").alias("a"), empty.alias("s")).unionByName(strings.select("doc_id", "rid", empty.alias("a"), F.col("settled").alias("s")))
-            .filter("octet_length(coalesce(a, s)) > 0").groupBy(F.col("doc_id").alias("_d"), F.col("rid").alias("_r")).agg(F.collect_list("a").alias("a"), F.collect_list("s").alias("s")))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("rid"))
-    rows = rows.join(both, (F.col("doc_id") == F.col("_d")) & (F.col("rid") == F.col("_r")), "left").select("doc_id", "text", "a", "s")
-    return rows.mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        first = settled(own.select("doc_id", "rid", "text").mapInArrow(_send_anchors(parts, length), _ROW), _settle_anchors, "repeat-anchors")
+        second = settled(_meet(own, first, parts).mapInArrow(_send_strings(parts, length), _ROW), _settle_strings, "repeat-strings")
+    return _meet(rows, first.unionByName(second), parts).mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
