@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pieces
+from tessera.session import stage
 
 BITS = 13
 SAMPLE = 400
@@ -98,8 +99,13 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
 
 def centroids(train: DataFrame, idf: np.ndarray, sample: int = SAMPLE, k: int = CENTROIDS) -> list[tuple[str, np.ndarray, float]]:
     """(language, centroid, least cosine of nearly all of its rows); at most `k` for a language."""
-    keys = train.select("doc_id", "lang").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    keys = keys.filter(F.col("_n") <= sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = train.select("doc_id", "lang").withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
+    # twice the sample is let through by its hash, so that a rank over a language never sees more than that
+    share = ids.groupBy(F.col("lang").alias("_l")).agg((F.lit(2.0 * sample * (1 << 31)) / F.count(F.lit(1))).alias("_most"))
+    share = stage(share, "lang-share")                  # a row per language
+    few = ids.join(share, F.col("lang") == F.col("_l")).filter(F.col("_h") < F.col("_most"))
+    few = few.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_n") <= sample)
+    keys = stage(few.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "lang-sample")      # its size is known then, so Spark decides how to join
     rows = train.join(keys, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("doc_id", "lang", "text")
     size = len(idf)
 
