@@ -10,6 +10,7 @@ from tessera import fixed_values as V
 from tessera.functions import text as X
 from tessera.functions.columns import computed_once, in_turn, stable_fraction
 from tessera.operators.ordering import first_per_group, ordered_rank, running_before, top_per_group
+from tessera.session import stage
 
 SIDES = ("seeker", "church")
 
@@ -27,27 +28,43 @@ def label_posts(posts: DataFrame, min_tokens: int = 5, scrub: dict | None = None
             .withColumn("tradition", F.nullif(F.lower(F.trim("tradition")), F.lit(""))))
 
 
+def labelled_rows(posts: DataFrame, min_tokens: int = 5, scrub: dict | None = None) -> DataFrame:
+    """`label_posts` as a stage table with a key for each row: text work is done once for all that follows."""
+    return stage(label_posts(posts, min_tokens, scrub).withColumn("_row", F.monotonically_increasing_id()), "labelled")
+
+
+def documents_of(labelled: DataFrame, holdout_fraction: float = 0.2, order=("ord",)) -> DataFrame:
+    """First of each token-identical set of kept rows, with the hold-out.
+
+    Only hashes, order and row keys are compared; texts stay where they are unless very many rows are copies.
+    """
+    kept = labelled.filter(F.col("fate") == "kept")
+    keys = kept.select("hash", F.struct(*order, "_row").alias("_o"))
+    first = keys.groupBy("hash").agg(F.min("_o").alias("_first"))
+    copies = stage(keys.join(first, "hash").filter("_o <> _first").select("_o._row"), "copies")
+    share = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
+    return (kept.join(copies, "_row", "left_anti").drop("fate", "_row")
+            .withColumn("holdout", (F.col("side") == "seeker") & (share < holdout_fraction))
+            .withColumn("id", F.coalesce(F.col("id").cast("string"), F.substring("hash", 1, 16))))
+
+
 def clean_posts(posts: DataFrame, holdout_fraction: float = 0.2, min_tokens: int = 5, scrub: dict | None = None,
                 order=("ord",)) -> DataFrame:
     """Documents: valid rows only, first of each token-identical set, seeker hold-out by stable hash.
 
     Needs id, side, tradition, source, date, text and the arrival-order columns.
     """
-    kept = label_posts(posts, min_tokens, scrub).filter(F.col("fate") == "kept").drop("fate")
-    first = first_per_group(kept, ["hash"], [F.col(c) for c in order])
-    share = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
-    return (first.withColumn("holdout", (F.col("side") == "seeker") & (share < holdout_fraction))
-            .withColumn("id", F.coalesce(F.col("id").cast("string"), F.substring("hash", 1, 16))))
+    return documents_of(labelled_rows(posts, min_tokens, scrub), holdout_fraction, order)
 
 
 def ingest_stats(posts: DataFrame, holdout_fraction: float = 0.2, min_tokens: int = 5) -> DataFrame:
     """Counters of the cleaning step as (stat, n)."""
-    labelled = label_posts(posts, min_tokens)
+    labelled = labelled_rows(posts, min_tokens)
     rows = labelled.agg(
         F.count(F.lit(1)).alias("read"), F.count_if(F.col("fate") == "bad_row").alias("dropped_bad_row"),
         F.count_if(F.col("fate") == "short").alias("dropped_short"),
         F.count_if(F.col("fate") == "kept").alias("_valid"))
-    docs = clean_posts(posts, holdout_fraction, min_tokens)
+    docs = documents_of(labelled, holdout_fraction)
     kept = docs.agg(
         F.count(F.lit(1)).alias("_kept"), F.count_if(F.col("side") == "seeker").alias("kept_seeker"),
         F.count_if(F.col("side") == "church").alias("kept_church"), F.count_if("holdout").alias("seeker_holdout"),
