@@ -34,9 +34,19 @@ QUALIFY row_number() OVER (PARTITION BY page_url, regexp_replace(regexp_replace(
 KINDS_SQL = " ".join(f"WHEN regexp_matches(lower(url || ' ' || text), '{p}') THEN {w}" for _, p, w in V.LINK_KINDS)
 
 
-@query("page_read")
+_PLAIN = lambda x: "trim(regexp_replace(replace(replace(replace(regexp_replace(replace(" + x + r", '&copy;', '©'), '&middot;', '·', 'g'), '&quot;', '\"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))"
+cte("page_parts", rf"""
+SELECT page_id, url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+ string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>', ' ', 'gs'),
+  '<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'gs'), '\s+', ' ', 'g'), '</?({pages.BREAKS})[^>]*>', chr(10), 'g'), chr(10)) AS lines FROM pages""")
+
+
+@query("page_read", rf"""
+SELECT page_id, url, substr({_PLAIN('title')}, 1, 200) AS title,
+ length(array_to_string(list_filter(list_transform(lines, lambda x: {_PLAIN("regexp_replace(x, '<[^>]*>', ' ', 'g')")}), lambda x: x <> ''), chr(10)))::BIGINT AS n_chars,
+ len(regexp_extract_all(html, '<a href="[^"#][^"]*">'))::BIGINT AS n_links FROM page_parts""", ("page_parts",))
 def page_read(spark, sf):
-    """Title, size of the visible text and number of links of every stored page, by the HTML reader (tested by hand-made pages)."""
+    """Title, size of the visible text and number of links of every stored page."""
     return read(spark, sf).select("page_id", "url", "title", F.length("text").cast("long").alias("n_chars"), F.size("links").cast("long").alias("n_links"))
 
 
