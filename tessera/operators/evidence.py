@@ -163,6 +163,15 @@ def map_values(cells: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return d.withColumn("value", value).drop("_rules")
 
 
+def with_variability(priors: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Adds `variability`: how much congregations of the group differ on the feature's subject. `metadata`: (group_id, field_id, value)."""
+    kind = F.coalesce(lookup(F.substring_index("feature", ".", 1), V.VARIABILITY_KIND), F.lit("cultural"))
+    m = metadata.select(F.col("group_id").alias("_g"), F.col("field_id").alias("_f"), F.col("value").alias("_text"))
+    field = F.concat(F.lit("distinguishing_metadata."), kind, F.lit("_variability"))
+    d = priors.join(m, (F.col("group_id") == F.col("_g")) & (F.col("_f") == field), "left")
+    return d.withColumn("variability", R.variability(F.col("_text"))).drop("_g", "_f", "_text")
+
+
 def priors_available(priors: DataFrame) -> DataFrame:
     return priors.groupBy("feature").agg(F.count(F.lit(1)).alias("n_groups"))
 

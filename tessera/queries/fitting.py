@@ -11,7 +11,7 @@ from tessera.functions.columns import rounded
 from tessera.operators import evidence as E
 from tessera.operators import jobs, matching, metrics, profiles, sermons
 from tessera.queries import facts as T
-from tessera.queries.registry import cte, query, table
+from tessera.queries.registry import body, cte, query, table
 
 joined = lambda c, sep=",": F.array_join(c, sep)
 
@@ -132,6 +132,38 @@ def match_scores(spark, sf):
                                     joined("unmatched").alias("unmatched"), joined("unknown").alias("unknown"))
 
 
+cte("nation_priors", """
+SELECT s_nationkey AS group_id, feature, value FROM evidence JOIN supplier ON s_suppkey = church_id QUALIFY row_number() OVER (PARTITION BY s_nationkey, feature ORDER BY
+  CASE tier WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'D' THEN 3 WHEN 'C' THEN 2 ELSE 1 END DESC, checked_at DESC, row_id, church_id) = 1
+""", "evidence")
+cte("nation_variability", """
+SELECT n_nationkey AS group_id, kind, CASE (n_nationkey + length(kind)) % 3 WHEN 0 THEN 0.15 WHEN 1 THEN 0.5 ELSE 0.3 END AS var FROM nation, (VALUES ('doctrinal'), ('worship'), ('governance'), ('cultural')) k(kind)""")
+cte("held", """
+SELECT church_id, feature, value, tier, points, NULL AS var FROM best
+UNION ALL SELECT s_suppkey, n.feature, n.value, 'prior', 0, v.var FROM supplier JOIN (SELECT * FROM nation_priors WHERE value <> 'unknown') n ON n.group_id = s_nationkey
+JOIN nation_variability v ON v.group_id = n.group_id AND v.kind = CASE split_part(n.feature, '.', 1) WHEN 'theology' THEN 'doctrinal' WHEN 'social' THEN 'doctrinal' WHEN 'lgbtq' THEN 'doctrinal'
+  WHEN 'worship' THEN 'worship' WHEN 'preaching' THEN 'worship' WHEN 'polity' THEN 'governance' WHEN 'women' THEN 'governance' ELSE 'cultural' END
+WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.church_id = s_suppkey AND b.feature = n.feature)""", "best", "nation_priors", "nation_variability")
+cte("rated_held", body("rated").replace("b.value", "v.value").replace("LEFT JOIN best b ON b.church_id = c.church_id AND b.feature = p.feature", "LEFT JOIN held v ON v.church_id = c.church_id AND v.feature = p.feature")
+    .replace("CASE b.tier", "CASE v.tier WHEN 'prior' THEN CASE WHEN p.feature LIKE 'identity.%' THEN c.denom_conf ELSE 0.5 * c.denom_conf * (1 - v.var) END").replace("b.points", "v.points").replace("b.tier", "v.tier"),
+    "candidates_met", "preferences", "features", "held")
+cte("pair_sums_held", body("pair_sums").replace("FROM rated)", "FROM rated_held)"), "rated_held")
+
+
+@query("match_scores_priors", "SELECT session_id, church_id, score, known_share, fit, excluded FROM (" + body("scored").strip().replace("LEFT JOIN pair_sums p", "LEFT JOIN pair_sums_held p") + ")", ("candidates_met", "pair_sums_held"))
+def match_scores_priors(spark, sf):
+    """Scores in which a supplier without evidence on a feature falls back to what its nation typically holds, weighed by the nation's variability."""
+    n = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("church_id"), F.col("s_nationkey").alias("group_id"))
+    pri = E.best_evidence(T.evidence(spark, sf).join(n, "church_id"), "group_id", ("row_id", "church_id")).filter("value <> 'unknown'").select("group_id", "feature", "value", F.lit("").alias("note"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("doctrinal", "worship", "governance", "cultural")])).alias("kind")
+    meta = table(spark, sf, "nation").select(F.col("n_nationkey").alias("group_id"), kinds)
+    turn = (F.col("group_id") + F.length("kind")) % 3
+    meta = meta.select("group_id", F.concat(F.lit("distinguishing_metadata."), "kind", F.lit("_variability")).alias("field_id"), F.when(turn == 0, "rather low").when(turn == 1, "High").alias("value"))
+    prof = matching.profile_arrays(T.preferences(spark, sf), T.features(spark, sf))
+    ev = matching.evidence_maps(E.best_evidence(T.evidence(spark, sf)), denom=n.withColumnRenamed("group_id", "denomination_id"), priors=E.with_variability(pri, meta))
+    return matching.score_pairs(T.candidates(spark, sf), prof, ev).select("session_id", "church_id", "score", "known_share", "fit", "excluded")
+
+
 cte("reasons", """
 SELECT session_id, church_id, string_agg(txt, ' / ' ORDER BY part, o, feature) AS why FROM (
  SELECT session_id, church_id, feature, CASE WHEN c > 0 THEN 1 ELSE 2 END AS part, CASE WHEN c > 0 THEN -c ELSE c END AS o, txt,
@@ -180,10 +212,6 @@ def top_candidates(spark, sf):
 cte("group_priors", """
 SELECT church_id AS group_id, feature, value, '' AS note FROM best WHERE value <> 'unknown'
 """, "best")
-cte("nation_priors", """
-SELECT s_nationkey AS group_id, feature, value FROM evidence JOIN supplier ON s_suppkey = church_id QUALIFY row_number() OVER (PARTITION BY s_nationkey, feature ORDER BY
-  CASE tier WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'D' THEN 3 WHEN 'C' THEN 2 ELSE 1 END DESC, checked_at DESC, row_id, church_id) = 1
-""", "evidence")
 cte("group_rated", """
 SELECT p.session_id, g.group_id, p.feature, p.weight, p.w, g.adherents, len(p.avoid) > 0 AS has_avoid, len(p.want) > 0 AS has_want, p.feature IN ('identity.denomination', 'identity.tradition', 'identity.branch') AS identity,
   CASE WHEN b.value IS NULL THEN 0 WHEN f.free_form THEN CASE WHEN len([a FOR a IN p.avoid IF contains(b.value, a)]) > 0 THEN -1 WHEN len(p.want) > 0 THEN CASE WHEN len([a FOR a IN p.want IF contains(b.value, a)]) > 0 THEN 1 ELSE -1 END ELSE 0 END

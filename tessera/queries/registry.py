@@ -22,6 +22,10 @@ def cte(name: str, body: str, *needs: str) -> None:
     _CTES[name] = (needs, body)
 
 
+def body(name: str) -> str:
+    return _CTES[name][1]
+
+
 def with_ctes(body: str, *needs: str) -> str:
     order: list[str] = []
 
