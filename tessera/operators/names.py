@@ -124,12 +124,18 @@ def find_groups(names: DataFrame, aliases: DataFrame, groups: DataFrame, k: int
         hits = hits.unionByName(fuzzy_matches(n, groups))
     scores = hits.groupBy("name", "group_id").agg(F.max("score").alias("score"))
     scores = scores.unionByName(family_matches(n.join(scores, "name", "left_anti"), groups, words=family_words))
-    d = scores.filter(~F.col("group_id").isin(banned or V.NON_MEMBER_IDS)).join(
-        groups.select("group_id", F.col("known_name").alias("label"), "adherents"), "group_id")
+    known = groups.select("group_id", F.col("known_name").alias("label"), "adherents")
+    known = known.filter(~F.col("group_id").isin(banned) if banned else R.is_member(F.col("group_id"), F.col("label")))
+    d = scores.join(known, "group_id")
     return top_per_group(d, ["name"], [F.desc(F.col("score") + size_boost(F.col("adherents"))), F.col("group_id")], k, "rn").select(
         "name", "rn", "group_id", "label", F.round("score", 1).alias("score"))
 
 
+def without_non_members(places: DataFrame, name: str = "name", group_id: str = "group_id") -> DataFrame:
+    """Candidates whose own name or resolved group is not screened out; other faiths are recognised by the group only."""
+    return places.filter(~F.coalesce(F.col(name).rlike(V.NON_MEMBER_NAME), F.lit(False)) & ~F.coalesce(F.col(group_id).isin(V.NON_MEMBER_IDS), F.lit(False)))
+
+
 def resolve(places: DataFrame, found: DataFrame, found_tags: DataFrame | None = None, site: DataFrame | None = None) -> DataFrame:
     """Affiliation guess per place: name rule, known name, map tag, own website; the first sure one, else the surest.
 

@@ -95,6 +95,11 @@ def crawlable_links(links: DataFrame) -> DataFrame:
                         & ~F.coalesce(F.col("resource").isin("calendar", "registration"), F.lit(False)))
 
 
+def hinted_links(links: DataFrame) -> DataFrame:
+    """Links that a crawl for statements would follow, with the score of the hints in their text and address."""
+    return links.filter(~F.col("url").rlike(V.CRAWL_SKIP)).withColumn("hints", U.crawl_score(F.col("url"), F.col("text")))
+
+
 def resources(links: DataFrame) -> DataFrame:
     """Public collections linked from a page, once per address."""
     d = links.filter(F.col("resource").isNotNull() & ~F.col("blocked"))

@@ -32,13 +32,13 @@ def clean_proposed_ops(ops: DataFrame) -> DataFrame:
     """
     ev, text = F.lower(F.coalesce("ev", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
     said = F.when(text == "", ev).otherwise(text)
-    firm = ev.rlike(r"\b(must|required|require|non.negotiable|only|never|wouldn.t be comfortable|not comfortable|rule out|exclude)\b")
+    firm = ev.rlike(V.FIRM_WISH)
     d = ops.filter("key <> 'location'").withColumn("op", F.when(F.col("op") == "add", "assert").otherwise(F.col("op")))
     strength = F.coalesce("strength", F.lit(0.6))
     d = d.withColumn("strength", F.when((F.coalesce("src", F.lit("stated")) != "user_edit") & ~firm,
                                         F.least(strength, F.lit(0.7))).otherwise(strength))
     one = lambda *v: F.array(*[F.lit(x) for x in v])
-    exact = ev.rlike(r"missouri|wisconsin|synod|episcopal|\blcms\b|\bwels\b|\bels\b|\bacna\b")
+    exact = ev.rlike(V.EXACT_BODY)
     families = F.array_compact(F.array(F.when(ev.contains("lutheran"), "lutheran"), F.when(ev.contains("anglican"), "anglican_episcopal")))
     affil = F.col("key").isin("denomination", "identity.denomination")
     to_family = affil & ~exact & (F.size(families) > 0)
@@ -48,13 +48,13 @@ def clean_proposed_ops(ops: DataFrame) -> DataFrame:
                  ).drop("key", "vals").withColumnsRenamed({"_k": "key", "_v": "vals"})
     broad = ((F.col("key") == "identity.branch") & (F.col("stance") == "want") & said.contains("protestant")
              & ~said.contains("mainline") & ~said.contains("evangelical"))
-    authority = (F.col("key") == "theology.scripture") & ev.contains("biblical authority") & ~ev.rlike("inerran|without error")
+    authority = (F.col("key") == "theology.scripture") & ev.contains("biblical authority") & ~ev.rlike(V.STRICT_SCRIPTURE)
     d = d.withColumn("vals", in_turn([
         (broad, one(*V.PROTESTANT_BRANCHES)),
-        (authority, one("inerrant", "infallible", "inspired_authoritative"))], F.col("vals")))
+        (authority, one(*V.SCRIPTURE_VALUES))], F.col("vals")))
     hymns = (F.col("key") == "worship.style") & (F.col("vals") == one("traditional_hymns"))
     lead = ((F.col("key") == "women.senior_pastor") & (F.col("stance") == "avoid") & (F.col("vals") == one("no"))
-            & said.rlike(r"not (?:as )?(?:head|lead|senior) pastors?|not .*priests?|except .*pastors?"))
+            & said.rlike(V.LEAD_ROLE_ONLY))
     return d.select(*[c for c in d.columns if c not in ("key", "vals", "stance")],
                     F.when(hymns, "worship.music_sources").otherwise(F.col("key")).alias("key"),
                     F.when(hymns, one("hymns")).otherwise(F.col("vals")).alias("vals"),

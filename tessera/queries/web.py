@@ -63,6 +63,16 @@ def crawlable_links(spark, sf):
     return pages.crawlable_links(pages.page_links(read(spark, sf))).select("page_url", "url")
 
 
+_HINTS = "[" + ", ".join(f"'{h}'" for h in V.CRAWL_HINTS) + "]"
+
+
+@query("hinted_links", f"""
+SELECT page_url, url, list_sum([CASE WHEN contains(lower(text), h) THEN 2 WHEN contains(lower(url || ' ' || text), h) THEN 1 ELSE 0 END FOR h IN {_HINTS}])::BIGINT AS hints
+FROM links WHERE NOT regexp_matches(url, '{V.CRAWL_SKIP}')""", ("links",))
+def hinted_links(spark, sf):
+    return pages.hinted_links(pages.page_links(read(spark, sf))).select("page_url", "url", F.col("hints").cast("long").alias("hints"))
+
+
 @query("url_keys", rf"""
 SELECT page_id, {HOST.format(u='url')} || '|' || CASE WHEN regexp_replace({PATH.format(u='url')}, '/+$', '') = '' THEN '/' ELSE regexp_replace({PATH.format(u='url')}, '/+$', '') END
   || '|' || {QUERY.format(u='url')} AS page_key, {HOST.format(u='url')} AS site, url LIKE 'http%' AS is_public FROM pages""")

@@ -120,3 +120,12 @@ def test_bracketed_abbreviations_and_long_aliases(spark):
     got = {(r["name"], r["group_id"]): r["score"] for r in names.alias_matches(n, a).collect()}
     assert got == {("First Presbyterian PC(USA)", "pcusa"): 100.0, ("MyPC(USA)x", "pcusa"): 100.0, (f"Old {long.upper()} Chapel", "long"): 98.0, ("AG", "ag"): 100.0,
                    ("X C(Y)", "open"): 100.0, **({("First Presbyterian PC(USA)", "open"): 100.0, ("MyPC(USA)x", "open"): 100.0})}
+
+
+def test_non_members_are_screened(spark):
+    a = spark.createDataFrame([("Grace Hall", "g"), ("Kingdom Hall", "k"), ("JW", "jw")], "alias string, group_id string")
+    g = spark.createDataFrame([("g", "Grace Hall", 10), ("k", "Kingdom Hall", 10), ("jw", "Witnesses", 10)], "group_id string, known_name string, adherents int")
+    n = spark.createDataFrame([("Grace Hall",), ("Kingdom Hall",), ("JW",)], "name string")
+    assert {r["group_id"] for r in names.find_groups(n, a, g, fuzzy=False).collect()} == {"g"}
+    p = spark.createDataFrame([(1, "Kingdom Hall", None), (2, "Hope", "jw"), (3, "Hope", None), (4, None, "g")], "id int, name string, group_id string")
+    assert {r["id"] for r in names.without_non_members(p).collect()} == {3, 4}
