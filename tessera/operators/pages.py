@@ -126,7 +126,7 @@ def passages_in(docs: DataFrame, passages: DataFrame, most_words: int = 5) -> Da
     of them are the join key, fewer for shorter passages. A passage without whole words is keyed by its first
     letters, up to three. Every key is a necessary condition; `contains` is the last test. An empty passage stands nowhere.
     """
-    words, inside = F.split("t", " "), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0))
+    words, inside = F.col("_w"), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0))
     p = (passages.filter("q <> ''").withColumn("n", F.least(inside, F.lit(most_words)))
          .withColumn("key", F.when(F.col("n") > 0, F.array_join(F.slice(F.split("q", " "), F.lit(2), F.greatest("n", F.lit(1))), " ")).otherwise(F.substring("q", 1, 3)))
          .withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(-F.length("key"))))
@@ -134,7 +134,8 @@ def passages_in(docs: DataFrame, passages: DataFrame, most_words: int = 5) -> Da
 
     def letters(k):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(k)))
-    keys = [docs.select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(X.ngrams(words, n) if n > 0 else letters(-n))).alias("key")) for n in lengths]
+    split = docs.withColumn("_w", F.split("t", " "))
+    keys = [split.select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(X.ngrams(words, n) if n > 0 else letters(-n))).alias("key")) for n in lengths]
     if not keys:
         return p.select("item_id", F.lit(None).cast("long").alias("doc_id"))
     some = keys[0]

@@ -34,7 +34,7 @@ QUALIFY row_number() OVER (PARTITION BY page_url, regexp_replace(regexp_replace(
 KINDS_SQL = " ".join(f"WHEN regexp_matches(lower(url || ' ' || text), '{p}') THEN {w}" for _, p, w in V.LINK_KINDS)
 
 
-_PLAIN = lambda x: "trim(regexp_replace(replace(replace(replace(regexp_replace(replace(" + x + r", '&copy;', '©'), '&middot;', '·', 'g'), '&quot;', '\"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))"
+_PLAIN = lambda x: "trim(regexp_replace(replace(replace(replace(regexp_replace(replace(" + x + r", '&copy;', '©'), '&middot;', '·', 'g'), '&quot;', chr(34)), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))"
 cte("page_parts", rf"""
 SELECT page_id, url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
  string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<title>.*?</title>|<script>.*?</script>|<style>.*?</style>', ' ', 'gs'),
