@@ -5,10 +5,12 @@ Template of a turn:  <|im_start|>ROLE newline TEXT <|im_end|> newline
 The grammar is regular and every turn delimits itself, so a deterministic parser
 reads turns back from left to right without looking ahead. A turn is rendered as
 it is, parsed again and compared; where the recovered turn differs, conflicting
-content is escaped and the turn rendered again until it is identical. Escaping
+content is escaped and the turn rendered again until it is identical. The grammar
+takes no control string inside a role or text, so each of them is conflicting content
+and a rendered turn holds one of each, its own. Escaping
 puts one more backslash into every "<", backslashes, "|" of the text, reading takes one
 out, so it is reversible at any depth. In roles, a backslash stands before
-backslash, "<" and a line break (written n).
+backslash, "<" (written l) and a line break (written n).
 
 Turns are rendered and tested where they lie. Only the rendered pieces move to
 their conversation, where they are read back as one stream, a batch at a time: a
@@ -34,9 +36,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
 
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(r"<\|im_start\|>((?:[^\\<\n]|\\[\\<n])*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
-_ROLE_OUT = {"\\": "\\\\", "<": "\\<", "\n": "\\n"}
-_ROLE_IN = {"\\": "\\", "<": "<", "n": "\n"}
+_TURN = re.compile(r"<\|im_start\|>((?:[^\\<\n]|\\[\\ln])*)\n((?:[^<]++|<(?!\|im_(?:start|end)\|>))*+)<\|im_end\|>\n")
+_ROLE_OUT = {"\\": "\\\\", "<": "\\l", "\n": "\\n"}
+_ROLE_IN = {"\\": "\\", "l": "<", "n": "\n"}
 
 
 def _role_out(role: str) -> str:
