@@ -290,12 +290,22 @@ SELECT *, row_number() OVER (ORDER BY score DESC, term) AS rank FROM (
 """, "merged")
 
 
-def ranked(m: Mining):
+def _sense_vectors(sample):
+    church = (F.col("side") == "church") & F.col("tradition").isNotNull()
+    return sample.select("term", F.col("pick_no").alias("item"), F.when(church, F.col("grp")).alias("grp"), signals.hash_embedding(X.tokens(F.col("text"))).alias("embedding"))
+
+
+def ranked(m: Mining, whole: bool = False):
+    """Ranked terms, hits and sample. The SQL has no sense clusters, so these and drift count only if `whole`."""
     from tessera.session import stage
     hits = stage(_hits(m), "hits")
     sample = contexts.context_sample(hits)
     occ = contexts.occurrences(hits, m.shortlist)
-    merged = ranking.merge_signals(m.shortlist, m.candidates, m.markers, occ, m.phrases, stance=_stance(sample))
+    senses = drift = None
+    if whole:
+        vectors = stage(_sense_vectors(sample), "vectors")
+        senses, drift = stage(signals.sense_clusters(vectors), "senses"), signals.group_drift(vectors, "term", "grp")
+    merged = ranking.merge_signals(m.shortlist, m.candidates, m.markers, occ, m.phrases, senses, drift, _stance(sample))
     return ranking.rank_terms(stage(merged, "merged")), hits, sample
 
 
@@ -308,6 +318,13 @@ def ranked_terms(spark, sf):
                     rounded(F.col("contestedness"), 4).alias("contestedness"), "ambiguity_raw", "score")
 
 
+@query("ranked_terms_whole")
+def ranked_terms_whole(spark, sf):
+    """As ranked_terms, with polysemy and drift in the ambiguity."""
+    r, _, _ = ranked(Mining(spark, sf), whole=True)
+    return r.select("rank", "term", "reason", "seed", "count", "z_english", "polysemy", "drift", "contestedness", "negation_rate", "ambiguity_raw", "score")
+
+
 @query("draft_list", "SELECT term, rank, seed, count FROM ranked WHERE rank <= 150 OR (seed AND count >= 3)", ("ranked",))
 def draft_list(spark, sf):
     r, _, _ = ranked(Mining(spark, sf))

@@ -184,3 +184,13 @@ def test_bm25_matches_a_plain_loop(spark):
         score.append((round(s * (1 if c[4] == "official" else .9), 9), c[1]))
     want = sorted([x for x in score if x[0] > 0], key=lambda x: (x[0], x[1]), reverse=True)[:5]
     assert [g[0] for g in got] == [w[1] for w in want] and all(abs(g[1] - w[0]) < 1e-8 for g, w in zip(got, want))
+
+
+def test_registered_rank_takes_senses_and_drift(spark, sf):
+    from __spark_entry__ import queries
+    got = queries()["ranked_terms_whole"](spark, sf).collect()
+    assert any((r.polysemy or 0) > 0 for r in got) and any((r.drift or 0) > 0 for r in got)
+    for r in got:
+        want = 0.35 * (r.polysemy or 0) + 0.25 * (r.drift or 0) + 0.25 * (r.contestedness or 0) + 0.15 * r.negation_rate
+        assert abs(r.ambiguity_raw - want) < 6e-5
+    assert [r.rank for r in sorted(got, key=lambda r: (-r.score, r.term))] == list(range(1, len(got) + 1))
