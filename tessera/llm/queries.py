@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, cover_search, decontaminate, importance, lang_id, main_text, secret_scan, sim_hash, suffix_dedup, token_mix
+from tessera.llm import (
+    chat_format, cover_search, decontaminate, importance, lang_id, main_text, packing, secret_scan, sim_hash, suffix_dedup, token_mix,
+)
 from tessera.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -71,3 +73,9 @@ def op1(spark, sf_dir):
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_pack")
+def op11(spark, sf_dir):
+    from public_tokenizers import path
+    return packing.pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
