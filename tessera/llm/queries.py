@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (
     chat_format, cover_search, decontaminate, importance, lang_id, main_text, packing, secret_scan, sim_hash, suffix_dedup, token_mix,
+    turn_repair,
 )
 from tessera.llm.common import table
 
@@ -79,3 +80,8 @@ def op7(spark, sf_dir):
 def op11(spark, sf_dir):
     from public_tokenizers import path
     return packing.pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+@query("op12_turn_repair")
+def op12(spark, sf_dir):
+    return turn_repair.audits(turn_repair.damaged(table(spark, sf_dir, "conversations")))
