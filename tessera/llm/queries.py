@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chat_format, cover_search, decontaminate, importance, lang_id, main_text, packing, secret_scan, sim_hash, suffix_dedup, token_mix,
-    turn_repair,
+    chat_format, cover_search, decontaminate, importance, lang_id, main_text, packing, secret_scan, sim_hash, suffix_dedup, target_draw,
+    token_mix, turn_repair,
 )
 from tessera.llm.common import table
 
@@ -85,3 +85,8 @@ def op11(spark, sf_dir):
 @query("op12_turn_repair")
 def op12(spark, sf_dir):
     return turn_repair.audits(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_target_draw", target_draw.ORACLE)
+def op13(spark, sf_dir):
+    return target_draw.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"))
