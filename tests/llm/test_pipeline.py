@@ -5,7 +5,7 @@ from tessera.llm import importance, secret_scan
 from tessera.session import stage
 
 from .test_decontaminate import plain_leaks
-from .test_sim_hash import plain_components, plain_fingerprint
+from .test_near_copies import plain_groups
 
 
 def test_stages(spark):
@@ -20,7 +20,7 @@ def test_stages(spark):
 
     kept = {r.doc_id for r in importance.resampled(docs, labels).collect() if r.kept}
     assert set(rows[1]) == kept and 0.7 * len(rows[0]) < len(kept) < len(rows[0])
-    groups = plain_components({i: plain_fingerprint(r.text) for i, r in rows[1].items()})
+    groups = plain_groups({i: r.text for i, r in rows[1].items()})
     assert set(rows[2]) == set(groups.values()) and len(rows[2]) < len(rows[1])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     leaked = {i for i, _ in plain_leaks([(i, r.text) for i, r in rows[2].items()], items)}
