@@ -2,10 +2,17 @@
 
 A page is cut at its block-level tags into flat blocks. A block is described by
 its word count and link density, by those of the block before and after it, and
-by what encloses it: an article element, or an element whose name or class says
-that it is a menu, notice, advert, comment and the like. A small decision tree,
-grown on the labelled table below when the operator starts, says which blocks
-are main text.
+by what encloses it: an article element, or an element that says that it is a menu,
+notice, advert, comment and the like. A small decision tree, grown on the labelled
+table below when the operator starts, says which blocks are main text. On pages without an
+article element the neighbours decide: a short block between long ones stays, the same
+block among links goes.
+
+An element's name, role or hiding is taken at its word. A class or id, and a form, is
+a hint only: it is void if the element holds an article, or more than half of the words of
+a page without one. Words of comments stay a hint that holds. States such as
+`has-sidebar`, `no-comments` or `comments-open` say nothing about the element. Classes of inline
+elements count only where they make up a whole block.
 
 Edge cases: a null or empty page gives an empty text; unclosed, misnested and cut
 tags are closed by what follows; a comment or script without end runs to the end
@@ -26,89 +33,209 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object audio video canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-OUTSIDE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+OUTSIDE = frozenset("nav header footer aside menu dialog button fieldset head".split())
 ARTICLE = frozenset(("article", "main"))
 OUTSIDE_WORDS = frozenset(("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
                            "sidebar aside rail widget footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter "
                            "subscribe subscription signup login search share sharing social related recommended recommendations trending popular tags pagination pager "
                            "comment comments commentlist respond reply replies discussion disqus copyright legal disclaimer skip form").split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+STATE_STARTS = frozenset("no has have with without hide show layout theme".split())
+STATE_ENDS = frozenset("open opened closed enabled disabled fixed allowed".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 
 # The labelled table. Words, link density; the same of the block before and after; in an article; in something outside it; label.
+# First in an article, then in something outside it, then in neither: between nothing, a link, a short, a middling and a long block.
 COLUMNS = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "outside")
 LABELLED = """
-1 1.0 0 0.0 1 1.0 0 1 0
-1 1.0 1 1.0 1 1.0 0 1 0
-2 1.0 1 1.0 9 0.0 0 1 0
-9 0.0 2 1.0 7 0.0 0 1 0
-34 0.0 5 0.2 40 0.0 0 1 0
-60 0.0 70 0.0 30 0.0 1 1 0
-25 0.1 44 0.0 18 0.2 1 1 0
-12 0.0 6 0.0 0 0.0 1 1 0
-4 0.5 90 0.0 3 1.0 1 1 0
-3 1.0 50 0.0 60 0.0 1 1 0
-110 0.0 3 1.0 8 0.0 0 1 0
-7 0.0 9 0.0 30 0.0 1 0 1
-30 0.0 7 0.0 55 0.0 1 0 1
-55 0.1 30 0.0 2 0.0 1 0 1
-2 0.0 55 0.0 80 0.0 1 0 1
-80 0.0 2 0.0 6 0.3 1 0 1
-1 0.0 60 0.0 12 0.0 1 0 1
-3 1.0 45 0.0 41 0.0 1 0 1
-6 0.6 40 0.0 35 0.0 1 0 1
-18 0.4 22 0.0 0 0.0 1 0 1
-5 0.0 5 0.0 5 0.0 1 0 1
-1 1.0 1 1.0 2 1.0 1 0 1
-45 0.0 8 0.0 50 0.0 0 0 1
-50 0.1 45 0.0 38 0.0 0 0 1
-38 0.0 50 0.1 4 1.0 0 0 1
-28 0.0 31 0.0 26 0.0 0 0 1
-17 0.0 48 0.0 52 0.0 0 0 1
-90 0.2 6 0.0 3 0.5 0 0 1
-1 0.0 6 0.0 8 0.0 1 0 1
-1 0.0 6 0.0 1 1.0 1 0 1
-1 0.0 2 1.0 8 0.0 1 0 1
-1 0.0 2 1.0 1 1.0 1 0 1
-4 0.0 6 0.0 8 0.0 1 0 1
-4 0.0 6 0.0 1 1.0 1 0 1
-4 0.0 2 1.0 8 0.0 1 0 1
-4 0.0 2 1.0 1 1.0 1 0 1
-12 0.0 6 0.0 8 0.0 1 0 1
-12 0.0 6 0.0 1 1.0 1 0 1
-12 0.0 2 1.0 8 0.0 1 0 1
-12 0.0 2 1.0 1 1.0 1 0 1
-40 0.0 6 0.0 8 0.0 1 0 1
-40 0.0 6 0.0 1 1.0 1 0 1
-40 0.0 2 1.0 8 0.0 1 0 1
-40 0.0 2 1.0 1 1.0 1 0 1
-120 0.0 6 0.0 8 0.0 1 0 1
-120 0.0 6 0.0 1 1.0 1 0 1
-120 0.0 2 1.0 8 0.0 1 0 1
-120 0.0 2 1.0 1 1.0 1 0 1
-3 0.0 0 0.0 1 1.0 0 0 0
-1 0.0 1 1.0 3 1.0 0 0 0
-2 1.0 0 0.0 30 0.0 0 0 0
-5 1.0 20 0.0 5 1.0 0 0 0
-6 1.0 5 1.0 0 0.0 0 0 0
-2 0.0 3 1.0 0 0.0 0 0 0
-3 0.0 2 1.0 3 1.0 0 0 0
-2 0.0 1 1.0 1 0.0 0 0 0
-22 0.0 0 0.0 33 0.0 0 0 1
-40 0.0 1 1.0 30 0.0 0 0 1
-33 0.1 2 1.0 45 0.0 0 0 1
-60 0.0 1 1.0 2 0.5 0 0 1
-26 0.0 3 1.0 0 0.0 0 0 1
-48 0.0 6 0.2 51 0.0 0 0 1
-1 1.0 0 0.0 1 1.0 0 0 0
-2 1.0 1 1.0 2 1.0 0 0 0
-3 1.0 2 1.0 40 0.0 0 0 0
-4 0.0 1 1.0 2 1.0 0 0 0
-6 0.2 3 1.0 2 0.0 0 0 0
-9 0.7 44 0.0 8 0.9 0 0 0
-14 0.8 9 0.7 7 1.0 0 0 0
-30 0.7 14 0.8 20 0.9 0 0 0
-5 0.0 8 1.0 6 0.5 0 0 0
+2 0.0 0 0.0 0 0.0 1 0 1
+12 0.0 0 0.0 0 0.0 1 0 1
+60 0.0 0 0.0 0 0.0 1 0 1
+4 0.3 0 0.0 0 0.0 1 0 1
+2 0.0 0 0.0 50 0.0 1 0 1
+12 0.0 0 0.0 50 0.0 1 0 1
+60 0.0 0 0.0 50 0.0 1 0 1
+9 1.0 0 0.0 50 0.0 1 0 1
+2 0.0 2 1.0 2 1.0 1 0 1
+12 0.0 2 1.0 2 1.0 1 0 1
+60 0.0 2 1.0 2 1.0 1 0 1
+4 0.3 2 1.0 2 1.0 1 0 1
+2 0.0 2 1.0 50 0.0 1 0 1
+12 0.0 2 1.0 50 0.0 1 0 1
+60 0.0 2 1.0 50 0.0 1 0 1
+9 1.0 2 1.0 50 0.0 1 0 1
+2 0.0 6 0.0 6 0.0 1 0 1
+12 0.0 6 0.0 6 0.0 1 0 1
+60 0.0 6 0.0 6 0.0 1 0 1
+4 0.3 6 0.0 6 0.0 1 0 1
+2 0.0 6 0.0 0 0.0 1 0 1
+12 0.0 6 0.0 0 0.0 1 0 1
+60 0.0 6 0.0 0 0.0 1 0 1
+9 1.0 6 0.0 0 0.0 1 0 1
+2 0.0 50 0.0 50 0.0 1 0 1
+12 0.0 50 0.0 50 0.0 1 0 1
+60 0.0 50 0.0 50 0.0 1 0 1
+4 0.3 50 0.0 50 0.0 1 0 1
+2 0.0 50 0.0 2 1.0 1 0 1
+12 0.0 50 0.0 2 1.0 1 0 1
+60 0.0 50 0.0 2 1.0 1 0 1
+9 1.0 50 0.0 2 1.0 1 0 1
+2 0.0 0 0.0 0 0.0 0 1 0
+12 0.0 0 0.0 0 0.0 1 1 0
+60 0.0 0 0.0 0 0.0 0 1 0
+4 0.3 0 0.0 0 0.0 1 1 0
+2 0.0 0 0.0 50 0.0 1 1 0
+12 0.0 0 0.0 50 0.0 0 1 0
+60 0.0 0 0.0 50 0.0 1 1 0
+9 1.0 0 0.0 50 0.0 0 1 0
+2 0.0 2 1.0 2 1.0 0 1 0
+12 0.0 2 1.0 2 1.0 1 1 0
+60 0.0 2 1.0 2 1.0 0 1 0
+4 0.3 2 1.0 2 1.0 1 1 0
+2 0.0 2 1.0 50 0.0 1 1 0
+12 0.0 2 1.0 50 0.0 0 1 0
+60 0.0 2 1.0 50 0.0 1 1 0
+9 1.0 2 1.0 50 0.0 0 1 0
+2 0.0 6 0.0 6 0.0 0 1 0
+12 0.0 6 0.0 6 0.0 1 1 0
+60 0.0 6 0.0 6 0.0 0 1 0
+4 0.3 6 0.0 6 0.0 1 1 0
+2 0.0 6 0.0 0 0.0 1 1 0
+12 0.0 6 0.0 0 0.0 0 1 0
+60 0.0 6 0.0 0 0.0 1 1 0
+9 1.0 6 0.0 0 0.0 0 1 0
+2 0.0 50 0.0 50 0.0 0 1 0
+12 0.0 50 0.0 50 0.0 1 1 0
+60 0.0 50 0.0 50 0.0 0 1 0
+4 0.3 50 0.0 50 0.0 1 1 0
+2 0.0 50 0.0 2 1.0 1 1 0
+12 0.0 50 0.0 2 1.0 0 1 0
+60 0.0 50 0.0 2 1.0 1 1 0
+9 1.0 50 0.0 2 1.0 0 1 0
+3 0.0 0 0.0 0 0.0 0 0 0
+3 0.0 0 0.0 2 1.0 0 0 0
+3 0.0 0 0.0 6 0.0 0 0 0
+3 0.0 0 0.0 50 0.0 0 0 1
+3 0.0 2 1.0 0 0.0 0 0 0
+3 0.0 2 1.0 2 1.0 0 0 0
+3 0.0 2 1.0 6 0.0 0 0 0
+3 0.0 2 1.0 50 0.0 0 0 1
+3 0.0 6 0.0 0 0.0 0 0 0
+3 0.0 6 0.0 2 1.0 0 0 0
+3 0.0 6 0.0 6 0.0 0 0 0
+3 0.0 6 0.0 50 0.0 0 0 1
+3 0.0 50 0.0 0 0.0 0 0 0
+3 0.0 50 0.0 2 1.0 0 0 0
+3 0.0 50 0.0 6 0.0 0 0 1
+3 0.0 50 0.0 50 0.0 0 0 1
+9 0.0 0 0.0 0 0.0 0 0 0
+9 0.0 0 0.0 2 1.0 0 0 0
+9 0.0 0 0.0 6 0.0 0 0 0
+9 0.0 0 0.0 50 0.0 0 0 1
+9 0.0 2 1.0 0 0.0 0 0 0
+9 0.0 2 1.0 2 1.0 0 0 0
+9 0.0 2 1.0 6 0.0 0 0 0
+9 0.0 2 1.0 50 0.0 0 0 1
+9 0.0 6 0.0 0 0.0 0 0 0
+9 0.0 6 0.0 2 1.0 0 0 0
+9 0.0 6 0.0 6 0.0 0 0 0
+9 0.0 6 0.0 50 0.0 0 0 1
+9 0.0 50 0.0 0 0.0 0 0 0
+9 0.0 50 0.0 2 1.0 0 0 0
+9 0.0 50 0.0 6 0.0 0 0 1
+9 0.0 50 0.0 50 0.0 0 0 1
+11 0.0 0 0.0 0 0.0 0 0 0
+11 0.0 0 0.0 2 1.0 0 0 0
+11 0.0 0 0.0 6 0.0 0 0 0
+11 0.0 0 0.0 50 0.0 0 0 1
+11 0.0 2 1.0 0 0.0 0 0 0
+11 0.0 2 1.0 2 1.0 0 0 0
+11 0.0 2 1.0 6 0.0 0 0 0
+11 0.0 2 1.0 50 0.0 0 0 1
+11 0.0 6 0.0 0 0.0 0 0 0
+11 0.0 6 0.0 2 1.0 0 0 0
+11 0.0 6 0.0 6 0.0 0 0 0
+11 0.0 6 0.0 50 0.0 0 0 1
+11 0.0 50 0.0 0 0.0 0 0 1
+11 0.0 50 0.0 2 1.0 0 0 1
+11 0.0 50 0.0 6 0.0 0 0 1
+11 0.0 50 0.0 50 0.0 0 0 1
+20 0.0 0 0.0 0 0.0 0 0 1
+20 0.0 0 0.0 2 1.0 0 0 1
+20 0.0 0 0.0 6 0.0 0 0 1
+20 0.0 0 0.0 50 0.0 0 0 1
+20 0.0 2 1.0 0 0.0 0 0 1
+20 0.0 2 1.0 2 1.0 0 0 1
+20 0.0 2 1.0 6 0.0 0 0 1
+20 0.0 2 1.0 50 0.0 0 0 1
+20 0.0 6 0.0 0 0.0 0 0 1
+20 0.0 6 0.0 2 1.0 0 0 1
+20 0.0 6 0.0 6 0.0 0 0 1
+20 0.0 6 0.0 50 0.0 0 0 1
+20 0.0 50 0.0 0 0.0 0 0 1
+20 0.0 50 0.0 2 1.0 0 0 1
+20 0.0 50 0.0 6 0.0 0 0 1
+20 0.0 50 0.0 50 0.0 0 0 1
+3 0.7 0 0.0 2 1.0 0 0 0
+3 0.7 2 1.0 2 1.0 0 0 0
+3 0.7 50 0.0 50 0.0 0 0 0
+3 0.7 6 0.0 50 0.0 0 0 0
+3 0.7 50 0.0 0 0.0 0 0 0
+9 0.6 0 0.0 2 1.0 0 0 0
+9 0.6 2 1.0 2 1.0 0 0 0
+9 0.6 50 0.0 50 0.0 0 0 0
+9 0.6 6 0.0 50 0.0 0 0 0
+9 0.6 50 0.0 0 0.0 0 0 0
+30 0.8 0 0.0 2 1.0 0 0 0
+30 0.8 2 1.0 2 1.0 0 0 0
+30 0.8 50 0.0 50 0.0 0 0 0
+30 0.8 6 0.0 50 0.0 0 0 0
+30 0.8 50 0.0 0 0.0 0 0 0
+2 1.0 0 0.0 2 1.0 0 0 0
+2 1.0 2 1.0 2 1.0 0 0 0
+2 1.0 50 0.0 50 0.0 0 0 0
+2 1.0 6 0.0 50 0.0 0 0 0
+2 1.0 50 0.0 0 0.0 0 0 0
+5 1.0 0 0.0 2 1.0 0 0 0
+5 1.0 2 1.0 2 1.0 0 0 0
+5 1.0 50 0.0 50 0.0 0 0 0
+5 1.0 6 0.0 50 0.0 0 0 0
+5 1.0 50 0.0 0 0.0 0 0 0
+8 0.2 2 1.0 50 0.0 0 0 1
+8 0.2 50 0.0 50 0.0 0 0 1
+8 0.2 2 1.0 2 1.0 0 0 0
+8 0.2 6 0.0 0 0.0 0 0 0
+25 0.2 2 1.0 50 0.0 0 0 1
+25 0.2 50 0.0 50 0.0 0 0 1
+25 0.2 2 1.0 2 1.0 0 0 1
+25 0.2 6 0.0 0 0.0 0 0 1
+70 0.1 2 1.0 50 0.0 0 0 1
+70 0.1 50 0.0 50 0.0 0 0 1
+70 0.1 2 1.0 2 1.0 0 0 1
+70 0.1 6 0.0 0 0.0 0 0 1
+3 0.0 16 0.0 16 0.0 0 0 1
+3 0.0 2 1.0 16 0.0 0 0 1
+3 0.0 16 0.0 2 1.0 0 0 0
+3 0.0 16 0.0 0 0.0 0 0 0
+3 0.0 16 0.0 6 0.0 0 0 1
+3 0.0 6 0.0 16 0.0 0 0 1
+9 0.0 16 0.0 16 0.0 0 0 1
+9 0.0 2 1.0 16 0.0 0 0 1
+9 0.0 16 0.0 2 1.0 0 0 0
+9 0.0 16 0.0 0 0.0 0 0 0
+9 0.0 16 0.0 6 0.0 0 0 1
+9 0.0 6 0.0 16 0.0 0 0 1
+14 0.0 16 0.0 16 0.0 0 0 1
+14 0.0 2 1.0 16 0.0 0 0 1
+14 0.0 16 0.0 2 1.0 0 0 1
+14 0.0 16 0.0 0 0.0 0 0 1
+14 0.0 16 0.0 6 0.0 0 0 1
+14 0.0 6 0.0 16 0.0 0 0 1
+30 0.8 50 0.0 50 0.0 1 0 1
+30 0.9 2 1.0 2 1.0 1 0 1
+40 1.0 6 0.0 50 0.0 1 0 1
+20 0.6 16 0.0 16 0.0 1 0 1
 """
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?a-zA-Z][^<>]*\Z""", re.DOTALL)
@@ -117,9 +244,20 @@ _SPLIT = re.compile(r"[^a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _role(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is outside the article, or an article, by its name and attributes."""
-    outside, article = name in OUTSIDE, name in ARTICLE
+def _says(value: str) -> frozenset:
+    """Words of a class or id that mark what lies outside the main text; states of the page are left out."""
+    out = set()
+    for token in value.split():
+        words = _SPLIT.split(_HUMP.sub(" ", token).lower())
+        words = [w for w in words if w]
+        if words and words[0] not in STATE_STARTS and words[-1] not in STATE_ENDS:
+            out |= OUTSIDE_WORDS.intersection(words)
+    return frozenset(out)
+
+
+def _role(name: str, attributes: str) -> tuple[bool, frozenset, bool, bool]:
+    """Of an element by its name and attributes: outside, words that hint at it, an article, hidden."""
+    outside, article, hints, hidden = name in OUTSIDE, name in ARTICLE, frozenset(("form",)) if name == "form" else frozenset(), False
     if attributes and name not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -127,98 +265,166 @@ def _role(name: str, attributes: str) -> tuple[bool, bool]:
                 outside |= value.lower() in OUTSIDE_ROLES
                 article |= value.lower() in ARTICLE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
-                outside = True
+                hidden = True
             elif key in ("class", "id") and name not in ARTICLE:
-                outside |= not OUTSIDE_WORDS.isdisjoint(_SPLIT.split(_HUMP.sub(" ", value).lower()))
+                hints |= _says(value)
             elif key in ("class", "id"):
                 outside |= not OUTSIDE_WORDS.isdisjoint(value.lower().split()) and "comment" in value.lower()
-    return outside, article
+    return outside, hints, article, hidden
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat blocks in page order: text, words, words in links, in an article, outside of it."""
-    out, parts, linked = [], [], []
-    open_names: list[str] = []
-    flags: list[tuple[bool, bool]] = [(False, False)]        # outside, article: here or in an ancestor
-    links = 0
-
-    def flush():
-        if parts:
-            words = "".join(parts).split()
+class _Hint:
+    """An element whose class, id or name hints that it isn't main text."""
+    __slots__ = ("parent", "comments", "article", "words", "holds")
+
+    def __init__(self, parent, comments: bool):
+        self.parent, self.comments, self.article, self.words, self.holds = parent, comments, False, 0, None
+
+
+class _Reader:
+    """Flat blocks of a page, read from left to right in a time proportional to its length."""
+
+    def __init__(self):
+        self.out: list = []            # text, words, words in links, in an article, outside, hint
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.hinted = True             # all words of the block so far lie in inline elements with a hint
+        self.open: list = []           # name, outside, article, hint, inline hints, hidden
+        self.state = (False, False, None, 0, False)
+        self.counts: dict[str, int] = {}
+        self.scopes: list = [[None, {}]]      # a block-level element and the inline elements open within it
+        self.links = 0
+        self.hints: list[_Hint] = []
+
+    def flush(self):
+        if self.parts:
+            words = "".join(self.parts).split()
             if words:
-                outside, article = flags[-1]
-                out.append((" ".join(words), len(words), len("".join(linked).split()), article, outside))
-            parts.clear()
-            linked.clear()
+                outside, article, hint, _, _ = self.state
+                self.out.append((" ".join(words), len(words), len("".join(self.linked).split()), article, outside or self.hinted, hint))
+            self.parts.clear()
+            self.linked.clear()
+        self.hinted = True
 
-    def text(chunk):
+    def text(self, chunk: str):
         chunk = html.unescape(chunk) if "&" in chunk else chunk
-        parts.append(chunk)
-        linked.append(chunk if links else " ")
+        if self.state[4] or not chunk:
+            return
+        self.parts.append(chunk)
+        self.linked.append(chunk if self.links else " ")
+        if not self.state[3] and self.hinted and not chunk.isspace():
+            self.hinted = False
 
-    def close(name):
-        nonlocal links
+    def start(self, name: str, attributes: str):
+        outside, hints, article, hidden = _role(name, attributes)
+        was_outside, was_article, hint, inline_hints, was_hidden = self.state
+        inline = name in INLINE
+        if inline:
+            inline_hints += bool(hints) or outside
+            outside = False
+        elif hints:
+            hint = _Hint(hint, not COMMENT_WORDS.isdisjoint(hints))
+            self.hints.append(hint)
+        if article and not was_article and not was_outside:
+            up = hint
+            while up is not None and not up.article and not up.comments:
+                up.article = True
+                up = up.parent
+        self.open.append((name, self.state))
+        self.state = (was_outside or outside, was_article or article, hint, inline_hints, was_hidden or hidden)
+        self.counts[name] = self.counts.get(name, 0) + 1
+        if inline:
+            own = self.scopes[-1][1]
+            own[name] = own.get(name, 0) + 1
+        else:
+            self.scopes.append([name, {}])
+        self.links += name == "a"
+
+    def close(self, name: str):
         while True:
-            flags.pop()
-            gone = open_names.pop()
-            links -= gone == "a"
+            gone, self.state = self.open.pop()
+            self.counts[gone] -= 1
+            self.links -= gone == "a"
+            if gone in INLINE:
+                self.scopes[-1][1][gone] -= 1
+            else:
+                self.scopes.pop()
             if gone == name:
                 return
 
-    def inline_up_to(*names):
-        """The first of `names` that is open with nothing but inline elements opened since."""
-        for x in reversed(open_names):
-            if x in names:
-                return x
-            if x not in INLINE:
-                return None
-        return None
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
+    def end(self, name: str):
+        if name in INLINE:
+            if self.scopes[-1][1].get(name):
+                self.close(name)
+        else:
+            self.flush()
+            if self.counts.get(name):
+                self.close(name)
+
+    def found(self) -> list[tuple[str, int, int, bool, bool]]:
+        """Blocks with the hints settled."""
+        self.flush()
+        total, articles = 0, any(a and not o for _, _, _, a, o, _ in self.out)
+        for _, n, _, _, outside, hint in self.out:
+            if not outside:
+                total += n
+                if hint is not None:
+                    hint.words += n
+        for h in reversed(self.hints):           # inner elements come later
+            if h.parent is not None:
+                h.parent.words += h.words
+        for h in self.hints:
+            void = not h.comments and (h.article or (not articles and 2 * h.words > total))
+            h.holds = not void or (h.parent is not None and h.parent.holds)
+        return [(t, n, k, article, outside or (hint is not None and hint.holds)) for t, n, k, article, outside, hint in self.out]
+
+
+_RAW_ENDS = {name: re.compile(f"</{name}[^>]*(?:>|$)", re.IGNORECASE) for name in RAW}
+_CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
+_ENDED_BY = {"li": ("p", "li"), "dt": ("p", "dt"), "dd": ("p", "dd"), "tr": ("p", "tr"), "td": ("p", "td"), "th": ("p", "th"), "option": ("p", "option")}
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
+    """Flat blocks in page order: text, words, words in links, in an article, outside of it."""
+    r = _Reader()
+    at, last = 0, page.rfind(">")
+    while at <= last:
+        m = _TAG.search(page, at, last + 1)
         if not m:
-            text(page[at:])
             break
         if m.start() > at:
-            text(page[at:m.start()])
+            r.text(page[at:m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
+            if at > last and page.startswith("<!--", m.start()) and not page.endswith("-->", 0, at):
+                return r.found()                 # a comment without end
             continue
         if m[1] or m[4]:
-            if name in INLINE:
-                if inline_up_to(name):
-                    close(name)
-            else:
-                flush()
-                if name in open_names:
-                    close(name)
+            r.end(name)
             continue
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+            end = _RAW_ENDS[name].search(page, at)
+            at = end.end() if end else len(page)
             if name not in ("script", "style"):
-                flush()
+                r.flush()
             continue
         if name not in INLINE:
-            flush()
-            while x := inline_up_to("p", *((name,) if name in ("li", "dt", "dd", "tr", "td", "th", "option") else ())):
-                close(x)
+            r.flush()
+            while r.scopes[-1][0] in _ENDED_BY.get(name, ("p",)):
+                r.close(r.scopes[-1][0])
         elif name in ("br", "img", "wbr"):
             if name == "br":
-                text(" ")
+                r.text(" ")
             continue
         if name in VOID:
             continue
-        outside, article = _role(name, m[3] or m[6] or "")
-        if outside != flags[-1][0] and outside and name in INLINE:
-            flush()
-        open_names.append(name)
-        flags.append((flags[-1][0] or outside, flags[-1][1] or article))
-        links += name == "a"
-    flush()
-    return out
+        r.start(name, m[3] or m[6] or "")
+    rest = page[at:]
+    cut = _CUT_TAG.search(rest, max(rest.rfind("<"), 0))
+    comment = rest.find("<!--")
+    r.text(rest[:min(cut.start() if cut else len(rest), comment if comment >= 0 else len(rest))])
+    return r.found()
 
 
 def features(found) -> np.ndarray:
@@ -229,7 +435,7 @@ def features(found) -> np.ndarray:
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), place])
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6):
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 10):
     """A binary tree by least impurity: (column, bound, tree at most the bound, tree above), or a label."""
     share = labels.mean()
     if depth == 0 or share in (0.0, 1.0):

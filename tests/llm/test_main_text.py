@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -50,6 +51,67 @@ def test_given_pages(spark, sf):
         assert got[p.page_id].n_chars == len(want)
 
 
+ARTICLE = "".join(f"<p>{'word ' * 14}{i}</p>" for i in range(4))
+WRAPPERS = ['<div class="has-sidebar">%s</div>', '<div class="post no-comments">%s</div>', '<body><div class="layout-header-fixed">%s</div></body>', '<form id="aspnetForm">%s</form>', '<div id="sidebar-wrapper">%s</div>']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("element", ["<article>%s</article>", "%s"])
+def test_a_wrapper_hides_no_article(wrapper, element):
+    page = "<nav><a href=x>Home</a></nav>" + wrapper % (element % ARTICLE) + "<div class='sidebar'><p>Side story about other things</p></div>"
+    assert text(page) == "\n\n".join(f"{'word ' * 14}{i}" for i in range(4))
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>one <span class='alert'>two</span> three</p><div><span class=ad>Buy</span></div></article>", "one two three"),
+    ("<article><p>A.</p><ul><li><a href=x>" + "name " * 20 + "</a></ul></article>", "A.\n\n" + ("name " * 20).strip()),
+    ("<article><p>one <span hidden>two</span> three</p></article>", "one three"),
+    ("<article><p>A.</p></article><div class=comments>" + ARTICLE * 3 + "</div>", "A."),
+    ("<article><p>A.</p></article><div class='related'><article><p>Other</p></article></div>", "A.\n\nOther"),
+])
+def test_hints_of_elements(page, want):
+    assert text(page) == want
+
+
+def test_neighbours_decide_without_an_article():
+    long, nav = "word " * 60, "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+    between = f"{nav}<div><h2>Head line</h2><p>{long}</p><p>Short one.</p><p>{long}</p><p>One more sentence of a dozen words that closes the text here now.</p></div>{nav}"
+    assert text(between) == f"Head line\n\n{long.strip()}\n\nShort one.\n\n{long.strip()}\n\nOne more sentence of a dozen words that closes the text here now."
+    assert text(f"{nav}<p>Short one.</p>{nav}") == ""
+    columns, todo = set(), [TREE]
+    while todo:
+        n = todo.pop()
+        if not isinstance(n, bool):
+            columns.add(M.COLUMNS[n[0]])
+            todo += n[2:]
+    assert {"words_before", "words_after"} & columns and {"words", "density", "article", "outside"} <= columns
+
+
+def test_given_pages_without_their_article_element(spark, sf):
+    """The same pages with plain elements instead: nearly all of the text stays, nothing else comes, and without the neighbours more is lost."""
+    import numpy as np
+    table = np.array([x.split() for x in M.LABELLED.strip().splitlines()], float)
+    blind = M.grow(np.hstack([table[:, :2], np.zeros((len(table), 4)), table[:, 6:8]]), table[:, 8])
+    lost = blind_lost = wrong = total = 0
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        whole = text(p.html).split("\n\n")
+        plain = re.sub("(</?)article>", r"\1div>", p.html)
+        got, other = text(plain).split("\n\n"), M.main_text(plain, blind).split("\n\n")
+        total += len(whole)
+        lost += len(set(whole) - set(got))
+        blind_lost += len(set(whole) - set(other))
+        wrong += len(set(got) - set(whole))
+    assert lost < 0.12 * total and wrong < 0.06 * total and lost < 0.7 * blind_lost
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a x" * 250_000 + ">", "<div>" * 200_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<a '" * 250_000, "<!-- " * 200_000, "<p><i>" * 150_000,
+                                  "<div class='ad'>" * 60_000, "<" * 1_000_000, "<b>" * 150_000 + "<p>" * 100_000, "&" * 1_000_000])
+def test_a_megabyte_of_trouble(page):
+    t0 = time.time()
+    text(page)
+    assert time.time() - t0 < 10
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<article><p>a</p></article>", "x"), (1, "u", "<article><p>a</p></article>", "x")], "page_id long, url string, html string, text string")
     assert [r.text for r in M.extract(df).collect()] == ["", "a", "a"]
