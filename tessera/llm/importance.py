@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import as_bytes, nth_largest
+from tessera.llm.common import as_bytes, free_name, nth_largest
 from tessera.session import stage
 
 BITS = 15
@@ -169,4 +169,6 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the selection keeps, all columns."""
     ratios, least = selection(docs, labels)
-    return weighed(docs, ratios, "_weight").filter(gumbel_key(F.col("_weight"), F.col("doc_id")) >= least).select(*docs.columns)
+    name = free_name("_weight", docs.columns)
+    d = weighed(docs, ratios, name)
+    return d.filter(gumbel_key(d[name], d["doc_id"]) >= least).drop(name)

@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,6 +41,8 @@ PEM_END = re.compile(rb"-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
 LEAST = (12, 18, 16)
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
+_PEM_STARTS = re.compile(rb"(?=" + PEM_END.pattern + rb")")
+_PART = re.compile(rb"[A-Za-z0-9_-]*")
 _HEX = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _RUN = b"\x01" * LEAST[2]
 
@@ -71,15 +74,28 @@ def _header_holds(part: bytes) -> bool:
     return isinstance(head, dict) and "alg" in head
 
 
-def _anchored(kind: str, raw: bytes, at: int) -> tuple[int, bool] | None:
-    """End of the match at `at` and whether it passes, or nothing."""
+class _PemEnds:
+    """Ends of private keys in a text, looked up once, so that many headers before a foreign end cost no more than one."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.starts = raw, None
+
+    def after(self, at: int) -> int | None:
+        if self.starts is None:
+            self.starts = [m.start() for m in _PEM_STARTS.finditer(self.raw)]
+        i = bisect_left(self.starts, at)
+        return PEM_END.match(self.raw, self.starts[i]).end() if i < len(self.starts) else None
+
+
+def _anchored(kind: str, raw: bytes, at: int, pem_ends: _PemEnds) -> tuple[int, bool] | None:
+    """End of the match at `at` and whether it passes, or nothing. A token with a header whose parts don't follow fails for its whole first part."""
     if kind == "pem":
         m = PEM.match(raw, at)
-        end = PEM_END.search(raw, m.end()) if m else None
-        return (end.end(), True) if end else None
+        end = pem_ends.after(m.end()) if m else None
+        return (end, True) if end else None
     m = {"assign": ASSIGN, "access": ACCESS, "forge": FORGE, "package": PACKAGE, "jwt": JWT}[kind].match(raw, at)
     if not m:
-        return None
+        return (_PART.match(raw, at).end(), False) if kind == "jwt" and raw.startswith(b"eyJ", at) else None
     if kind == "assign":
         return m.end(), len(m[2]) >= LEAST[0]
     if kind == "access":
@@ -91,11 +107,11 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of all secrets in UTF-8 bytes, in code points, ordered."""
     found, ends = [], dict.fromkeys(KINDS, 0)
     hits = sorted((end - n + 1, kind) for end, (n, kind) in _automaton().iter(raw.lower().decode("latin-1")))
-    pem_from = raw.rfind(b"-----END ")
+    pem_from, pem_ends = raw.rfind(b"-----END "), _PemEnds(raw)
     for at, kind in hits:
         if at < ends[kind] or (kind == "pem" and at > pem_from):
             continue
-        if m := _anchored(kind, raw, at):
+        if m := _anchored(kind, raw, at, pem_ends):
             ends[kind] = m[0]
             if m[1]:
                 found.append((at, m[0], KINDS.index(kind)))

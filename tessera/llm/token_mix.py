@@ -114,8 +114,8 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | None = None) -> DataFr
     e = e.filter("epochs > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("source_size").alias("_z"), F.col("target").alias("_t"), F.col("epochs").alias("_e"))
     own = [docs[c] for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     size = word_count(docs["text"])
-    return (docs.join(e, docs["source"].cast("string").eqNullSafe(F.col("_s")) & docs["doc_id"].eqNullSafe(F.col("_d")))
-            .select(*own, size.alias("size"), F.col("_z").alias("source_size"), F.col("_t").alias("target"), (size * F.col("_e")).alias("taken")))
+    return (docs.join(e, docs["source"].cast("string").eqNullSafe(e["_s"]) & docs["doc_id"].eqNullSafe(e["_d"]))
+            .select(*own, size.alias("size"), e["_z"].alias("source_size"), e["_t"].alias("target"), (size * e["_e"]).alias("taken")))
 
 
 ORACLE = r"""

@@ -76,3 +76,11 @@ def test_odd_rows(spark):
     assert all(r.kept for r in I.resampled(df, labels.limit(0)).collect())
     assert all(r.kept for r in I.resampled(df, labels.filter(F.col("quality") == 1)).collect())
     assert I.resampled(df.limit(0), labels).collect() == []
+
+
+def test_column_named_like_our_own(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    named = docs.withColumn("_weight", docs["doc_id"] * 2).withColumn("kept", docs["doc_id"])
+    got = I.kept_documents(named, labels)
+    assert got.columns == named.columns and {(r.doc_id, r._weight) for r in got.collect()} == {(r.doc_id, r.doc_id * 2) for r in I.kept_documents(docs, labels).collect()}

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -55,3 +56,22 @@ def test_odd_rows(spark):
     red = S.redact(df).collect()
     assert [r.text for r in red] == [None, "[SECRET] end", "[SECRET] end"] and red[0].spans == "a"
     assert S.secret_spans(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJ" * 300_000 + ".eyJ", "-----BEGIN PRIVATE KEY-----" * 40_000 + "-----END CERTIFICATE-----", "password" * 130_000, "a.eyJ" * 200_000, "token=" * 170_000])
+def test_a_megabyte_of_trouble(text):
+    t0 = time.time()
+    S.scan(text.encode())
+    assert time.time() - t0 < 5
+
+
+def test_failed_tokens_hide_no_later_one():
+    import base64
+    part = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    assert part.startswith("eyJ")
+    token = f"{part}.{part}.{'s' * 20}"
+    for before in ("EYJabcdefgh", "eyJabcdefghijk ", "eyJabcdefghijk.x ", "eyJabc-"):
+        kinds = [k for *_, k in S.scan((before + token).encode())]
+        assert kinds == ([] if before == "eyJabc-" else [5])
+    end = "-----END RSA PRIVATE KEY-----"
+    assert [k for *_, k in S.scan(f"-----BEGIN PRIVATE KEY----------END CERTIFICATE-----{end}".encode())] == [6]

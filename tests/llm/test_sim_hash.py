@@ -83,3 +83,8 @@ def test_odd_rows(spark):
     assert got[1:] == [(2, two, 2), (2, two, 2), (3, "0" * 16, 3), (5, "0" * 16, 3), (7, two, 2)] and got[0][2] is None
     assert sorted((r.doc_id or 0) for r in S.first_of_groups(df).collect()) == [0, 2, 2, 3]
     assert S.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_column_named_like_our_own(spark):
+    df = spark.createDataFrame([(1, "a b", 5), (2, "a b", 6)], "doc_id long, text string, _gone int")
+    assert [tuple(r) for r in S.first_of_groups(df).collect()] == [(1, "a b", 5)]

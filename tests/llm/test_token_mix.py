@@ -50,3 +50,13 @@ def test_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
     assert {r.doc_id: r.taken for r in kept.collect() if r.taken} == {r.doc_id: r.taken for r in got if r.taken}
     assert T.mix_words(df.limit(0)).collect() == []
+
+
+def test_columns_named_like_our_own(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    named = docs
+    for c in ("_t", "_e", "_s", "_d", "_z", "_source", "epochs"):
+        named = named.withColumn(c, docs["doc_id"])
+    got, plain = T.mixed_documents(named), T.mixed_documents(docs)
+    assert got.columns == [*named.columns, "size", "source_size", "target", "taken"]
+    assert {(r.doc_id, r.taken, r._t, r._z) for r in got.collect()} == {(r.doc_id, r.taken, r.doc_id, r.doc_id) for r in plain.collect()}
