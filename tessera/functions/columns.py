@@ -77,3 +77,9 @@ def computed_once(df, **cols):
     """
     made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
     return df.select(*[c for c in df.columns if c not in cols], made)
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """Rounded with ties upwards, also where the tie is off by the error of a few additions."""
+    one = 10 ** digits
+    return F.floor(c * one + 0.5 + 1e-6) / one

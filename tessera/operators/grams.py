@@ -69,11 +69,14 @@ def gram_counts(by_source: DataFrame) -> DataFrame:
         (F.max("count") / F.sum("count")).alias("top_source_share"))
 
 
-def tradition_counts(by_source: DataFrame, source_tradition: DataFrame) -> DataFrame:
+def tradition_counts(by_source: DataFrame, source_tradition: DataFrame, cands: DataFrame | None = None) -> DataFrame:
     """Per (gram, tradition): church-side uses, sources of that tradition using it, share of its biggest source.
 
-    Uses count under the tradition of the document; sources count under the tradition of the source.
+    Uses count under the tradition of the document; sources count under the tradition of the source. With `cands`
+    (term) only these terms are counted: a semi-join before both aggregations.
     """
+    if cands is not None:
+        by_source = by_source.join(cands.select(F.col("term").alias("gram")), "gram", "left_semi")
     used = (by_source.filter((F.col("side") == "church") & F.col("tradition").isNotNull())
             .groupBy("gram", "tradition").agg(F.sum("count").alias("count")))
     per_source = by_source.groupBy("gram", "source").agg(F.sum("count").alias("c"))

@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
+from tessera.operators.quantiles import exact_quantiles
 
 
 def call_stats(calls: DataFrame, keys=("task", "model")) -> DataFrame:
     """Per (task, model): calls, ok rate, exact median and total time, repairs, tokens."""
     have = set(calls.columns)
     extra = [F.sum(c).alias(c) for c in ("repairs", "prompt_tokens", "completion_tokens") if c in have]
-    return calls.groupBy(*keys).agg(
+    sums = calls.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"), F.avg(F.col("ok").cast("double")).alias("ok_rate"),
-        F.median("ms").alias("median_ms"), (F.sum("ms") / 60000).alias("total_min"), *extra)
+        (F.sum("ms") / 60000).alias("total_min"), *extra)
+    middle = exact_quantiles(calls, keys, "ms", 0.5, "median_ms").select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], "median_ms")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & sums[k].eqNullSafe(middle[f"_m{i}"])
+    first = [*keys, "calls", "ok_rate", "median_ms", "total_min"]
+    return sums.join(middle, on).select(*first, *[c for c in ("repairs", "prompt_tokens", "completion_tokens") if c in have])
 
 
 def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -131,7 +131,11 @@ def profiles(log: DataFrame, features: DataFrame) -> DataFrame:
 
     `features`: (feature, sensitive). The key `denomination` stands for `identity.denomination`.
     """
-    st = preference_states(log)
+    return profiles_of_states(preference_states(log), features)
+
+
+def profiles_of_states(st: DataFrame, features: DataFrame) -> DataFrame:
+    """Profiles from standing values, see `preference_states`."""
     fid = F.when(F.col("key") == "denomination", "identity.denomination").otherwise(F.col("key"))
     d = st.withColumn("feature", fid).join(features.select("feature", "sensitive"), "feature")
     d = d.withColumn("step", R.preference_step(F.col("strength"), F.col("conf"), F.col("sensitive"), F.col("src")))

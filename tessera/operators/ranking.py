@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import half_up
 from tessera.operators.ordering import ordered_rank
 from tessera.operators.shortlist import with_zscore
 
@@ -34,7 +35,7 @@ def merge_signals(short: DataFrame, cands: DataFrame, markers: DataFrame, occ: D
         d = d.withColumn(c, zero(c, "double"))
     amb = (0.35 * F.coalesce("polysemy", F.lit(0.0)) + 0.25 * F.coalesce("drift", F.lit(0.0))
            + 0.25 * F.coalesce("contestedness", F.lit(0.0)) + 0.15 * F.col("negation_rate"))
-    return (d.withColumn("ambiguity_raw", F.round(amb, 4))
+    return (d.withColumn("ambiguity_raw", half_up(amb, 4))
             .withColumn("seed", (F.col("reason") == "seed") | F.coalesce("_seed", F.lit(False))).drop("_seed"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import (contexts, corpus, demand, evidence, grams, keyness, knowledge, matching, names, profiles, ranking,
-                               responses, retrieval, shortlist, signals)
+                               responses, retrieval, senses, shortlist, signals)
 from tessera.session import stage
 
 MINING = {"holdout": 0.2, "max_n": 3, "min_count": 5, "min_npmi": 0.25, "min_sources": 0, "max_source_share": 1.0, "n_ref": 1e7, "a0": 500.0,
@@ -28,7 +28,7 @@ def mine_terms(posts: DataFrame, seeds: DataFrame, reference: DataFrame, generic
     cands = stage(grams.candidates(docs, seeds, c["max_n"], c["min_count"], c["min_npmi"], c["min_sources"], counts), "candidates")
     tot = stage(grams.totals(docs), "totals")
     ref = stage(keyness.reference_z(cands, reference, tot, c["n_ref"], c["a0"]), "reference_z")
-    by_trad = grams.tradition_counts(by_source, grams.source_traditions(docs, order[0]))
+    by_trad = grams.tradition_counts(by_source, grams.source_traditions(docs, order[0]), cands)
     tz = keyness.tradition_z(cands, by_trad, tot, c["min_docs"], c["a0"])
     marks = stage(keyness.markers(cands, ref, tz, generic, c["max_ref_freq"], c["min_sources"], c["max_source_share"]), "markers")
     requests = demand.mine_requests(docs.filter(~F.col("holdout")), patterns)
@@ -44,15 +44,15 @@ def mine_terms(posts: DataFrame, seeds: DataFrame, reference: DataFrame, generic
     st = stage(signals.stance(labels), "stance")
     vectors = stage(sample.select("term", F.col("pick_no").alias("item"), F.when((F.col("side") == "church") & F.col("tradition").isNotNull(), F.col("grp")).alias("grp"),
                                   signals.hash_embedding(X.tokens(F.col("text")), c["dims"]).alias("embedding")), "vectors")
-    senses = stage(signals.sense_clusters(vectors), "senses")
+    clusters = stage(senses.sense_clusters(vectors), "senses")
     drift = signals.group_drift(vectors, "term", "grp")
-    merged = stage(ranking.merge_signals(short, cands, marks, occ, phrases, senses, drift, st), "merged")
+    merged = stage(ranking.merge_signals(short, cands, marks, occ, phrases, clusters, drift, st), "merged")
     ranked = stage(ranking.rank_terms(merged), "ranked")
     held = demand.attributes(demand.mine_requests(docs.filter("holdout"), patterns))
     drafts = ranking.draft_list(ranked, c["top_n"])
     blocks = ranking.evidence_blocks(drafts, contexts.term_traditions(hits), ground, sample)
     return {"docs": docs, "candidates": cands, "markers": marks, "phrases": phrases, "shortlist": short, "occurrences": occ, "contexts": sample,
-            "grounding": ground, "stance": st, "senses": senses, "ranked": ranked, "drafts": drafts, "requests": blocks,
+            "grounding": ground, "stance": st, "senses": clusters, "ranked": ranked, "drafts": drafts, "requests": blocks,
             "coverage": demand.coverage(held, drafts.select("term")), "uncovered": demand.top_uncovered(held, drafts.select("term"))}
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("mining", "fitting", "knowing", "web", "records")
+_MODULES = ("mining", "fitting", "knowing", "web", "records", "flows")
 
 
 def load() -> None:

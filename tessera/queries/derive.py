@@ -327,16 +327,16 @@ class Mining:
 
     @property
     def reference(self):
-        return self._once("reference", lambda: reference_freq(self.spark, self.sf))
+        return self._once("reference", lambda: stage(reference_freq(self.spark, self.sf), "reference"))
 
     @property
     def ref_z(self):
-        return self._once("ref_z", lambda: keyness.reference_z(self.candidates, self.reference, self.totals))
+        return self._once("ref_z", lambda: stage(keyness.reference_z(self.candidates, self.reference, self.totals), "reference_z"))
 
     @property
     def tradition_z(self):
         def make():
-            by_trad = grams.tradition_counts(self.by_source, grams.source_traditions(self.docs))
+            by_trad = grams.tradition_counts(self.by_source, grams.source_traditions(self.docs), self.candidates)
             return keyness.tradition_z(self.candidates, by_trad, self.totals)
         return self._once("tradition_z", make)
 
@@ -347,7 +347,7 @@ class Mining:
 
     @property
     def subsumed(self):
-        return self._once("subsumed", lambda: shortlist.subsumed_terms(self.candidates))
+        return self._once("subsumed", lambda: stage(shortlist.subsumed_terms(self.candidates), "subsumed"))
 
     @property
     def judged(self):
@@ -364,7 +364,7 @@ class Mining:
 
     @property
     def phrases(self):
-        return self._once("phrases", lambda: demand.phrase_demand(self.attributes))
+        return self._once("phrases", lambda: stage(demand.phrase_demand(self.attributes), "phrases"))
 
     @property
     def shortlist(self):

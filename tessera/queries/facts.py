@@ -136,9 +136,13 @@ JOIN homes h USING (session_id) JOIN places s USING (church_id)
 
 # ---------------------------------------------------------------- preference log: one row per event
 def oplog(spark, sf) -> DataFrame:
+    return oplog_of(table(spark, sf, "events"))
+
+
+def oplog_of(events: DataFrame) -> DataFrame:
     """User as the session, event type as the operation, the number in the properties as key and stance."""
     k = F.get_json_object("props", "$.k").cast("int")
-    e = table(spark, sf, "events").withColumn("k", k)
+    e = events.withColumn("k", k)
     op = F.when(F.col("event_type").isin("signup", "purchase"), "assert").when(F.col("event_type") == "click", "revise").when(
         F.col("event_type") == "view", "confirm").otherwise("retract")
     key = F.when(F.col("k") % 9 == 0, "for_whom").when(F.col("k") % 9 == 1, "denomination").otherwise(feature_of((F.col("k") % 9).cast("int")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.columns import rounded
-from tessera.operators import contexts, corpus, demand, grams, ranking, shortlist, signals
+from tessera.operators import contexts, corpus, demand, grams, ranking, senses, shortlist, signals
 from tessera.queries import derive as D
 from tessera.queries.derive import Mining
 from tessera.queries.registry import cte, query, table
@@ -68,7 +68,7 @@ def gram_counts(spark, sf):
 SELECT gram, tradition, count, n_sources, round(top_share, 6) AS top_share FROM gram_traditions""", ("gram_traditions",))
 def term_sources(spark, sf):
     d = D.staged_docs(spark, sf)
-    t = grams.tradition_counts(grams.source_grams(d), grams.source_traditions(d))
+    t = grams.tradition_counts(grams.source_grams(d), grams.source_traditions(d))      # of all grams
     return t.withColumn("top_share", rounded(F.col("top_share"), 6))
 
 
@@ -274,14 +274,71 @@ def term_stance(spark, sf):
                     rounded(F.col("tradition_split"), 4).alias("tradition_split"))
 
 
+# ---------------------------------------------------------------- senses
+SENSE_DIMS, LEAST_CONTEXTS = 64, 12
+cte("sense_sample", "SELECT term, pick_no AS item, CASE WHEN side = 'church' AND tradition IS NOT NULL THEN grp END AS grp, text FROM sampled", "sampled")
+cte("sense_many", f"SELECT term FROM sense_sample GROUP BY term HAVING count(*) >= {LEAST_CONTEXTS}", "sense_sample")
+cte("sense_texts", "SELECT term, item, text FROM sense_sample WHERE term IN (SELECT term FROM sense_many)", "sense_sample", "sense_many")
+cte("sense_points", senses.sql_hashed("string_split(text, ' ')", "term, item", "sense_texts", SENSE_DIMS), "sense_texts")
+for _name, _body, _needs in [*senses.sql_clusters("sense", "sense_points", [2, 3, 4]), *senses.sql_senses("sense", "sense_sample", LEAST_CONTEXTS)]:
+    cte(_name, _body, *_needs)
+cte("sense_means", """
+SELECT term, grp, list(v ORDER BY i) AS v FROM (SELECT term, grp, i, avg(v) AS v, count(*) AS n FROM (
+ SELECT term, grp, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM sense_points JOIN sense_sample USING (term, item) WHERE grp IS NOT NULL) GROUP BY ALL) WHERE n >= 5 GROUP BY ALL""",
+    "sense_points", "sense_sample")
+cte("sense_drift", """
+SELECT term, round(round(greatest(0.0, max(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-9))), 9), 4) AS drift
+FROM sense_means a JOIN sense_means b USING (term) GROUP BY term""", "sense_means")
+
+
+def _sense_vectors(sample):
+    church = (F.col("side") == "church") & F.col("tradition").isNotNull()
+    return sample.select("term", F.col("pick_no").alias("item"), F.when(church, F.col("grp")).alias("grp"), signals.hash_embedding(X.tokens(F.col("text")), SENSE_DIMS).alias("embedding"))
+
+
+def _senses(sample):
+    """Sampled vectors, sense clusters and drift; drift of terms with enough contexts only."""
+    from tessera.session import stage
+    vectors = stage(_sense_vectors(sample), "vectors")
+    found = stage(senses.sense_clusters(vectors, 2, 4, LEAST_CONTEXTS), "senses")
+    many = found.filter(F.col("n") >= LEAST_CONTEXTS).select("term")
+    fixed = vectors.join(many, "term", "left_semi").withColumn("x", senses.fixed_point(F.col("embedding")))
+    drift = signals.group_drift(fixed, "term", "grp", "x")
+    return vectors, found, drift.select("term", rounded(F.col("drift"), 4).alias("drift"))
+
+
+@query("sense_agreement", """
+WITH m AS (SELECT term, grp AS a, cluster AS b FROM sense_labels JOIN sense_best USING (term) JOIN sense_sample USING (term, item) WHERE k = best_k AND grp IS NOT NULL),
+ j AS (SELECT term, a, b, count(*) AS n FROM m GROUP BY ALL), t AS (SELECT term, sum(n) AS nn FROM j GROUP BY term),
+ ha AS (SELECT term, sum(-(n / nn) * ln(n / nn)) AS h, count(*) AS k FROM (SELECT term, a, sum(n) AS n FROM j GROUP BY ALL) JOIN t USING (term) GROUP BY term),
+ hb AS (SELECT term, sum(-(n / nn) * ln(n / nn)) AS h FROM (SELECT term, b, sum(n) AS n FROM j GROUP BY ALL) JOIN t USING (term) GROUP BY term),
+ hab AS (SELECT term, sum(-(n / nn) * ln(n / nn)) AS h FROM j JOIN t USING (term) GROUP BY term)
+SELECT term, nn::BIGINT AS n, round(abs(CASE WHEN ha.k >= 2 AND nn >= 6 AND ha.h + hb.h > 0 THEN (ha.h + hb.h - hab.h) / ((ha.h + hb.h) / 2) ELSE 0.0 END), 6) AS nmi
+FROM t JOIN ha USING (term) JOIN hb USING (term) JOIN hab USING (term)""", ("sense_labels", "sense_best", "sense_sample"))
+def sense_agreement(spark, sf):
+    """Agreement of sense clusters and traditions per term."""
+    vectors, found, _ = _senses(contexts.context_sample(_hits(Mining(spark, sf))))
+    own = found.select("term", F.inline("members")).select("term", F.col("item").cast("int").alias("item"), F.col("cluster").alias("b"))
+    d = vectors.select("term", "item", F.col("grp").alias("a")).join(own, ["term", "item"])
+    return signals.normalized_mutual_information(d, ["term"], "a", "b").select("term", F.col("n").cast("long").alias("n"), F.abs(rounded(F.col("nmi"), 6)).alias("nmi"))
+
+
+@query("kmeans_senses", "SELECT term, n, polysemy, best_k FROM sense_best", ("sense_best",))
+def kmeans_senses(spark, sf):
+    """Sense clusters per term over a capped sample of hashed contexts."""
+    sample = contexts.context_sample(_hits(Mining(spark, sf)))
+    found = senses.sense_clusters(_sense_vectors(sample), 2, 4, LEAST_CONTEXTS)
+    return found.select("term", F.col("n").cast("long").alias("n"), "polysemy", F.col("best_k").cast("long").alias("best_k"))
+
+
 cte("merged", """
 SELECT s.term, s.reason, s.reason = 'seed' OR coalesce(c.seed, FALSE) AS seed, coalesce(o.count, 0) AS count, coalesce(o.seeker, 0) AS seeker_count,
   coalesce(o.church, 0) AS church_count, coalesce(p.count, 0) AS requests, coalesce(p.want, 0) AS want, coalesce(p.avoid, 0) AS avoid,
   coalesce(m.z_english, 0.0) AS z_english, m.top_tradition, coalesce(m.top_tradition_z, 0.0) AS top_tradition_z, st.contestedness, o.negation_rate,
-  round(0.25 * coalesce(st.contestedness, 0) + 0.15 * coalesce(o.negation_rate, 0), 4) AS ambiguity_raw
+  sb.polysemy, sd.drift, floor((0.35 * coalesce(sb.polysemy, 0) + 0.25 * coalesce(sd.drift, 0) + 0.25 * coalesce(st.contestedness, 0) + 0.15 * coalesce(o.negation_rate, 0)) * 10000 + 0.5 + 1e-6) / 10000 AS ambiguity_raw
 FROM shortlist s LEFT JOIN candidates c USING (term) LEFT JOIN occurrences o USING (term) LEFT JOIN markers m USING (term)
-LEFT JOIN phrases p ON p.phrase = s.term LEFT JOIN stance_scores st USING (term)
-""", "shortlist", "candidates", "occurrences", "markers", "phrases", "stance_scores")
+LEFT JOIN phrases p ON p.phrase = s.term LEFT JOIN stance_scores st USING (term) LEFT JOIN sense_best sb USING (term) LEFT JOIN sense_drift sd USING (term)
+""", "shortlist", "candidates", "occurrences", "markers", "phrases", "stance_scores", "sense_best", "sense_drift")
 cte("ranked", """
 SELECT *, row_number() OVER (ORDER BY score DESC, term) AS rank FROM (
  SELECT *, round((d - avg(d) OVER ()) / stddev_pop(d) OVER () + 0.6 * (z_english - avg(z_english) OVER ()) / stddev_pop(z_english) OVER ()
@@ -290,22 +347,14 @@ SELECT *, row_number() OVER (ORDER BY score DESC, term) AS rank FROM (
 """, "merged")
 
 
-def _sense_vectors(sample):
-    church = (F.col("side") == "church") & F.col("tradition").isNotNull()
-    return sample.select("term", F.col("pick_no").alias("item"), F.when(church, F.col("grp")).alias("grp"), signals.hash_embedding(X.tokens(F.col("text"))).alias("embedding"))
-
-
-def ranked(m: Mining, whole: bool = False):
-    """Ranked terms, hits and sample. The SQL has no sense clusters, so these and drift count only if `whole`."""
+def ranked(m: Mining):
+    """Ranked terms, hits and sample."""
     from tessera.session import stage
     hits = stage(_hits(m), "hits")
-    sample = contexts.context_sample(hits)
+    sample = stage(contexts.context_sample(hits), "sample")
     occ = contexts.occurrences(hits, m.shortlist)
-    senses = drift = None
-    if whole:
-        vectors = stage(_sense_vectors(sample), "vectors")
-        senses, drift = stage(signals.sense_clusters(vectors), "senses"), signals.group_drift(vectors, "term", "grp")
-    merged = ranking.merge_signals(m.shortlist, m.candidates, m.markers, occ, m.phrases, senses, drift, _stance(sample))
+    _, found, drift = _senses(sample)
+    merged = ranking.merge_signals(m.shortlist, m.candidates, m.markers, occ, m.phrases, found, drift, _stance(sample))
     return ranking.rank_terms(stage(merged, "merged")), hits, sample
 
 
@@ -318,11 +367,13 @@ def ranked_terms(spark, sf):
                     rounded(F.col("contestedness"), 4).alias("contestedness"), "ambiguity_raw", "score")
 
 
-@query("ranked_terms_whole")
+@query("ranked_terms_whole", """
+SELECT rank, term, reason, seed, count, z_english, polysemy, drift, round(contestedness, 4) AS contestedness, round(negation_rate, 4) AS negation_rate, ambiguity_raw, score FROM ranked""", ("ranked",))
 def ranked_terms_whole(spark, sf):
-    """As ranked_terms, with polysemy and drift in the ambiguity."""
-    r, _, _ = ranked(Mining(spark, sf), whole=True)
-    return r.select("rank", "term", "reason", "seed", "count", "z_english", "polysemy", "drift", "contestedness", "negation_rate", "ambiguity_raw", "score")
+    """The signals of the ambiguity beside the rank."""
+    r, _, _ = ranked(Mining(spark, sf))
+    return r.select("rank", "term", "reason", "seed", "count", "z_english", "polysemy", "drift", rounded(F.col("contestedness"), 4).alias("contestedness"),
+                    rounded(F.col("negation_rate"), 4).alias("negation_rate"), "ambiguity_raw", "score")
 
 
 @query("draft_list", "SELECT term, rank, seed, count FROM ranked WHERE rank <= 150 OR (seed AND count >= 3)", ("ranked",))

@@ -8,7 +8,7 @@ from tessera.functions import rules as R
 from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.functions.columns import rounded, stable_fraction
-from tessera.operators import corpus, jobs, lexicon, metrics, responses, retrieval, review, sermons, signals
+from tessera.operators import corpus, jobs, lexicon, metrics, responses, retrieval, review, senses, sermons, signals
 from tessera.queries.registry import cte, query, table
 
 pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
@@ -141,9 +141,12 @@ def job_states(spark, sf):
 
 
 def job_table(spark, sf):
-    o = table(spark, sf, "orders")
+    return job_table_of(table(spark, sf, "orders"))
+
+
+def job_table_of(orders):
     k = F.col("o_orderkey")
-    return o.select(k.alias("job_id"), (F.col("o_custkey") % 200).alias("session_id"), (k % 37).alias("church_id"), F.when(k % 2 == 0, "medium").otherwise("deep").alias("kind"), (k % 5 != 0).alias("visible"),
+    return orders.select(k.alias("job_id"), (F.col("o_custkey") % 200).alias("session_id"), (k % 37).alias("church_id"), F.when(k % 2 == 0, "medium").otherwise("deep").alias("kind"), (k % 5 != 0).alias("visible"),
                     (k % 3).alias("generation"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "running").otherwise("error").alias("status"),
                     F.col("o_orderdate").cast("timestamp").alias("started_at"), F.col("o_orderdate").cast("timestamp").alias("finished_at"),
                     F.when(k % 4 == 0, F.col("o_orderdate").cast("timestamp") - F.expr("INTERVAL 3 DAYS")).alias("verified_at"), (k % 50).alias("done"), (k % 7 * 10).alias("total"),
@@ -420,21 +423,19 @@ def centroid_cosine(spark, sf):
     return e.join(m, "label").select("vec_id", rounded(signals.cosine(F.col("embedding"), F.col("v")), 6).alias("cosine"))
 
 
-@query("kmeans_purity")
+cte("vector_points", f"SELECT 0 AS term, vec_id AS item, list_transform(embedding, lambda v: floor(v::DOUBLE * {senses.SCALE} + 0.5)) AS x FROM embeddings WHERE embedding IS NOT NULL")
+for _name, _body, _needs in senses.sql_clusters("vector", "vector_points", [10]):
+    cte(_name, _body, *_needs)
+
+
+@query("kmeans_purity", """
+SELECT cluster, sum(n)::BIGINT AS size, arg_min(label, (-n, label)) AS top_category, round(max(n) / sum(n), 6) AS purity, count(*) AS categories FROM (
+ SELECT cluster, label, count(*) AS n FROM vector_labels JOIN embeddings ON vec_id = item GROUP BY ALL) GROUP BY cluster""", ("vector_labels",))
 def kmeans_purity(spark, sf):
-    """Spark ML clusters of all vectors against their labels; labels of clusters are not portable, so rows only."""
-    return signals.cluster_purity(signals.corpus_clusters(table(spark, sf, "embeddings"), k=10), "cluster", "label")
-
-
-@query("kmeans_senses")
-def kmeans_senses(spark, sf):
-    """Sense clusters per term over a capped sample of hashed contexts."""
-    from tessera.queries.derive import Mining
-    from tessera.operators import contexts
-    m = Mining(spark, sf)
-    s = contexts.context_sample(contexts.phrase_hits(m.docs, m.shortlist))
-    emb = s.select("term", F.col("pick_no").alias("item"), signals.hash_embedding(F.split("text", " "), 64).alias("embedding"))
-    return signals.sense_clusters(emb).select("term", "n", "polysemy", "best_k")
+    """Clusters of all vectors against their labels."""
+    e = table(spark, sf, "embeddings")
+    d = senses.corpus_clusters(e, "vec_id").join(e.select("vec_id", "label"), "vec_id")
+    return signals.cluster_purity(d, "cluster", "label").select(F.col("cluster").cast("long").alias("cluster"), F.col("size").cast("long").alias("size"), "top_category", rounded(F.col("purity"), 6).alias("purity"), "categories")
 
 
 @query("purity_by_cluster", """

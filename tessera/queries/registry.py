@@ -6,6 +6,7 @@ lists only its last step.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,10 @@ def with_ctes(body: str, *needs: str) -> str:
         visit(n)
     head = ",\n".join(f"{n} AS (\n{_CTES[n][1].strip()}\n)" for n in order)
     body = body.strip()
+    start = "WITH RECURSIVE" if any(re.search(rf"\b{n}\b", _CTES[n][1]) for n in order) else "WITH"
     if head and body.startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
-    return (f"WITH {head}\n" if head else "") + body
+        return f"{start} {head},\n{body[5:]}"
+    return (f"{start} {head}\n" if head else "") + body
 
 
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
@@ -55,3 +57,9 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, a file or a folder, as a stream of its files. Only a pattern may name a single file."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")

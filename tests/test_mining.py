@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import contexts, corpus, demand, grams, keyness, lexicon, review, shortlist, signals
+from tessera.operators import contexts, corpus, demand, grams, keyness, lexicon, review, senses, shortlist, signals
 from tessera.plans import pipelines
 
 
@@ -95,7 +95,7 @@ def test_planted_senses_are_found(spark):
     centres = np.eye(8)[:3] * 5
     rows = [("poly", i, (centres[i % 3] + rng.normal(0, .1, 8)).tolist()) for i in range(30)] + [("thin", i, rng.normal(0, 1, 8).tolist()) for i in range(5)]
     d = spark.createDataFrame(rows, "term string, item int, embedding array<double>")
-    got = {r["term"]: r for r in signals.sense_clusters(d).collect()}
+    got = {r["term"]: r for r in senses.sense_clusters(d).collect()}
     assert got["poly"]["best_k"] == 3 and got["poly"]["polysemy"] > 0.9 and got["thin"]["polysemy"] is None
     cl = {m["item"]: m["cluster"] for m in got["poly"]["members"]}
     assert all((cl[str(i)] == cl[str(j)]) == (i % 3 == j % 3) for i in range(30) for j in range(30))
