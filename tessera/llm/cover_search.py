@@ -14,8 +14,12 @@ reaches the worst of them. Bounds are raised by a rounding allowance and only a
 lower bound prunes, so ties survive: results equal an exhaustive search. Blocks
 stream: a task holds one data block, its tree and one query block at a time.
 
-Edge cases: null vectors and those with null, non-finite or too large components
-(2^31 after scaling) take no part; only vectors of one length meet; rows with one
+Components are kept in 32 bits, or in 64 where they need it. Scores are exact: by floating-point products while
+all of them fit 53 bits, by 64-bit products while these fit, else by whole numbers of any size, of which those beyond
+64 bits are returned as the largest or smallest long.
+
+Edge cases: null vectors and those with null or non-finite components, or of 2^63 and more after scaling,
+take no part; only vectors of one length meet; rows with one
 id and one vector are one row; rows with the query's id are never its candidates;
 rows without id take no part; ties go to the smaller id; an empty table gives no rows.
 """
@@ -40,7 +44,7 @@ SLOTS = 64
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, dim and q (the floored components as 32-bit integers in a row)."""
+    """vec_id, dim and q (the floored components in a row, as 32-bit integers, or as 64-bit ones where one is too large)."""
     def run(batches):
         for b in batches:
             ids, dims, out = [], [], []
@@ -48,16 +52,45 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
                 if i is None or v is None or None in v:
                     continue
                 x = np.floor(np.array(v, dtype=np.float64) * scale)
-                if np.isfinite(x).all() and (np.abs(x) < 2**31).all():
+                if np.isfinite(x).all() and (np.abs(x) < 2**63).all():
                     ids.append(i)
                     dims.append(len(x))
-                    out.append(x.astype("<i4").tobytes())
+                    out.append(_packed_numbers(x.astype("<i8")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "q"])
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, dim int, q binary")
 
 
+def _packed_numbers(x: np.ndarray) -> bytes:
+    return x.astype("<i8" if (x < -2**31).any() or (x >= 2**31).any() else "<i4").tobytes()
+
+
+def _numbers(body: bytes, n: int, dim: int) -> np.ndarray:
+    """`n` packed vectors as 64-bit integers."""
+    return np.frombuffer(body, "<i8" if len(body) == 8 * n * dim and n * dim else "<i4").reshape(n, dim).astype(np.int64)
+
+
 def _matrix(parts: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), "<i4").reshape(len(parts), dim).astype(np.float64)
+    """Vectors packed one by one as 64-bit integers."""
+    if all(len(x) == 4 * dim for x in parts):
+        return _numbers(b"".join(parts), len(parts), dim)
+    return np.concatenate([_numbers(x, 1, dim) for x in parts])
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer vectors, held within 64 bits."""
+    most = max(1, a.shape[1]) * max((abs(int(v)) for v in (a.min(initial=0), a.max(initial=0)))) * max((abs(int(v)) for v in (b.min(initial=0), b.max(initial=0))))
+    if most < 2**53:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < 2**63:
+        return a @ b.T
+    whole = a.astype(object) @ b.T.astype(object)
+    return np.clip(whole, -2**63, 2**63 - 1).astype(np.int64)
+
+
+def _below(scores: np.ndarray) -> np.ndarray:
+    """Scores as floating-point numbers that are not above them."""
+    f = scores.astype(np.float64)
+    return np.where(np.abs(f) < 2**53, f, np.nextafter(f, -np.inf))
 
 
 # ------------------------------------------------------------ trees
@@ -107,24 +140,23 @@ def bound(a: Node, b: Node) -> float:
 
 
 class Best:
-    """The k best candidates of each query of a block; `known` are k-th scores reached elsewhere."""
+    """The k best candidates of each query of a block; `known` are k-th scores reached elsewhere. x: integers."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, known: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
-        self.floor = known.astype(np.float64).copy()
-        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        self.floor = _below(known)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
 
     def add(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        exact = max(np.abs(self.x).max(initial=0), np.abs(x).max(initial=0)) < 2**20 and x.shape[1] <= 2**12
-        scores = self.x[rows] @ x.T if exact else self.x[rows].astype(np.int64) @ x.T.astype(np.int64)
+        scores = _products(self.x[rows], x)
         hit = (scores >= self.floor[rows][:, None]) & (self.ids[rows][:, None] != ids[None, :])
         for i in np.flatnonzero(hit.any(axis=1)):
             r, m = rows[i], hit[i]
             s, v = np.concatenate([self.found[r][0], scores[i][m]]), np.concatenate([self.found[r][1], ids[m]])
-            o = np.lexsort((v, -s))[:self.k]
+            o = np.lexsort((v, ~s))[:self.k]                # ~s falls as s grows, and overflows nowhere
             self.found[r] = s[o], v[o]
             if len(o) == self.k:
-                self.floor[r] = max(self.floor[r], s[o[-1]])
+                self.floor[r] = max(self.floor[r], float(_below(s[o[-1:]])[0]))
 
 
 def dual_search(queries: Node, data: Node, best: Best, ids: np.ndarray, x: np.ndarray) -> None:
@@ -150,7 +182,7 @@ def _pivots(q: DataFrame, n: int) -> dict[int, np.ndarray]:
     """At most `n` vectors of each length, by a hash of the id; `n` is the bound of what comes to the driver, for lengths in use."""
     w = W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "q")
     rows = q.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).select("dim", "q").collect()
-    return {d: _matrix([bytes(r.q) for r in rows if r.dim == d], d) for d in {r.dim for r in rows}}
+    return {d: _matrix([bytes(r.q) for r in rows if r.dim == d], d).astype(np.float64) for d in {r.dim for r in rows}}
 
 
 def blocks(q: DataFrame, pivots: dict[int, np.ndarray], size: int) -> DataFrame:
@@ -160,7 +192,7 @@ def blocks(q: DataFrame, pivots: dict[int, np.ndarray], size: int) -> DataFrame:
             ids, dims, body = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             near = []
             for d, v in zip(dims, body, strict=True):
-                x = np.frombuffer(v, "<i4").astype(np.float64)
+                x = _numbers(v, 1, d)[0].astype(np.float64)
                 p = pivots[d]
                 near.append(int(((p - x) ** 2).sum(axis=1).argmin()) if d else 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(1), b.column(2), pa.array(near, pa.int32())], names=["vec_id", "dim", "q", "pivot"])
@@ -172,10 +204,11 @@ def blocks(q: DataFrame, pivots: dict[int, np.ndarray], size: int) -> DataFrame:
         for b in batches:
             out = []
             for dim, pivot, salt, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = _matrix([r["q"] for r in rows], dim)
+                q = _matrix([r["q"] for r in rows], dim)
+                x = q.astype(np.float64)
                 c = x.mean(axis=0)
                 r = float(np.sqrt(((x - c) ** 2).sum(axis=1).max()))
-                out.append((dim, pivot, salt, np.array([r["vec_id"] for r in rows], "<i8").tobytes(), x.astype("<i4").tobytes(), len(rows), c.tolist(), r))
+                out.append((dim, pivot, salt, np.array([r["vec_id"] for r in rows], "<i8").tobytes(), _packed_numbers(q), len(rows), c.tolist(), r))
             types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.float64()]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
@@ -196,15 +229,15 @@ def search(data: DataFrame, requests: DataFrame, k: int) -> DataFrame:
             for dim, pivot, salt, kind, i, body, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 0:
                     at, ids = (dim, pivot, salt), np.frombuffer(i, "<i8")
-                    x = np.frombuffer(body, "<i4").reshape(len(ids), dim).astype(np.float64)
-                    tree = cover_tree(x)
+                    x = _numbers(body, len(ids), dim)
+                    tree = cover_tree(x.astype(np.float64))
                 elif at == (dim, pivot, salt):
                     qi = np.frombuffer(i, "<i8")
                     if i not in trees:
                         if len(trees) > 64:
                             trees.clear()
-                        qx = np.frombuffer(body, "<i4").reshape(len(qi), dim).astype(np.float64)
-                        trees[i] = qx, cover_tree(qx, leaf=LEAF // 4)
+                        qx = _numbers(body, len(qi), dim)
+                        trees[i] = qx, cover_tree(qx.astype(np.float64), leaf=LEAF // 4)
                     qx, queries = trees[i]
                     best = Best(qi, qx, np.frombuffer(known, "<f8"), k)
                     dual_search(queries, tree, best, ids, x)

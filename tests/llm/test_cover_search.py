@@ -54,3 +54,14 @@ def test_odd_rows(spark):
     got = {tuple(r) for r in C.top_k(df, F.col("vec_id") % 50 == 0).collect()}
     assert got == plain([r[:2] for r in rows if r[0] != 4], 50)
     assert C.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_large_components_keep_their_place(spark):
+    """Beyond 32 bits, beyond 53 bits of a score, and ties that floating-point scores would not tell apart."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 1.0, 0.0]), (1, [1e8, 1.0, 0.0]), (2, [1e8, 1.0 + 1 / 256, 0.0]), (3, [-1e8, 5.0, 1.0]), (50, [3e5, 7.0, 2e5])]
+    rows += [(i, [float(2**26), float(i % 3) / 256, 1.0]) for i in range(60, 75)] + [(100, [float(2**14) + 1 / 256, 1.0, 0.0])]
+    rows += [(200 + i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 5)).tolist()) for i in range(101)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in C.top_k(df, F.col("vec_id") % 50 == 0).collect()} == plain(rows, 50)
+    assert C._products(np.array([[2**62, 2**62]]), np.array([[4, 4], [-4, -4]])).tolist() == [[2**63 - 1, -2**63]]
