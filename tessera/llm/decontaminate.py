@@ -20,8 +20,11 @@ that a whole unit always lies within one) is a query:
 The index is broadcast. Items are dealt to parts of a bounded size, each
 searched in turn; with word statistics of all items, so parts change no score.
 
-Edge cases: null and empty texts hold nothing; items of fewer than five words are no evidence
-and are skipped; repeated items count once, of texts under one item_id the best
+A word is a run of letters and digits of any script; runs of scripts written without spaces give pairs of
+neighbouring characters. Items of fewer than `LEAST_WORDS` words have no score: a document holds them if it has
+their words in a row.
+
+Edge cases: null and empty texts hold nothing, and items without words are held by nothing; repeated items count once, of texts under one item_id the best
 counts; a null item_id or doc_id is reported as it is; repeated documents are
 each searched; an empty table on either side gives no pairs; other columns are left alone.
 """
@@ -52,11 +55,27 @@ PART_BYTES = 16 << 20
 GROUP_WORDS = 1 << 18
 
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
-_END = re.compile(r"[.!?]+\s|\n")
+# bytes of ASCII and of Latin letters beyond it: a text of these only is split by ASCII separators
+_LATIN = bytes([*range(0xC0), *range(0xC3, 0xC9)])
+_UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_RUNS = re.compile(f"([{_UNSPACED}]+)|[^\\W_{_UNSPACED}]+")
+_END = re.compile(r"[.!?]+\s|[\u3002\uff01\uff1f]+|\n")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split() if text else []
+    if not text:
+        return []
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    if not raw.translate(None, _LATIN) and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw:
+        return raw.translate(_PLAIN).split()
+    out = []
+    for m in _RUNS.finditer(text.lower()):
+        run = m[0]
+        if m[1] is None or len(run) == 1:
+            out.append(run.encode("utf-8", "surrogatepass"))
+        else:
+            out += [run[i:i + 2].encode("utf-8", "surrogatepass") for i in range(len(run) - 1)]
+    return out
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -84,6 +103,11 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], df: dict[bytes, int], n: int, mean: float):
         self.items = [(i, *question_and_answer(t)) for i, t in items]
         self.unit_item: list[int] = []
+        self.short: dict[bytes, list[tuple[list[bytes], int | None]]] = {}         # first word -> items without a score
+        for i, text in items:
+            words = words_of(text)
+            if 0 < len(words) < LEAST_WORDS:
+                self.short.setdefault(words[0], []).append((words, i))
         weights: list[dict[bytes, float]] = []
         for at, (_, text) in enumerate(items):
             for unit in units_of(text):
@@ -174,8 +198,14 @@ class Index:
         return out + self._search(group)
 
     def _search(self, texts: list[list[bytes]]) -> list[list[tuple[int | None, float, float, float]]]:
-        if not self.word:
-            return [[] for _ in texts]
+        out = self._scored(texts) if self.word else [[] for _ in texts]
+        for words, found in zip(texts, out, strict=True):
+            if self.short and not self.short.keys().isdisjoint(words):
+                held = {item for i, w in enumerate(words) for run, item in self.short.get(w, ()) if words[i:i + len(run)] == run}
+                found += [(item, 1.0, 1.0, 1.0) for item in held - {x[0] for x in found}]
+        return out
+
+    def _scored(self, texts: list[list[bytes]]) -> list[list[tuple[int | None, float, float, float]]]:
         none, lens = len(self.word), np.array([len(w) for w in texts], np.int64)
         ids = np.fromiter(map(self.word.get, chain.from_iterable(texts), repeat(none)), np.int64, int(lens.sum()))
         runs = np.maximum(-(-lens // UNIT), 1)                         # a passage is a run of UNIT words and the next one of its document
@@ -258,9 +288,8 @@ def indexes(items: DataFrame):
     items = stage(items.select("item_id", F.col("text").cast("string")).filter("text IS NOT NULL").distinct(), "leak-items")
     stats = stage(items.select("text").mapInArrow(statistics, "word binary, units long, words long").groupBy("word").agg(F.sum("units").alias("units"), F.sum("words").alias("words")), "leak-words")
     total = stats.filter(F.length("word") == 0).first()
-    if total is None:
-        return
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    units, words = (total.units, total.words) if total is not None else (0, 0)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-int(size) // PART_BYTES)
     dealt = items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     for p in range(parts):
@@ -268,7 +297,7 @@ def indexes(items: DataFrame):
         own = {w for _, t in part for u in units_of(t) for w in u}
         known = stats if parts == 1 else stats.join(F.broadcast(items.sparkSession.createDataFrame([(bytearray(w),) for w in own], "word binary")), "word")
         df = {bytes(r.word): r.units for r in known.collect() if r.word}
-        yield Index(part, df, total.units, total.words / total.units)
+        yield Index(part, df, units, words / max(units, 1))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def test_wand_equals_exhaustive_scores():
 def plain_leaks(docs, items):
     """Documents that hold an item word for word."""
     norm = lambda t: b" " + b" ".join(D.words_of(t)) + b" "
-    return {(i, j) for i, t in docs for j, q in items if len(D.words_of(q)) >= 5 and norm(q) in norm(t)}
+    return {(i, j) for i, t in docs for j, q in items if D.words_of(q) and norm(q) in norm(t)}
 
 
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
@@ -75,6 +75,25 @@ def test_parts_change_nothing(spark, sf, monkeypatch):
     assert rows() == one
 
 
+@pytest.mark.parametrize("item, text", [
+    ("中国最长的河流是哪一条河它流经哪些省份最后流入哪一片海洋呢?答案是长江它流入东海。", "前面有一些别的话。中国最长的河流是哪一条河它流经哪些省份最后流入哪一片海洋呢?答案是长江它流入东海。后面还有一些别的话。"),
+    ("ประเทศไทยมีเมืองหลวงชื่ออะไรและอยู่ริมแม่น้ำสายใด\nกรุงเทพมหานครอยู่ริมแม่น้ำเจ้าพระยา", "เริ่ม ประเทศไทยมีเมืองหลวงชื่ออะไรและอยู่ริมแม่น้ำสายใด\nกรุงเทพมหานครอยู่ริมแม่น้ำเจ้าพระยา จบ"),
+    ("Who wrote the long book about the white whale? Herman Melville wrote it.", "“Who wrote the long book about the ‘white whale’? Herman\u00a0Melville wrote it.”"),
+    ("naïve café crème brûlée façade. élan vital déjà vu", "x «naïve café crème brûlée façade». élan\u2014vital déjà vu y"),
+])
+def test_scripts_and_separators(item, text):
+    index = index_of([(7, item)])
+    assert [x[0] for x in index.search([text])[0]] == [7]
+    assert index.search([text[:len(text) // 3], "other text " * 50]) == [[], []]
+
+
+def test_short_items_by_their_run(spark):
+    items = spark.createDataFrame([(1, "Alpha beta"), (2, "One"), (3, "?!"), (4, "北京"), (5, "alpha beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha, BETA y"), (2, "alpha x beta one"), (3, "?! alone"), (4, "他在北京住"), (5, "alpha beta gamma delta")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()} == {(1, 1), (2, 2), (4, 4), (5, 1), (5, 5)}
+    assert [r.doc_id for r in D.clean_documents(docs, items).collect()] == [3]
+
+
 def test_odd_rows(spark):
     item = "alpha beta gamma delta epsilon zeta. eta theta iota"
     docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (2, "x " * 9000 + item.upper(), 1), (2, "x " * 9000 + item.upper(), 1), (3, "alpha beta", 1)], "doc_id long, text string, item_id int")
