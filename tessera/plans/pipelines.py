@@ -95,7 +95,9 @@ def match_sessions(log: DataFrame, vocabulary: DataFrame, candidates: DataFrame,
 
 
 def resolve_places(places: DataFrame, aliases: DataFrame, groups: DataFrame) -> DataFrame:
-    """Affiliation of every place from its name and map tag."""
+    """Affiliation of every place from its name and map tag, without places that the screens of candidates leave out."""
     by_name = stage(names.find_groups(places.select("name"), aliases, groups), "found")
     tags = places.filter("tag is not null").select(F.col("tag").alias("name"))
-    return names.resolve(places, by_name, names.find_groups(tags, aliases, groups))
+    found = names.resolve(places, by_name, names.find_groups(tags, aliases, groups))
+    kept = names.without_non_members(found.join(places.select("church_id", "name"), "church_id"))
+    return kept.select(*found.columns)

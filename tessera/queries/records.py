@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import fixed_values as V
 from tessera.functions import rules as R
 from tessera.functions import text as X
 from tessera.functions import urls as U
@@ -638,3 +639,37 @@ def topic_counts(spark, sf):
     quote = F.when(F.col("l_linenumber") % 2 == 0, "a union of one man and one woman").otherwise("all members may serve")
     r = R.topic_scope_reason(F.lit("lgbtq.inclusion"), F.lit("full"), quote)
     return table(spark, sf, "lineitem").groupBy(F.coalesce(r, F.lit("fine")).alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- screens and message rules
+PLACE_ENDS = ["Baptist Church", "Kingdom Hall", "Church of Jesus Christ of Latter-day Saints", "Chapel", "Unitarian Fellowship", "Community Church", "LDS Ward", "Unity Church"]
+PLACE_GROUPS = ["lds", "sbc", "jw", "umc", "pcusa", "elca"]
+cte("places", f"""SELECT c_custkey AS church_id, c_name || ' ' || {PLACE_ENDS}[c_custkey % 8 + 1] AS name, CASE WHEN c_custkey % 11 < 6 THEN {PLACE_GROUPS}[c_custkey % 11 + 1] END AS group_id FROM customer""")
+
+
+@query("screened_places", f"""SELECT church_id, name, group_id FROM places WHERE NOT regexp_matches(name, '{V.NON_MEMBER_NAME}') AND NOT coalesce(group_id IN {tuple(V.NON_MEMBER_IDS)}, FALSE)""", ("places",))
+def screened_places(spark, sf):
+    """Candidates that neither their name nor their group screens out."""
+    from tessera.operators import names
+    k = F.col("c_custkey")
+    p = table(spark, sf, "customer").select(k.alias("church_id"), F.concat_ws(" ", "c_name", pick(PLACE_ENDS, k % 8)).alias("name"), F.when(k % 11 < 6, pick(PLACE_GROUPS, k % 11)).alias("group_id"))
+    return names.without_non_members(p).select("church_id", "name", "group_id")
+
+
+MESSAGES = ["it must be protestant", "only protestant for us", "protestant if possible", "we like hymns", "strictly Protestant please"]
+cte("branch_ops", f"""SELECT event_id // 3 AS t, event_id, CASE WHEN event_id % 3 < 2 THEN 'identity.branch' ELSE 'worship.style' END AS key, event_type AS val, CASE WHEN event_id % 2 = 0 THEN 'want' ELSE 'avoid' END AS stance,
+ {MESSAGES}[(event_id // 3) % 5 + 1] AS text FROM events""")
+
+
+@query("branch_rule", f"""
+WITH s AS (SELECT *, regexp_matches(text, '{V.EXCLUSIVE_BRANCH}') AS strict FROM branch_ops)
+SELECT t, 'assert' AS op, key, val AS vals, stance, 0.5::DOUBLE AS strength FROM s WHERE NOT (strict AND key = 'identity.branch')
+UNION ALL SELECT t, 'revise', 'identity.branch', v, st, 0.9::DOUBLE FROM (SELECT DISTINCT t FROM s WHERE strict), (VALUES ('{','.join(V.PROTESTANT_BRANCHES)}', 'want'), ('{','.join(V.OTHER_BRANCHES)}', 'avoid')) b(v, st)""", ("branch_ops",))
+def branch_rule(spark, sf):
+    """Messages that insist on one branch become one wanted and one avoided list."""
+    from tessera.operators import profiles
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    t = F.floor(i / 3)
+    ops = e.select(t.alias("t"), F.lit("assert").alias("op"), F.when(i % 3 < 2, "identity.branch").otherwise("worship.style").alias("key"), F.array("event_type").alias("vals"),
+                   F.when(i % 2 == 0, "want").otherwise("avoid").alias("stance"), F.lit(0.5).alias("strength"), F.lit("stated").alias("src"), F.lit("said").alias("ev"), pick(MESSAGES, t % 5).alias("text"))
+    return profiles.exclusive_branch_ops(ops).select("t", "op", "key", F.array_join("vals", ",").alias("vals"), "stance", "strength")
