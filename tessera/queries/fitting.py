@@ -243,11 +243,10 @@ def group_ranking(spark, sf):
 
 
 @query("group_comparison", """
-SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, coalesce(x.feature, y.feature) AS feature, value_a, value_b,
-  CASE WHEN value_a = value_b THEN 'yes' WHEN value_a <> value_b THEN 'no' ELSE 'unknown' END AS same
-FROM (SELECT group_id AS a, group_id + 1 AS b, feature, value AS value_a FROM group_priors WHERE group_id + 1 IN (SELECT s_suppkey FROM supplier)) x
-FULL JOIN (SELECT group_id - 1 AS a, group_id AS b, feature, value AS value_b FROM group_priors WHERE group_id - 1 IN (SELECT s_suppkey FROM supplier)) y
-ON x.a = y.a AND x.feature = y.feature""", ("group_priors",))
+SELECT a, b, feature, value_a, value_b, CASE WHEN value_a = value_b THEN 'yes' WHEN value_a <> value_b THEN 'no' ELSE 'unknown' END AS same FROM (
+ SELECT a, a + 1 AS b, feature, max(value) FILTER (first) AS value_a, max(value) FILTER (NOT first) AS value_b FROM (
+  SELECT group_id AS a, feature, value, TRUE AS first FROM group_priors UNION ALL SELECT group_id - 1, feature, value, FALSE FROM group_priors) JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = a + 1
+ GROUP BY a, feature)""", ("group_priors",))
 def group_comparison(spark, sf):
     pri = E.best_evidence(T.evidence(spark, sf)).filter("value <> 'unknown'").select(F.col("church_id").alias("group_id"), "feature", "value")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"))
