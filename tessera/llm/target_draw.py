@@ -198,7 +198,7 @@ words AS (SELECT kind, nr, doc_id, regexp_extract_all(translate(coalesce(text, '
 each AS (SELECT kind, nr, unnest(w) AS word FROM words),
 spelt AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM each)),
 bucketed AS (SELECT word, (xor(list_reduce(list_transform(range(0, len(h)::BIGINT, 2), lambda i: ('0x' || substr(h, i + 1, 2))::UBIGINT),
-      lambda c, x: xor(c >> 8, (SELECT t FROM crc)[(xor(c, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket FROM spelt),
+      lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket FROM spelt, crc),
 counts AS (SELECT kind, bucket, count(*) AS n FROM each JOIN bucketed USING (word) GROUP BY ALL),
 both_counts AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t FROM counts GROUP BY bucket),
 gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM both_counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM both_counts) + 10000))))::BIGINT AS g FROM both_counts),
