@@ -1,9 +1,11 @@
 import re
 
+import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.functions import rules as R
@@ -27,6 +29,15 @@ def test_contact_scrub_keeps_the_known_contact(spark):
     assert "555-123-4567" in one(spark, X.scrub_contacts(F.lit(t), F.lit("(555) 123-4567")))
 
 
+def test_contact_scrub_query_agrees_with_its_sql_on_numbers_side_by_side(spark, tmp_path):
+    texts = ["ab5551234567e5559876543cf", "555-123-4567 555-765-4321 555-111-2222", "555-123-4567\n", "x (555)123-4567", "55512345678", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["contact_scrub"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(oracle_sql()["contact_scrub"]).fetchall())
+
+
 def test_tokens_keep_hyphens_and_apostrophes(spark):
     assert one(spark, X.tokens(F.lit("Spirit-filled, don’t STOP — now"))) == ["spirit-filled", "don't", "stop", "now"]
 
