@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import contexts, corpus, demand, grams, keyness, lexicon, review, senses, shortlist, signals
 from tessera.plans import pipelines
+from tessera.session import stage
 
 
 def test_log_odds_direction(spark):
@@ -37,6 +38,46 @@ def test_counts_are_the_same_however_the_data_is_split(spark):
             assert one[g][1] == sum(hits) and one[g][4] == sum(h > 0 for h in hits)
 
 
+def test_grams_move_once(spark):
+    docs = make_docs(spark, [("church", t, s, f"the altar call and number{i} of {s}") for i, (t, s) in enumerate([("x", "a"), ("y", "a"), (None, "b")] * 4)])
+    docs = stage(docs, "docs")
+    g = grams.source_grams(docs)
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(gram") == 1
+    assert grams.gram_counts(g)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(gram") == 1
+    t = grams.tradition_counts(g, grams.source_traditions(docs))
+    assert t._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(gram") == 1
+    few = spark.createDataFrame([("altar call",), ("number1",)], "term string")
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(grams.tradition_counts(grams.source_grams(docs, only=few), grams.source_traditions(docs))) == key(t.filter(F.col("gram").isin("altar call", "number1")))
+
+
+def test_candidates_of_possible_terms_are_those_of_all_counts(spark):
+    docs = stage(make_docs(spark, [("church", "x", "ab"[i % 2], f"altar call number{i} altar call once only{i}") for i in range(6)]), "docs")
+    seeds = spark.createDataFrame([("number1 altar",), ("Missing Term",)], "term string")
+    counts = stage(grams.gram_counts(grams.source_grams(docs)), "counts")
+    some = stage(grams.possible_terms(counts, seeds), "counts")
+    key = lambda c: sorted(map(str, grams.candidates(docs, seeds, counts=c).collect()))
+    assert some.count() < counts.count() and key(some) == key(counts)
+
+
+def test_a_place_costs_the_same_however_many_terms_share_its_opening(spark):
+    docs = stage(make_docs(spark, [("church", "x", "a", f"the word number{i} the word") for i in range(5)]), "docs")
+    terms = stage(spark.createDataFrame([(f"the word number{i}",) for i in range(300)] + [("the word",)], "term string"), "terms")
+    h = contexts.phrase_hits(docs, terms)
+    h.collect()
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "[tok" in plan and "[run" in plan            # the run is looked up by equality, not tried term by term
+    assert h.count() == 15 and h.filter("term = 'the word'").count() == 10
+
+
+def test_sampled_hits_get_the_snippets_of_all_hits(spark):
+    docs = stage(make_docs(spark, [("church", t, "a", f"they sang hymns word{i} and more {t}") for i in range(30) for t in ("x", "y")]), "docs")
+    h = contexts.phrase_hits(docs, spark.createDataFrame([("hymns",)], "term string"))
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(contexts.context_sample(h.drop("text", "around"), 10, 12, docs=docs)) == key(contexts.context_sample(h, 10, 12))
+
+
 def test_npmi_and_absent_seed(spark):
     docs = make_docs(spark, [("church", "x", "a", f"altar call number{i} altar call") for i in range(6)])
     seeds = spark.createDataFrame([("altar call",), ("Missing Term",)], "term string")
