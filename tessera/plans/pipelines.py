@@ -23,12 +23,11 @@ def mine_terms(posts: DataFrame, seeds: DataFrame, reference: DataFrame, generic
     """
     c = {**MINING, **(config or {})}
     docs = stage(corpus.clean_posts(posts, c["holdout"], order=order), "docs")
-    by_source = stage(grams.source_grams(docs, c["max_n"]), "by_source")
-    counts = stage(grams.gram_counts(by_source), "counts")
+    counts = stage(grams.possible_terms(grams.gram_counts(grams.source_grams(docs, c["max_n"])), seeds, c["min_count"]), "counts")
     cands = stage(grams.candidates(docs, seeds, c["max_n"], c["min_count"], c["min_npmi"], c["min_sources"], counts), "candidates")
     tot = stage(grams.totals(docs), "totals")
     ref = stage(keyness.reference_z(cands, reference, tot, c["n_ref"], c["a0"]), "reference_z")
-    by_trad = grams.tradition_counts(by_source, grams.source_traditions(docs, order[0]), cands)
+    by_trad = grams.tradition_counts(grams.source_grams(docs, c["max_n"], only=cands), grams.source_traditions(docs, order[0]))
     tz = keyness.tradition_z(cands, by_trad, tot, c["min_docs"], c["a0"])
     marks = stage(keyness.markers(cands, ref, tz, generic, c["max_ref_freq"], c["min_sources"], c["max_source_share"]), "markers")
     requests = demand.mine_requests(docs.filter(~F.col("holdout")), patterns)
@@ -36,10 +35,11 @@ def mine_terms(posts: DataFrame, seeds: DataFrame, reference: DataFrame, generic
     sub = stage(shortlist.subsumed_terms(cands, c["subsume_ratio"]), "subsumed")
     judged = shortlist.exclusions(cands, generic, ref, sub, c["max_ref_freq"], c["max_source_share"])
     short = stage(shortlist.shortlist(judged, phrases, generic, reference, sub, c["shortlist"], c["max_ref_freq"]), "shortlist")
-    hits = stage(contexts.phrase_hits(docs, short, c["snippet"], c["window"]), "hits")
+    places = contexts.phrase_hits(docs, short, c["snippet"], c["window"])
+    hits = stage(places.drop("text", "around"), "hits")
     occ = stage(contexts.occurrences(hits, short), "occurrences")
-    sample = stage(contexts.context_sample(hits, c["per_term"], c["per_term"]), "contexts")
-    ground = stage(contexts.grounding(occ, contexts.cooccurrence(hits, observables), contexts.observable_totals(docs, observables), docs, c["window"]), "grounding")
+    sample = stage(contexts.context_sample(hits, c["per_term"], c["per_term"], docs=docs, snippet=c["snippet"]), "contexts")
+    ground = stage(contexts.grounding(occ, contexts.cooccurrence(places, observables), contexts.observable_totals(docs, observables), docs, c["window"]), "grounding")
     labels = sample.select("term", "grp", responses.stand_in_stance(F.col("text"), F.col("negated")).alias("stance"))
     st = stage(signals.stance(labels), "stance")
     vectors = stage(sample.select("term", F.col("pick_no").alias("item"), F.when((F.col("side") == "church") & F.col("tradition").isNotNull(), F.col("grp")).alias("grp"),
