@@ -201,3 +201,14 @@ def test_insisting_on_one_branch_replaces_branch_rows(spark):
     d = spark.createDataFrame(rows, "t string, key string, vals array<string>, op string, stance string, strength double, src string, ev string, text string")
     got = sorted((r["t"], r["key"], r["stance"], len(r["vals"]), r["strength"]) for r in profiles.exclusive_branch_ops(d).collect())
     assert got == [("m1", "identity.branch", "avoid", 3, 0.9), ("m1", "identity.branch", "want", 6, 0.9), ("m1", "worship.style", "want", 1, 0.5), ("m2", "identity.branch", "want", 1, 0.5)]
+
+
+def test_only_pairs_that_can_be_listed_are_scored_and_once(spark):
+    rows = [(1, 1, False, "strong", 90.0, 50.0, False), (1, 2, True, "poor", 10.0, 60.0, True), (1, 3, None, "strong", 80.0, 5.0, False), (1, 4, False, "strong", 85.0, 5.0, True)]
+    d = spark.createDataFrame(rows, "session_id long, church_id long, pinned boolean, fit string, score double, distance_miles double, excluded boolean")
+    assert sorted(r.church_id for r in matching.listed_pairs(d, 15.0).collect()) == [2, 3, 4]
+    t = matching.ranked_table(d, 15.0)
+    assert sorted((r.church_id, r.row_no, r.total) for r in t.collect()) == [(2, 1, 2), (3, 2, 2)]
+    key = lambda x: sorted(map(str, x.collect()))
+    assert key(t) == key(matching.ranked_table(matching.listed_pairs(d, 15.0), 15.0))
+    assert all("table_rows" in f for f in t.inputFiles())          # pages and totals read rows that are kept
