@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.operators import jobs, profiles
@@ -84,3 +85,21 @@ def test_rows_of_an_old_generation_never_appear(spark, tmp_path):
     assert ("s", 2) not in written and seen == {("s", 3), ("t", 1), ("t", 4)}
     since = spark.createDataFrame([("s", 0), ("t", 1)], "session_id string, since int")
     assert {(r.session_id, r.n) for r in folds.poll(spark.read.parquet(out), spark.read.parquet(state), since).collect()} == {("s", 3), ("t", 4)}
+
+
+def test_many_keys_cost_a_few_calls_to_the_state():
+    """One read, one write and one timer for all rows of a bucket, however many keys they have."""
+    calls, store = [], []
+
+    class Handle:
+        def getListState(self, *_): return self
+        def get(self): calls.append("get"); return iter(list(store))
+        def put(self, rows): calls.append("put"); store[:] = rows
+        def listTimers(self): calls.append("list"); return iter([])
+        def registerTimer(self, t): calls.append("register")
+        def getCurrentWatermarkInMs(self): return 0
+
+    p, at = folds._Retention({"medium": 90}, 365), dt.datetime(2020, 1, 1)
+    p.init(Handle())
+    out = list(p.handleInputRows((0,), iter([Row(row_key=f"k{i}", scope="deep", at=at) for i in range(100)]), Handle()))
+    assert len(out) == 100 and calls == ["get", "put", "list", "register"]
