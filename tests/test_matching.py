@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime
 
@@ -212,3 +213,12 @@ def test_only_pairs_that_can_be_listed_are_scored_and_once(spark):
     key = lambda x: sorted(map(str, x.collect()))
     assert key(t) == key(matching.ranked_table(matching.listed_pairs(d, 15.0), 15.0))
     assert all("table_rows" in f for f in t.inputFiles())          # pages and totals read rows that are kept
+
+
+def test_radius_pairs_of_a_small_file_are_made_by_all_cores(spark, tmp_path):
+    rows = [(i, 40.0 + i / 100, -90.0, 20.0) for i in range(200)]
+    spark.createDataFrame(rows, "c long, c_lat double, c_lng double, radius_mi double").coalesce(1).write.parquet(str(tmp_path / "c"))
+    points = spark.createDataFrame([(i, 40.0 + i / 100, -90.0) for i in range(200)], "p long, lat double, lng double")
+    d = matching.within_radius(points, spark.read.parquet(str(tmp_path / "c")), 20.0)
+    assert d.count() == sum(abs(i - j) / 100 * 3958.8 * math.pi / 180 <= 20.0 for i in range(200) for j in range(200))
+    assert d.select(F.spark_partition_id().alias("n")).distinct().count() > 1
