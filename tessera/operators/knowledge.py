@@ -22,10 +22,14 @@ def long_cells(layer: DataFrame, fields: DataFrame, layer_name: str, id_col: str
 
 
 def wide_output(cells: DataFrame, proposals: DataFrame, field_ids: list[str]) -> DataFrame:
-    """Wide table with applied fills and not-applicable marks; conflicts leave the value alone. `field_ids` are the columns."""
+    """Wide table with applied fills and not-applicable marks; conflicts leave the value alone. `field_ids` are the columns.
+
+    Of proposals with one time and one text the first by `seq` counts, or where there is no `seq`, a fill.
+    """
+    tie = [F.col("seq")] if "seq" in proposals.columns else []
     last = first_per_group(proposals.filter(F.col("action").isin("fill", "not_applicable")).select(
-        "group_id", "field_id", "action", "new_value", "checked_at"), ["group_id", "field_id"],
-        [-F.unix_micros(F.col("checked_at")), F.col("new_value")])
+        "group_id", "field_id", "action", "new_value", "checked_at", *tie), ["group_id", "field_id"],
+        [-F.unix_micros(F.col("checked_at")), F.col("new_value"), *tie, F.col("action")])
     d = cells.join(last, ["group_id", "field_id"], "left").withColumn("value", in_turn(
         [(F.col("action") == "fill", F.col("new_value")), (F.col("action") == "not_applicable", "Not applicable")], F.col("value")))
     return d.groupBy("group_id").pivot("field_id", field_ids).agg(F.first("value"))

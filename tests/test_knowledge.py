@@ -20,6 +20,18 @@ def test_fills_conflicts_and_marks(spark):
     assert m == {"a": ("new", "model_extracted_needs_review"), "b": ("old", "conflict_needs_review"), "c": ("Not applicable", "not_applicable")}
 
 
+def test_wide_output_of_ties(spark):
+    """A fill and a mark of one time and one text: the first by seq counts, in whatever order the rows come."""
+    cells = spark.createDataFrame([("g", "a", "old"), ("g", "b", "old")], "group_id string, field_id string, value string")
+    rows = [("g", "a", "fill", "new", T, 1), ("g", "a", "not_applicable", "new", T, 2), ("g", "b", "fill", "new", T, 4), ("g", "b", "not_applicable", "new", T, 3)]
+    for order in (rows, rows[::-1]):
+        p = spark.createDataFrame(order, "group_id string, field_id string, action string, new_value string, checked_at timestamp, seq int").coalesce(1)
+        w = K.wide_output(cells, p, ["a", "b"]).first()
+        assert (w["a"], w["b"]) == ("new", "Not applicable")
+        w = K.wide_output(cells, p.drop("seq"), ["a", "b"]).first()
+        assert (w["a"], w["b"]) == ("new", "new")
+
+
 def test_apply_rule(spark):
     rows = [("accept", "x.y", "fill", "official", "unsupported", True), ("reject", "x.y", "fill", "official", "supported", False), ("", "practice_culture.abortion", "fill", "official", "supported", False),
             ("", "x.y", "not_applicable", "classification", None, True), ("", "x.y", "fill", "wikidata", None, True), ("", "x.y", "fill", "official", None, True), ("", "x.y", "fill", "official", "partial", False)]
