@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as V
 from tessera.functions import rules as R
 from tessera.functions import text as X
-from tessera.functions.columns import computed_once, lookup
+from tessera.functions.columns import computed_once, lookup, no_strings
 from tessera.operators.ordering import ordered_rank, top_per_group
 from tessera.session import stage
 
@@ -83,37 +86,76 @@ def in_batches(rows: DataFrame, keys, order, size: int, block: Column) -> DataFr
             .withColumn("pos", ((F.col("_rn") - 1) % size).cast("long")).drop("_rn"))
 
 
+PASSAGES, QUESTIONS = 4_096, 16_384      # of an entity that meet in one cell, as expected
+
+
+def _first_passages(max_chars: int):
+    """Passages of a cell that its questions can pick: of each question those with less than `max_chars` before them in the cell."""
+    def run(passages: pa.Table, questions: pa.Table) -> pa.Table:
+        names = ["church_id", "question_id", "_id", "relevance"]
+        p = passages.take(pc.sort_indices(passages, [("offset", "ascending"), ("url", "ascending"), ("_id", "ascending")]))
+        n, ids, lens = p.num_rows, p["_id"].to_numpy(), p["_len"].to_numpy().astype(np.int64)
+        terms = p["_terms"].combine_chunks()
+        codes = pc.list_flatten(terms).dictionary_encode()
+        own, at = pc.list_parent_indices(terms).to_numpy(), codes.indices.to_numpy()
+        own = own[np.argsort(at, kind="stable")]                                 # passages by word
+        ends = np.cumsum(np.bincount(at, minlength=len(codes.dictionary)))
+        asked = questions["_q"].combine_chunks()
+        word = pc.index_in(pc.list_flatten(asked), value_set=codes.dictionary).fill_null(-1).to_numpy()
+        last = np.cumsum(pc.list_value_length(asked).to_numpy())
+        picked, scores, counts, first = [], [], [], 0
+        for end in last.tolist():
+            held = [own[ends[c - 1] if c else 0:ends[c]] for c in word[first:end].tolist() if c >= 0]
+            first, used, taken = end, 0, 0
+            score = np.bincount(np.concatenate(held), minlength=n) if held else np.zeros(n, np.int64)
+            for level in range(int(score.max(initial=0)), -1, -1):
+                i = np.flatnonzero(score == level)
+                before = used + np.cumsum(lens[i]) - lens[i]
+                i = i[before < max_chars]
+                picked.append(ids[i])
+                scores.append(np.full(len(i), level, np.int32))
+                used, taken = used + int(lens[i].sum()), taken + len(i)
+                if used >= max_chars:
+                    break
+            counts.append(taken)
+        asks = np.repeat(np.arange(questions.num_rows), counts)
+        joined = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+        return pa.table([*[questions[k].take(pa.array(asks)) for k in names[:2]], pa.array(joined(picked, np.int64)), pa.array(joined(scores, np.int32))], names=names)
+    return run
+
+
 def question_passages(docs: DataFrame, questions: DataFrame, max_chars: int = 18000, step: int = 2200, width: int = 2800) -> DataFrame:
     """Passages for each question about an entity: most shared words first, up to a total of `max_chars`, the last one cut to fit.
 
-    `docs`: (church_id, url, title, kind, text); `questions`: (church_id, question_id, question). Passages that share a
-    word are met through an inverted index of (entity, word). Those that share none only follow where the others leave
-    room; they come from one list per entity, which need not be longer than the room allows. Texts are fetched for the chosen ones only.
+    `docs`: (church_id, url, title, kind, text); `questions`: (church_id, question_id, question). Every question meets every
+    passage of its entity, in cells of some thousands of each: a cell counts shared words through an inverted index of
+    its own and gives on only what can still be picked, so pairs are never written. Texts are fetched for the chosen ones only.
     """
-    d = docs.select("church_id", "url", X.question_terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("kind", F.lit("")))).alias("_head"),
-                    F.inline(X.char_windows(F.col("text"), step, width)))
-    d = stage(d.withColumn("_body", X.question_terms(F.col("text"))), "passages")
-    q = stage(computed_once(questions, _q=X.question_terms(F.col("question"))).select("church_id", "question_id", "_q"), "questions")
-    keys, passage, least = ["church_id", "question_id"], ["church_id", "url", "offset"], 32
-    slim = d.select(*passage, F.length("text").alias("_len"), "_body", "_head")
-    words = slim.select(*passage, "_len", F.explode("_body").alias("term")).unionByName(slim.select(*passage, "_len", F.explode("_head").alias("term")))
-    met = words.join(q.select(*keys, F.explode("_q").alias("term")), ["church_id", "term"])
-    met = stage(met.groupBy(*keys, "url", "offset").agg(F.count(F.lit(1)).cast("int").alias("relevance"), F.max("_len").alias("_len")), "relevance")
-    order = [F.desc("relevance"), F.col("offset"), F.col("url")]
-
-    def first(rows, by, along):
-        # of passages with `least` characters or more only the first max_chars/least can fit, of shorter ones max_chars: limited map-side, exactly
-        big = top_per_group(rows.filter(F.col("_len") >= least), by, along, -(-max_chars // least), "_n")
-        return big.unionByName(top_per_group(rows.filter((F.col("_len") < least) & (F.col("_len") > 0)), by, along, max_chars, "_n")).drop("_n")
-    held = met.groupBy(*keys).agg(F.sum("_len").alias("_held"))
-    room = q.select(*keys).join(held, keys, "left").filter(F.coalesce("_held", F.lit(0)) < max_chars).select(*keys)
-    rest = room.join(first(slim.select(*passage, "_len"), ["church_id"], [F.col("offset"), F.col("url")]), "church_id")
-    rest = rest.join(met, [*keys, "url", "offset"], "left_anti").select(*keys, "url", "offset", F.lit(0).alias("relevance"), "_len")
-    pool = first(met.select(*keys, "url", "offset", "relevance", "_len"), keys, order).unionByName(rest)
-    w = W.partitionBy(*keys).orderBy(*order)
+    d = docs.filter("church_id is not null").select(
+        "church_id", "url", X.question_terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("kind", F.lit("")))).alias("_head"),
+        F.inline(X.char_windows(F.col("text"), step, width)))
+    d = stage(d.withColumn("_terms", F.concat(X.question_terms(F.col("text")), "_head")).withColumn("_id", F.monotonically_increasing_id()).drop("_head"), "passages")
+    none = no_strings()
+    q = stage(computed_once(questions.filter("church_id is not null"), _q=F.coalesce(X.question_terms(F.col("question")), none)).select("church_id", "question_id", "_q"), "questions")
+    cuts = lambda rows, size, name: rows.groupBy("church_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    cells = cuts(d, PASSAGES, "_np").join(cuts(q, QUESTIONS, "_nq"), "church_id")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    p = d.select("church_id", "_id", "url", "offset", F.length("text").alias("_len"), "_terms").join(cells, "church_id")
+    p = p.withColumn("_p", part("_np", "_id")).withColumn("_q", upto("_nq")).drop("_np", "_nq")
+    asked = q.join(cells, "church_id").select("church_id", "question_id", F.col("_q").alias("_words"), part("_nq", "question_id", "_q").alias("_b"), "_np")
+    asked = asked.select("church_id", upto("_np").alias("_p"), F.col("_b").alias("_q"), "question_id", "_words")
+    keys = ["church_id", "_p", "_cell"]
+    p, asked = p.withColumnRenamed("_q", "_cell"), asked.withColumnRenamed("_q", "_cell").withColumnRenamed("_words", "_q")
+    kinds = {f.name: f.dataType.simpleString() for f in q.schema}
+    tasks = max(1, min(cells.agg(F.sum(F.col("_np") * F.col("_nq"))).first()[0] or 0, 10_000))      # cells are small in bytes and long in work
+    found = p.repartition(tasks, *keys).groupBy(*keys).cogroup(asked.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(
+        _first_passages(max_chars), f"church_id {kinds['church_id']}, question_id {kinds['question_id']}, _id long, relevance int")
+    found = found.join(d.select("_id", "url", "offset", F.length("text").alias("_len")), "_id")
+    w = W.partitionBy("church_id", "question_id").orderBy(F.desc("relevance"), F.col("offset"), F.col("url"))
     used = F.coalesce(F.sum("_len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    picked = pool.withColumn("rn", F.row_number().over(w)).withColumn("_used", used).filter(F.col("_used") < max_chars)
-    return picked.join(d.select(*passage, "text"), passage).select(
+    picked = found.withColumn("rn", F.row_number().over(w)).withColumn("_used", used).filter(F.col("_used") < max_chars)
+    return picked.join(d.select("_id", "text"), "_id").select(
         "church_id", "question_id", F.col("rn").cast("long").alias("rn"), "url", "offset", "relevance",
         F.substring(F.col("text"), F.lit(1), (F.lit(max_chars) - F.col("_used")).cast("int")).alias("text"))
 
