@@ -19,15 +19,17 @@ def best_evidence(evidence: DataFrame, key: str = "church_id", tie=("row_id",))
     return first_per_group(evidence, [key, "feature"], [-rank, -F.unix_micros(F.col("checked_at")), *[F.col(t) for t in tie]])
 
 
-def settled_features(evidence: DataFrame, key: str = "church_id", min_points: int = 5) -> DataFrame:
-    """(key, feature, settled): a quoted tier-A row, two tier-B sites, or an observed tier-D row with enough points."""
-    known = evidence.filter("value <> 'unknown'")
-    per_site = known.groupBy(key, "feature", F.when((F.col("tier") == "B") & (F.coalesce("url", F.lit("")) != ""),
-                                                    U.host(F.col("url"))).alias("site")).agg(
-        F.bool_or((F.col("tier") == "A") & (F.coalesce("quote", F.lit("")) != "")).alias("a"),
-        F.bool_or((F.col("tier") == "D") & (F.col("how") == "observed") & (R.data_points(F.col("note")) >= min_points)).alias("d"))
-    return per_site.groupBy(key, "feature").agg(
-        (F.bool_or("a") | (F.count("site") >= 2) | F.bool_or("d")).alias("settled"))
+def settled_features(evidence: DataFrame, key="church_id", min_points: int = 5) -> DataFrame:
+    """(key, feature, settled): a quoted tier-A row, two tier-B sites, or an observed tier-D row with enough points.
+
+    `key`: a column or several. Two sites are two 64-bit hashes of host names, so one aggregate of fixed width tells.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    site = F.when((F.col("tier") == "B") & (F.coalesce("url", F.lit("")) != ""), F.xxhash64(U.host(F.col("url"))))
+    return evidence.filter("value <> 'unknown'").select(
+        *keys, "feature", site.alias("site"), ((F.col("tier") == "A") & (F.coalesce("quote", F.lit("")) != "")).alias("a"),
+        ((F.col("tier") == "D") & (F.col("how") == "observed") & (R.data_points(F.col("note")) >= min_points)).alias("d")).groupBy(*keys, "feature").agg(
+        (F.bool_or("a") | F.coalesce(F.min("site") < F.max("site"), F.lit(False)) | F.bool_or("d")).alias("settled"))
 
 
 def settled_open(wanted: DataFrame, settled: DataFrame, key: str = "church_id") -> DataFrame:

@@ -222,3 +222,24 @@ def test_radius_pairs_of_a_small_file_are_made_by_all_cores(spark, tmp_path):
     d = matching.within_radius(points, spark.read.parquet(str(tmp_path / "c")), 20.0)
     assert d.count() == sum(abs(i - j) / 100 * 3958.8 * math.pi / 180 <= 20.0 for i in range(200) for j in range(200))
     assert d.select(F.spark_partition_id().alias("n")).distinct().count() > 1
+
+
+def test_pair_states_stay_one_row(spark):
+    """What is read from a pair's states equals what its rows give; a pair without own evidence is open, two sites of one host are one."""
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 7)], "session_id long, church_id long")
+    pref = spark.createDataFrame([(1, "a", "A", "dealbreaker"), (1, "b", "B", "important"), (1, "c", "C", "nice_to_have"), (2, "a", "A", "important"), (2, "b", "B", "dealbreaker")],
+                                 "session_id long, feature string, label string, weight string")
+    ev = spark.createDataFrame([(1, 7, "a", "v", "B", "", "https://x.org/1", "", "stated"), (1, 7, "a", "v", "B", "", "https://www.x.org/2", "", "stated"),
+                                (1, 7, "b", "v", "A", "q", "", "", "stated"), (2, 7, "b", "v", "B", "", "https://x.org", "", "stated"), (2, 7, "b", "v", "B", "", "https://y.org", "", "stated"),
+                                (2, 7, "a", "v", "D", "", "", "3 of 4 seen", "observed"), (1, 8, "a", "unknown", "A", "q", "", "", "stated")],
+                               "session_id long, church_id long, feature string, value string, tier string, quote string, url string, note string, how string")
+    own = E.settled_features(ev, ("session_id", "church_id"))
+    states = matching.pair_states(pairs, pref, own)
+    assert states.count() == 3
+    rows = pairs.join(pref, "session_id").join(own, ["session_id", "church_id", "feature"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.select(*x.columns).collect()))
+    assert {(r[0], r[1], r[2]) for r in rows.filter("settled").select("session_id", "church_id", "feature").collect()} == {(1, 7, "b"), (2, 7, "b")}
+    assert same(matching.open_must_haves_of(states), matching.open_must_haves(pref, rows.select("session_id", "church_id", "feature", "settled")))
+    assert same(matching.priorities_settled_of(states), matching.priorities_settled(pref, rows.select("session_id", "church_id", "feature", "settled")))
+    asked = matching.visit_questions(rows.filter("not settled").withColumn("is_unknown", F.lit(True)).withColumn("pos", F.col("feature")))
+    assert same(matching.visit_questions_of(states), asked.select("session_id", "church_id", "line", "question"))
