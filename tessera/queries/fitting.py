@@ -14,6 +14,7 @@ from tessera.queries import facts as T
 from tessera.queries.registry import body, cte, query, table
 
 joined = lambda c, sep=",": F.array_join(c, sep)
+RANKED = ("church_id", "feature", "tier", "checked_at", "row_id")      # what the best evidence is found by; whole rows are moved only where they are wanted
 
 cte("best", """
 SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY church_id, feature ORDER BY
@@ -122,7 +123,7 @@ SELECT *, round(share, 2) AS known_share, CASE WHEN worship AND base_fit IN ('st
 
 def scored(spark, sf, pairs=None):
     prof = matching.profile_arrays(T.preferences(spark, sf), T.features(spark, sf))
-    ev = matching.evidence_maps(E.best_evidence(T.evidence(spark, sf)))
+    ev = matching.evidence_maps(E.best_evidence(T.evidence(spark, sf).select(*RANKED, "value", "note", "source_kind")))
     return matching.score_pairs(T.candidates(spark, sf) if pairs is None else pairs, prof, ev)
 
 
@@ -154,13 +155,13 @@ cte("pair_sums_held", body("pair_sums").replace("FROM rated)", "FROM rated_held)
 def match_scores_priors(spark, sf):
     """Scores in which a supplier without evidence on a feature falls back to what its nation typically holds, weighed by the nation's variability."""
     n = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("church_id"), F.col("s_nationkey").alias("group_id"))
-    pri = E.best_evidence(T.evidence(spark, sf).join(n, "church_id"), "group_id", ("row_id", "church_id")).filter("value <> 'unknown'").select("group_id", "feature", "value", F.lit("").alias("note"))
+    pri = E.best_evidence(T.evidence(spark, sf).select(*RANKED, "value").join(n, "church_id"), "group_id", ("row_id", "church_id")).filter("value <> 'unknown'").select("group_id", "feature", "value", F.lit("").alias("note"))
     kinds = F.explode(F.array(*[F.lit(k) for k in ("doctrinal", "worship", "governance", "cultural")])).alias("kind")
     meta = table(spark, sf, "nation").select(F.col("n_nationkey").alias("group_id"), kinds)
     turn = (F.col("group_id") + F.length("kind")) % 3
     meta = meta.select("group_id", F.concat(F.lit("distinguishing_metadata."), "kind", F.lit("_variability")).alias("field_id"), F.when(turn == 0, "rather low").when(turn == 1, "High").alias("value"))
     prof = matching.profile_arrays(T.preferences(spark, sf), T.features(spark, sf))
-    ev = matching.evidence_maps(E.best_evidence(T.evidence(spark, sf)), denom=n.withColumnRenamed("group_id", "denomination_id"), priors=E.with_variability(pri, meta))
+    ev = matching.evidence_maps(E.best_evidence(T.evidence(spark, sf).select(*RANKED, "value", "note", "source_kind")), denom=n.withColumnRenamed("group_id", "denomination_id"), priors=E.with_variability(pri, meta))
     return matching.score_pairs(T.candidates(spark, sf), prof, ev).select("session_id", "church_id", "score", "known_share", "fit", "excluded")
 
 
@@ -234,7 +235,7 @@ SELECT session_id, group_id, score, excluded, row_number() OVER (PARTITION BY se
 def group_ranking(spark, sf):
     """Nations as the known groups: their priors are the best evidence of their suppliers, their size the number of customers."""
     n = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("church_id"), F.col("s_nationkey").alias("group_id"))
-    pri = E.best_evidence(T.evidence(spark, sf).join(n, "church_id"), "group_id", ("row_id", "church_id")).filter("value <> 'unknown'").select(
+    pri = E.best_evidence(T.evidence(spark, sf).select(*RANKED, "value").join(n, "church_id"), "group_id", ("row_id", "church_id")).filter("value <> 'unknown'").select(
         "group_id", "feature", "value", F.lit("").alias("note"))
     size = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.count(F.lit(1)) * 9100).alias("adherents"))
     g = table(spark, sf, "nation").join(size, "n_nationkey", "left").select(F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("name"),
@@ -257,7 +258,7 @@ def group_comparison(spark, sf):
 
 @query("priors_available", "SELECT feature, count(*) AS n_groups FROM group_priors GROUP BY feature", ("group_priors",))
 def priors_available(spark, sf):
-    return E.priors_available(E.best_evidence(T.evidence(spark, sf)).filter("value <> 'unknown'"))
+    return E.priors_available(E.best_evidence(T.evidence(spark, sf).select(*RANKED, "value")).filter("value <> 'unknown'"))
 
 
 cte("pair_settled", """

@@ -243,3 +243,9 @@ def test_pair_states_stay_one_row(spark):
     assert same(matching.priorities_settled_of(states), matching.priorities_settled(pref, rows.select("session_id", "church_id", "feature", "settled")))
     asked = matching.visit_questions(rows.filter("not settled").withColumn("is_unknown", F.lit(True)).withColumn("pos", F.col("feature")))
     assert same(matching.visit_questions_of(states), asked.select("session_id", "church_id", "line", "question"))
+
+
+def test_priors_move_only_what_ranks_them(spark, sf):
+    from __spark_entry__ import queries
+    plan = queries()["priors_available"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "https://" not in plan and " seen" not in plan
