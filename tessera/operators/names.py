@@ -207,14 +207,14 @@ def article_matches(hits: DataFrame, min_score: float = 0.25) -> DataFrame:
 def place_references(refs: DataFrame, places: DataFrame) -> DataFrame:
     """A spoken reference -> the one place of the session whose name has all its words.
 
-    `refs`: (session_id, ref); `places`: (session_id, church_id, name). Counted per
-    word through an equi-join, so no reference is compared with every place.
+    `refs`: (session_id, ref); `places`: (session_id, church_id, name). They meet by one word of the reference,
+    its longest, and the names' words decide; so no reference is compared with every place.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.regexp_replace(
         F.lower(c), r"\bpres\b", "presbyterian"), r"(?U)[^\w ]+", " "), " +"), lambda w: w != ""))
-    r = refs.select("session_id", "ref", words(F.col("ref")).alias("_w")).distinct().withColumn("_need", F.size("_w"))
-    p = places.select("session_id", "church_id", F.explode(words(F.col("name"))).alias("word")).distinct()
-    hit = r.select("session_id", "ref", "_need", F.explode("_w").alias("word")).join(p, ["session_id", "word"])
-    full = hit.groupBy("session_id", "ref", "_need", "church_id").agg(F.count(F.lit(1)).alias("n")).filter("n = _need")
-    one = full.groupBy("session_id", "ref").agg(F.count(F.lit(1)).alias("hits"), F.min("church_id").alias("church_id"))
-    return one.filter("hits = 1").select("session_id", "ref", "church_id")
+    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    r = refs.select("session_id", "ref").distinct().select("session_id", "ref", words(F.col("ref")).alias("_w")).withColumn("word", longest)
+    p = computed_once(places.select("session_id", "church_id", "name"), _in=words(F.col("name"))).select("session_id", "church_id", "_in", F.explode("_in").alias("word"))
+    full = r.join(p, ["session_id", "word"]).filter(F.size(F.array_except("_w", "_in")) == 0)
+    one = full.groupBy("session_id", "ref").agg(F.min("church_id").alias("church_id"), F.max("church_id").alias("_last"))
+    return one.filter("church_id = _last").select("session_id", "ref", "church_id")

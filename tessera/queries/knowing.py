@@ -528,5 +528,5 @@ GROUP BY ALL HAVING count(DISTINCT p.church_id) = 1""")
 def place_references(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("session_id"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", F.lower("p_type"), "p_name").alias("name"), F.col("p_name").alias("ref"))
-    d = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey").join(p, "l_partkey").select("session_id", F.col("l_partkey").alias("church_id"), "name", "ref").distinct()
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey").join(p, "l_partkey").select("session_id", F.col("l_partkey").alias("church_id"), "name", "ref")
     return names.place_references(d.select("session_id", "ref"), d)

@@ -103,6 +103,13 @@ def test_place_reference_needs_one_hit(spark):
     assert {(x["ref"], x["church_id"]) for x in names.place_references(r, p).collect()} == {("first pres", "a"), ("hope", "c")}
 
 
+def test_a_reference_lies_in_one_name(spark):
+    """Words of two names of a place don't add up, and a place met twice is one."""
+    p = spark.createDataFrame([(1, "a", "First House"), (1, "a", "Grace Hall"), (1, "b", "Hope Chapel"), (1, "b", "Hope Chapel")], "session_id int, church_id string, name string")
+    r = spark.createDataFrame([(1, "first hall"), (1, "hope chapel"), (1, "hope chapel"), (1, "")], "session_id int, ref string")
+    assert [tuple(x) for x in names.place_references(r, p).collect()] == [(1, "hope chapel", "b")]
+
+
 def test_site_wording_and_labels(spark):
     pages = spark.createDataFrame([(1, "u1", "We are a non-denominational family of faith."), (2, "u2", "A Lutheran parish of the synod in town.")], "church_id int, url string, text string")
     r = names.site_affiliation(pages).collect()
