@@ -44,6 +44,9 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("group_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+CHUNKS = 20_000          # scored in one task, as expected
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.4, b: float = 0.75) -> DataFrame:
     """Top `k` chunks of a group for each query of the group, trusted sources ahead on near ties.
 
@@ -58,7 +61,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.4, b:
     q = stage(q, "query_terms")          # its size is known then: Spark sends a small query set to the postings, and splits hot words of a large one
     on = ["group_id", "term"] if "group_id" in queries.columns else ["term"]
     used = postings(toks).join(q.select(*on).distinct(), on, "left_semi")
-    d = used.join(document_frequency(used), ["group_id", "term"]).join(collection_stats(toks), "group_id")
+    stats = stage(document_frequency(used).join(collection_stats(toks), "group_id"), "term_stats")
+    # a chunk's postings stay together from here on, in parts that follow the chunks: no task holds more the larger the table is
+    parts = max(1, -(-toks.count() // CHUNKS), int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = used.repartition(parts, "group_id", "url", "chunk_no").join(stats, ["group_id", "term"])
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     trust = 1 - 0.1 * F.coalesce(lookup(F.col("source_type"), V.SOURCE_RANK), F.lit(1))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * trust

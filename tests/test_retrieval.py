@@ -43,3 +43,17 @@ def test_question_passages_of_empty_tables(spark):
     assert retrieval.question_passages(d, q).collect() == []
     one = spark.createDataFrame([("c", "u", None, "page", "a word"), (None, "v", None, "page", "a word")], d.schema)
     assert [tuple(r) for r in retrieval.question_passages(one, q).collect()] == [("c", 2, 1, "u", 0, 0, "a word")]
+
+
+def test_bm25_parts_follow_the_chunks(spark, monkeypatch):
+    """Scores are made where a chunk's postings lie, in more parts the more chunks there are; the hits are the same."""
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{x:03d}" for x in rng.integers(0, 80, n))
+    c = spark.createDataFrame([(f"g{i % 2}", f"u{i}", "t", "official", 0, text(30)) for i in range(60)],
+                              "group_id string, url string, title string, source_type string, chunk_no int, text string")
+    q = spark.createDataFrame([(i, text(4)) for i in range(12)], "query_id long, query string")
+    want = sorted(map(tuple, retrieval.bm25(c, q).collect()))
+    monkeypatch.setattr(retrieval, "CHUNKS", 7)
+    d = retrieval.bm25(c, q)
+    assert sorted(map(tuple, d.collect())) == want and len(want) > 60
+    assert "hashpartitioning(group_id" in (plan := d._jdf.queryExecution().executedPlan().toString()) and ", 9), REPARTITION_BY_NUM" in plan
