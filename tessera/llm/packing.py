@@ -10,7 +10,10 @@ window with padding, whatever the size of the corpus.
 A text is read once, where it lies: token numbers never move, only the lengths and
 checksums of the pieces do. Words between ASCII white space are tokenized by
 themselves, each spelling once per worker, which gives the tokens of the whole text
-because this tokenizer drops white space and never joins over it. ASCII letters are
+because this tokenizer drops white space and never joins over it. Neither does it join a
+letter or digit with the punctuation after it, so `word` and `word.` share the tokens of `word`.
+New words go to the tokenizer many in one string, with a number sign between them that is one
+token and stands for nothing else. ASCII letters are
 lower-cased before that, as the tokenizer does, unless the text holds combining marks.
 
 Edge cases: a null or empty text is the end mark alone; rows of one id are documents of
@@ -22,7 +25,6 @@ are not read. An overlong word is tokenized whole and not remembered.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,9 @@ END_MARK = 2
 GROUP = 1 << 22
 PIECE_SHARE = 64        # a piece counts as this many tokens at least, so that very short pieces don't swell a group
 REMEMBERED, LONGEST = 600_000, 64
+AT_HAND = 1 << 20       # bytes of text whose words are looked up together
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+GAP, AT_ONCE = "\u00bd", 1000     # a sign of Unicode class N is always a piece by itself
 _WIDTH = 4
 
 _TOKENIZERS: dict = {}
@@ -52,6 +57,8 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}         # remembered before `known` was full
+        (self.gap,) = self.tokenizer.encode(GAP, add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -61,20 +68,49 @@ class Words:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
 
+    def _tokens(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Packed token numbers of every word, by the tokenizer."""
+        out, alone = {}, [w for w in words if GAP.encode() in w]
+        words = [w for w in words if GAP.encode() not in w] if alone else words
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        gap = f" {GAP} ".encode()
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i:i + AT_ONCE]
+            (e,) = self.tokenizer.encode_batch_fast([gap.join(some).decode("utf-8", "replace")], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            at, packed = np.flatnonzero(ids == self.gap) * _WIDTH, ids.tobytes()
+            out.update(zip(some, (packed[a:z] for a, z in zip([0, *(at + _WIDTH).tolist()], [*at.tolist(), len(packed)], strict=True)), strict=True))
+        return out
+
+    def _fresh(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Packed token numbers of words not in `known`; they are remembered there."""
+        fresh = {w: self.older[w] for w in new if w in self.older}
+        # an ASCII letter or digit, then marks alone
+        stems = {w: stem for w in new if w not in fresh and (stem := w.rstrip(MARKS))[-1:].isalnum() and len(stem) < len(w)}
+        own = {*stems.values(), *(w[len(stem):] for w, stem in stems.items())}
+        parts = {w: self.known[w] for w in own if w in self.known}
+        own.update(w for w in new if w not in fresh and w not in stems)
+        parts.update(self._tokens([w for w in own if w not in parts]))
+        for w in new:
+            if w not in fresh:
+                fresh[w] = parts[stems[w]] + parts[w[len(stems[w]):]] if w in stems else parts[w]
+        for some in (parts, fresh):
+            self.known.update((w, v) for w, v in some.items() if len(w) <= LONGEST)
+        return fresh
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Packed token numbers of every text, without end mark."""
         split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set()
-        for words in split:
-            new.update(words)
-        new = list(new - self.known.keys())
-        ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True)}
-        long = {w: v for w, v in ids.items() if len(w) > LONGEST}
-        self.known.update((w, v) for w, v in ids.items() if len(w) <= LONGEST)
-        for words in split:
-            yield b"".join([self.known[w] if len(w) <= LONGEST else long[w] for w in words] if long else map(self.known.__getitem__, words))
+            self.known, self.older = {}, self.known
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
+        fresh = self._fresh({words[i] for words, gap in zip(split, gaps, strict=True) for i in gap})
+        for words, f, gap in zip(split, found, gaps, strict=True):
+            for i in gap:
+                f[i] = fresh[words[i]]
+            yield b"".join(f)
 
 
 def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_mark: int = END_MARK) -> DataFrame:
@@ -85,7 +121,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_mark: int =
     def run(batches):
         words, part, nr = Words.of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", AT_HAND):
                 rows = []
                 for doc, ids in zip(b.column(0).to_pylist(), words.encode(as_bytes(b.column(1))), strict=True):
                     ids = memoryview(ids + mark)

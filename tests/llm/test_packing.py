@@ -101,3 +101,40 @@ def test_odd_rows(spark):
                                                                                      (9, 0, 4096, 9001), (9, 4096, 4096, 9001), (9, 8192, 809, 9001)]
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
     assert P.pack(df.limit(0), VOCABULARY).collect() == []
+
+
+class Counted:
+    """A tokenizer that keeps what it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += [w for t in texts for w in t.split() if w != P.GAP]
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_each_stem_goes_to_the_tokenizer_once(monkeypatch):
+    """With marks after it or without, and again when more words than are remembered came since, as long as it is used."""
+    words = P.Words(VOCABULARY)
+    words.tokenizer = Counted(words.tokenizer)
+    monkeypatch.setattr(P, "REMEMBERED", 40)
+    texts = [f"tessera tessera, (tessera). tessera!! new{i}. other{i}" for i in range(100)]
+    got = [np.frombuffer(next(words.encode([t.encode()])), "<u4").tolist() for t in texts]
+    assert [[*g, 2] for g in got] == list(encoded(dict(enumerate(texts))).values())
+    assert words.tokenizer.given.count("tessera") == 1 and words.tokenizer.given.count("(tessera") == 1 and not {"tessera,", "tessera!!", "new7."} & set(words.tokenizer.given)
+    assert len(words.known) + len(words.older) < 120
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZé'sdtrv1½²…!?,.-̸́<|> \n \x1c\x85σΣİ中"), max_size=40), max_size=6))
+def test_marks_and_gaps_stand_apart(texts):
+    words = P.Words.of(VOCABULARY)
+    got = [[*np.frombuffer(ids, "<u4").tolist(), 2] for ids in words.encode([t.encode() for t in texts])]
+    assert got == list(encoded(dict(enumerate(texts))).values())
+
+
+def test_overlong_words_with_marks():
+    texts = {0: "y" * 63 + ". " + "y" * 63 + "!! " + "z" * 70 + ", " + "q" + "." * 80 + " ½" * 3 + " 1½, ½" + "k" * 90}
+    got = list(P.Words(VOCABULARY).encode([texts[0].encode()] * 2))
+    assert [[*np.frombuffer(g, "<u4").tolist(), 2] for g in got] == [encoded(texts)[0]] * 2
