@@ -1,5 +1,12 @@
 """Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
+Copies are searched by op8's method first: SimHash fingerprints, here of the 5-word shingles,
+Hamming search in vantage-point trees over block shards. The links of `BITS` bits or fewer that
+connect a group are candidates, and whole sets decide. A similarity of 0.8 is about ten bits,
+give or take three, a radius at which no bits of two fingerprints need agree in a block worth
+sharding by. So what lies further apart, or what is connected by candidates that are not alike,
+is found by a prefix filter that follows; it passes over all that is connected by then.
+
 No pair is missed. Shingles have one order for all documents, those that a sample
 shows as common last. Of n shingles the first n - ceil(0.8 n) + 1 are sent; two
 sets of similarity 0.8 share one of these (prefix filter) and differ in size by a
@@ -35,12 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_bytes, pieces
-from tessera.llm.sim_hash import components
+from tessera.llm.sim_hash import components, links, majority
 from tessera.session import is_small, shuffles_removed, stage, unstage
 
 SHINGLE = 5
 SEED = 42
 ALIKE, OF = 4, 5          # the similarity as a fraction: whole numbers only, so no pair is lost by rounding
+BITS = 7                   # eight blocks of eight bits
 SAMPLE_ROWS = 20_000
 COMMON, MOST_COMMON = 4, 50_000
 PART = 250_000             # shingles in a part, as expected
@@ -121,16 +129,17 @@ def may_be_alike(one: np.ndarray, n_one: int, others: np.ndarray, n_others: np.n
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (the id, or a hash of the text), node, size (shingles) and shape of every row."""
+    """doc_id, row (the id, or a hash of the text), node, size (shingles), shape and fingerprint (bits) of every row."""
     def run(batches):
         known = _Words()
         for batch in batches:
             for b in pieces(batch, "text"):
                 g, own = shingles(as_bytes(b.column(2)), known)
                 starts, sizes = _cut(own, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_nodes(g, starts, sizes)), pa.array(sizes), pa.array(shapes(g, starts, sizes), pa.binary())],
-                                                 names=["doc_id", "row", "node", "size", "shape"])
-    return _rows(docs).mapInArrow(run, "doc_id long, row long, node long, size long, shape binary")
+                bits = np.array([majority(g[a:a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_nodes(g, starts, sizes)), pa.array(sizes), pa.array(shapes(g, starts, sizes), pa.binary()), pa.array(bits)],
+                                                 names=["doc_id", "row", "node", "size", "shape", "bits"])
+    return _rows(docs).mapInArrow(run, "doc_id long, row long, node long, size long, shape binary, bits long")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -392,12 +401,35 @@ def _near_labels(edges: DataFrame, hops: int = 3) -> DataFrame:
     return label.withColumnRenamed("a", "node")
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs by fingerprint, fp the larger set, whose sizes allow the similarity: one set of each fingerprint with the others of it, and with those that links of `BITS` bits lead to."""
+    own = F.struct("size", "node")
+    firsts = stage(nodes.groupBy("bits").agg(F.min(own).alias("one")), "copies-firsts")
+    same = nodes.select("bits", own.alias("other")).join(firsts, "bits").select("one", "other")
+    a, b = firsts.select(F.col("bits").alias("fp"), F.col("one")), firsts.select(F.col("bits").alias("head"), F.col("one").alias("other"))
+    near = links(firsts.select(F.col("bits").alias("fp")), BITS, trees=True).join(a, "fp").join(b, "head").select("one", "other")
+    low, high = F.least("one", "other"), F.greatest("one", "other")
+    fit = (F.col("one.node") != F.col("other.node")) & (ALIKE * high["size"] <= OF * low["size"])
+    return same.unionByName(near).filter(fit).select(high["node"].alias("fp"), low["node"].alias("head")).distinct()
+
+
+def _unconnected(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (fp, head) without one label."""
+    a, b = groups.select(F.col("node").alias("fp"), F.col("label").alias("_a")), groups.select(F.col("node").alias("head"), F.col("label").alias("_b"))
+    return pairs.join(a, "fp", "left").join(b, "head", "left").filter(F.coalesce("_a", "fp") != F.coalesce("_b", "head")).select("fp", "head")
+
+
 def linked(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
-    """node and label of the nodes that similarity connects with others."""
-    tested = stage(_star_pairs(met), "copies-stars")
+    """node and label of the nodes that similarity connects with others: by fingerprints, then the rest by the runs of the prefix filter."""
+    tested = stage(print_pairs(nodes), "copies-prints-met")
     pairs = stage(likely(tested, nodes), "copies-pairs")
     edges = alike(docs, pairs, nodes)
     unstage(pairs)
+    groups = stage(_near_labels(edges), "copies-labels")
+    stars = stage(_unconnected(_star_pairs(met), groups).join(tested, ["fp", "head"], "left_anti"), "copies-stars")
+    pairs = stage(likely(stars, nodes), "copies-pairs")
+    edges, tested = edges.unionByName(alike(docs, pairs, nodes)), tested.unionByName(stars)
+    unstage(pairs, groups)
     for nearest in (NEAREST, None):
         groups = stage(_near_labels(edges), "copies-labels") if nearest else components(edges)
         each = met.filter(F.size("nodes") > 2).select("run", F.explode("nodes").alias("node")).join(groups, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
@@ -421,7 +453,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
         found = stage(prints(docs), "copies-prints")
         often = common_shingles(docs, found.count())
         sent = found.agg(F.sum(F.floor(F.col("size") * (OF - ALIKE) / OF) + 1)).first()[0] or 0
-        nodes = stage(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("shape").alias("shape")), "copies-nodes")
+        nodes = stage(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("shape").alias("shape"), F.first("bits").alias("bits")), "copies-nodes")
         met = stage(runs(prefixes(docs, often, max(1, -(-sent // PART)))), "copies-runs")
         labels = linked(docs, nodes, met).withColumnRenamed("node", "_node")
         named = stage(nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("label", "node").alias("label")), "copies-groups")

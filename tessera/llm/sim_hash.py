@@ -41,6 +41,15 @@ SHARD_ROWS = 20_000
 SPLITS = 3
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero if there are none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i:i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: bytes) -> int:
     import xxhash
     words = text.lower().split()
@@ -54,11 +63,7 @@ def fingerprint(text: bytes) -> int:
     starts = ends - lens + 1
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(whole[a:b], SEED) for a, b in zip(starts[:-SHINGLE + 1].tolist(), ends[SHINGLE - 1:].tolist(), strict=True)], dtype=np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i:i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -79,11 +84,14 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def _unite(root: np.ndarray, pairs) -> None:
-    for a, b in pairs:
-        a, b = _find(root, a), _find(root, b)
+def _unite(root: np.ndarray, pairs, made: list | None = None) -> None:
+    """Unite the groups of each pair; pairs that did so are added to `made`."""
+    for pair in pairs:
+        a, b = _find(root, pair[0]), _find(root, pair[1])
         if a != b:
             root[max(a, b)] = min(a, b)
+            if made is not None:
+                made.append(pair)
 
 
 def _flat(root: np.ndarray) -> np.ndarray:
@@ -92,15 +100,15 @@ def _flat(root: np.ndarray) -> np.ndarray:
     return root
 
 
-def shard_roots(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.ndarray:
-    """For each of a shard's distinct fingerprints, the first one that links connect it with."""
+def shard_roots(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, made: list | None = None) -> np.ndarray:
+    """For each of a shard's distinct fingerprints, the first one that links connect it with. Links that connect groups are added to `made`."""
     root, todo = np.arange(len(fps)), [np.arange(len(fps))]
     while todo:
         idx = todo.pop()
         if len(idx) > leaf:
             d = np.bitwise_count(fps[idx] ^ fps[idx[0]])
             near = idx[d <= radius].tolist()
-            _unite(root, ((near[0], j) for j in near[1:]))
+            _unite(root, ((near[0], j) for j in near[1:]), made)
             groups = _flat(root)[idx]
             if (groups == groups[0]).all():      # connected already, further links add nothing
                 continue
@@ -115,7 +123,7 @@ def shard_roots(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.n
                 cols = idx[j:j + leaf]
                 a, b = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[cols][None, :]) <= radius)
                 keep = rows[a] < cols[b]
-                _unite(root, _forest(rows[a[keep]], cols[b[keep]], root))
+                _unite(root, _forest(rows[a[keep]], cols[b[keep]], root), made)
     return _flat(root)
 
 
@@ -159,14 +167,17 @@ def shards(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_ROWS, split
     return d
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_ROWS, splits: int = SPLITS) -> DataFrame:
-    """Stars of linked fingerprints: fp and head, two different ones, for the groups of each shard."""
+def links(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_ROWS, splits: int = SPLITS, trees: bool = False) -> DataFrame:
+    """Stars of linked fingerprints: fp and head, two different ones, for the groups of each shard. `trees`: links within `radius` that connect each group instead."""
     parts = shards(nodes, radius, most, splits)
 
     def run(batches):
         def star(fps):
-            f = np.array(fps, dtype=np.int64)
-            r = shard_roots(f.view(np.uint64), radius)
+            f, made = np.array(fps, dtype=np.int64), []
+            r = shard_roots(f.view(np.uint64), radius, made=made)
+            if trees:
+                ends = np.array(made, np.int64).reshape(-1, 2)
+                return f[ends[:, 0]], f[ends[:, 1]]
             other = r != np.arange(len(f))
             return f[other], f[r[other]]
         current, own, out = None, [], []

@@ -101,3 +101,39 @@ def test_odd_rows(spark):
     got = N.first_of_groups(df)
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 2, 2, 3, 9] and got.columns == df.columns
     assert N.first_of_groups(df.limit(0)).collect() == []
+
+
+def pairs_of_texts(n=40, seed=8):
+    """Texts, each with one copy with some words exchanged."""
+    rng, texts = np.random.default_rng(seed), []
+    for _ in range(n):
+        base = [f"w{x}" for x in rng.integers(0, 9000, rng.integers(60, 200))]
+        own = list(base)
+        for at in rng.integers(0, len(own), rng.integers(1, 5)):
+            own[at] = f"v{rng.integers(0, 9999)}"
+        texts += [" ".join(base), " ".join(own)]
+    return dict(enumerate(texts))
+
+
+def test_fingerprints_find_close_copies_without_the_prefix_filter(spark, monkeypatch):
+    """The search by fingerprints finds each pair within its radius, and only sets that are alike are linked."""
+    texts = pairs_of_texts()
+    kind, meet = "run long, nodes array<long>, sizes array<long>", N.runs
+    monkeypatch.setattr(N, "runs", lambda blobs: spark.createDataFrame([], kind))
+    got = {r.doc_id for r in N.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    bits = {i: N.majority(N.shingles([t.encode()])[0]) for i, t in texts.items()}
+    whole = set(plain_groups(texts).values())
+    close = {i for i in texts if i % 2 and (bits[i] ^ bits[i - 1]).bit_count() <= N.BITS}
+    assert got == set(texts) - (close - whole) and len(close - whole) > 10 and got > whole
+    monkeypatch.setattr(N, "runs", meet)
+    got = {r.doc_id for r in N.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == whole
+
+
+def test_fingerprints_alone_never_link(spark, monkeypatch):
+    """All fingerprints equal: whole sets decide, and the prefix filter finds the pairs that the search has not given."""
+    texts = pairs_of_texts(seed=9)
+    run = N.prints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).drop("bits")
+    monkeypatch.setattr(N, "prints", lambda docs: run.selectExpr("*", "5L as bits"))
+    got = {r.doc_id for r in N.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == set(plain_groups(texts).values())
