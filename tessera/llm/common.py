@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
     """Slices of a batch whose `column` holds about `limit` bytes each, so that work arrays stay bounded."""
-    sizes = np.array([len(x) for x in as_bytes(batch.column(column))], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     if sizes.sum() <= limit:
         yield batch
         return

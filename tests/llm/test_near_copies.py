@@ -1,12 +1,15 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline as P
 from tessera.llm import near_copies as N
+from tessera.session import batches_of
 
 
 def plain_set(text):
@@ -137,3 +140,58 @@ def test_fingerprints_alone_never_link(spark, monkeypatch):
     monkeypatch.setattr(N, "prints", lambda docs: run.selectExpr("*", "5L as bits"))
     got = {r.doc_id for r in N.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == set(plain_groups(texts).values())
+
+
+class Task:
+    """In place of a table: gives the function that runs in its tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, kind):
+        return run
+
+
+@pytest.mark.parametrize("step", ["prints", "sets", "prefixes"])
+def test_memory_of_a_task_does_not_follow_the_batch(monkeypatch, step):
+    """A batch of 12 MB of text, which took about 200 MB at once."""
+    monkeypatch.setattr(N, "_rows", lambda docs: docs)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, 500)) for _ in range(4_000)]
+    row = pa.array(range(len(texts)))
+    columns = {"prints": {"doc_id": row, "row": row, "text": texts}, "sets": {"row": row, "text": texts}, "prefixes": {"text": texts}}[step]
+    batch = pa.RecordBatch.from_pydict(columns)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    run = N.prefixes(Task(), none, 40) if step == "prefixes" else getattr(N, step)(Task())
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == (40 if step == "prefixes" else len(texts)) and most < 80
+
+
+def test_long_words_are_not_remembered():
+    known = N._Words()
+    texts = [b" ".join(b"%d" % i + b"x" * 10_000 for i in range(200))]
+    assert np.array_equal(N.shingles(texts, known)[0], N.shingles(texts)[0]) and sum(map(len, known)) < 10_000
+
+
+def test_small_pieces_and_packs_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(N, "PIECE", 700)
+    monkeypatch.setattr(N, "PACK", 90)
+    monkeypatch.setattr(N, "BATCH_ROWS", 7)
+    texts = pairs_of_texts(seed=10)
+    texts |= {1000 + i: t for i, t in texts.items() if i % 3 == 0} | {2000: "", 2001: None, 2002: "a b"}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = N.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1))
+    assert {r.doc_id for r in got.collect()} == set(plain_groups(texts).values()) and spark.conf.get(key) == before
+
+
+def test_batches_are_as_small_as_asked(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+    for asked, most in ((300, 300), (50_000, 10_000)):
+        with batches_of(spark, asked):
+            assert max(r.n for r in spark.range(0, 30_000, 1, 1).mapInArrow(run, "n long").collect()) == most
