@@ -53,7 +53,7 @@ BITS = 7                   # eight blocks of eight bits
 SAMPLE_ROWS = 20_000
 COMMON, MOST_COMMON = 4, 50_000
 PART = 250_000             # shingles in a part, as expected
-PIECE = 1 << 20            # bytes of text turned into shingles at once; the work takes some twenty times as much
+PIECE = 1 << 20            # bytes of text turned into shingles at once; the work takes sixteen times as much
 BATCH_ROWS = 1_000         # rows sent to a worker at once
 PACK = 500_000             # prefix shingles packed at once
 KNOWN, LONG = 200_000, 32  # words remembered, and the bytes of the longest
