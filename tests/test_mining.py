@@ -235,3 +235,22 @@ def test_registered_rank_takes_senses_and_drift(spark, sf):
         want = 0.35 * (r.polysemy or 0) + 0.25 * (r.drift or 0) + 0.25 * (r.contestedness or 0) + 0.15 * r.negation_rate
         assert abs(r.ambiguity_raw - want) < 6e-5
     assert [r.rank for r in sorted(got, key=lambda r: (-r.score, r.term))] == list(range(1, len(got) + 1))
+
+
+def test_terms_taken_whole_agree_with_terms_spread_over_tasks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"t{t}", i, [float(x) for x in rng.integers(-2, 3, 6)]) for t in range(12) for i in range(3 + 4 * t)]
+    rows += [("alike", i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(14)] + [("zero", i, [0.0] * 6) for i in range(13)]
+    d = spark.createDataFrame(rows, "term string, item int, embedding array<double>").repartition(5)
+    key = lambda x: sorted(map(str, x.select("term", "n", "polysemy", "best_k", "members").collect()))
+    whole = senses.sense_clusters(d)
+    assert "centres" not in str(whole.inputFiles()) and key(whole) == key(senses.sense_clusters(d, whole=0)) == key(senses.sense_clusters(d, whole=20))
+
+
+def test_hashed_vectors_are_made_batch_by_batch(spark):
+    d = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["x", None]), (5, ["a"])], "i int, t array<string>")
+    made = d.select("i", signals.hash_embedding(F.col("t"), 8).alias("v"))
+    assert "Arrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["v"] for r in made.collect()}
+    assert got[2] == [0.0] * 8 and got[3] == [None] * 8 and got[5] == [0.0, -1.0] + [0.0] * 6 and sum(x * x for x in got[4]) == 1.0
+    assert [round(x, 12) for x in got[1]] == [0.0, -0.894427191, 0.0, 0.0, 0.0, 0.0, 0.0, 0.4472135955]
