@@ -32,8 +32,8 @@ def through_blocks(docs, made, schema, parts, content_only=False, wanted=None, s
             moved[p].append(block)
     out = []
     for p, blocks in sorted(moved.items()):
-        rows = [pa.RecordBatch.from_arrays([pa.array([p] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["gram_part", "block"])]
-        out += [tuple(r.values()) for b in B.unpack(made, schema, 3)(rows) for r in b.to_pylist()]
+        moved_rows = [pa.RecordBatch.from_arrays([pa.array([p] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["gram_part", "block"])]
+        out += [tuple(r.values()) for b in B.unpack(made, schema)(moved_rows) for r in b.to_pylist()]
     return out
 
 
@@ -52,14 +52,14 @@ def plainly(docs, keep=lambda g: True):
 def test_blocks_give_every_gram_back(monkeypatch, slice_tokens, parts):
     monkeypatch.setattr(B, "SLICE", slice_tokens)
     docs = some_docs()
-    got = through_blocks(docs, B._rows, B.ROWS, parts)
+    got = through_blocks(docs, B.rows, B.ROWS, parts)
     assert sorted(got, key=str) == plainly(docs)
 
 
 def test_a_gram_meets_in_one_part(monkeypatch):
     monkeypatch.setattr(B, "SLICE", 50)
     docs = some_docs(200)
-    got = through_blocks(docs, B._totals, B.TOTALS, 7)
+    got = through_blocks(docs, B.totals, B.TOTALS, 7)
     assert len({r[0] for r in got}) == len(got)
     uses = Counter()
     for g, *_, c, _ in plainly(docs):
@@ -70,15 +70,15 @@ def test_a_gram_meets_in_one_part(monkeypatch):
 def test_only_wanted_grams_travel():
     docs, terms = some_docs(), ["altar call", "grace", "of choir the", "nowhere"]
     wanted = np.unique(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for b in B.gram_hashes([pa.RecordBatch.from_pydict({"gram": terms})]) for r in b.to_pylist()]))
-    assert sorted(through_blocks(docs, B._rows, B.ROWS, 4, wanted=wanted), key=str) == plainly(docs, lambda g: g in terms)
-    assert through_blocks(docs, B._rows, B.ROWS, 4, wanted=wanted[:0]) == []
+    assert sorted(through_blocks(docs, B.rows, B.ROWS, 4, wanted=wanted), key=str) == plainly(docs, lambda g: g in terms)
+    assert through_blocks(docs, B.rows, B.ROWS, 4, wanted=wanted[:0]) == []
 
 
 def test_content_grams_are_those_of_the_column_rule(spark):
     docs = some_docs()
     every = sorted({r[0] for r in plainly(docs)})
     rule = spark.createDataFrame([(g,) for g in every], "gram string").filter((F.instr("gram", " ") == 0) | X.is_content(F.col("gram"))).toPandas()["gram"]
-    assert sorted({r[0] for r in through_blocks(docs, B._rows, B.ROWS, 3, content_only=True)}) == sorted(rule)
+    assert sorted({r[0] for r in through_blocks(docs, B.rows, B.ROWS, 3, content_only=True)}) == sorted(rule)
 
 
 def test_keys_of_many_words_keep_their_order():
